@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, secret_scan
+from . import exact_dedup, queries_native, secret_scan
 from .common import load
 
 SHA = "sha256(coalesce(text, ''))"
@@ -49,8 +49,8 @@ SELECT *, sha256(spans) AS base_sha256 FROM per
 QUERIES = {
     "op8_bloom_exact_dedup": op8_bloom_exact_dedup,
     "op4_blob_ledger_secrets": op4_blob_ledger_secrets,
-}
+} | queries_native.QUERIES
 ORACLE_SQL = {
     "op8_bloom_exact_dedup": OP8_SQL,
     "op4_blob_ledger_secrets": _secrets_sql(),
-}
+} | queries_native.ORACLE_SQL
