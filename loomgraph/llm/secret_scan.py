@@ -48,7 +48,7 @@ def blob_of(text: Column) -> Column:
 
 def _lengths(text: str, rule: Rule) -> Column:
     """Per match, in order: characters since the last one, of the match, and of the group that must be long enough."""
-    whole = F.lit(f"(?s)(.*?)({rule.pattern})")
+    whole = F.lit(rf"(?s)\G(.*?)({rule.pattern})")  # \G: a tail without matches is gone through once
     of = lambda group: F.transform(F.regexp_extract_all(text, whole, F.lit(group)), lambda x: F.length(x).cast("long"))
     found = F.arrays_zip(of(1).alias("gap"), of(2).alias("size"), of(2 + rule.group).alias("tested"))
     return F.when(F.col(text).rlike(rule.pattern), found)
