@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, queries_native, queries_similar, queries_tokens, secret_scan
+from . import exact_dedup, queries_models, queries_native, queries_similar, queries_tokens, secret_scan
 from .common import load
 
 SHA = "sha256(coalesce(text, ''))"
@@ -49,8 +49,8 @@ SELECT *, sha256(spans) AS base_sha256 FROM per
 QUERIES = {
     "op8_bloom_exact_dedup": op8_bloom_exact_dedup,
     "op4_blob_ledger_secrets": op4_blob_ledger_secrets,
-} | queries_native.QUERIES | queries_similar.QUERIES | queries_tokens.QUERIES
+} | queries_native.QUERIES | queries_similar.QUERIES | queries_tokens.QUERIES | queries_models.QUERIES
 ORACLE_SQL = {
     "op8_bloom_exact_dedup": OP8_SQL,
     "op4_blob_ledger_secrets": _secrets_sql(),
-} | queries_native.ORACLE_SQL | queries_similar.ORACLE_SQL | queries_tokens.ORACLE_SQL
+} | queries_native.ORACLE_SQL | queries_similar.ORACLE_SQL | queries_tokens.ORACLE_SQL | queries_models.ORACLE_SQL
