@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import hex60, stored
+from .common import hex60
 
 #: Paragraphs end at line breaks, and long ones are divided after a sentence or a table cell.
 SENTENCE_END = r"([.!?|]) "
@@ -91,25 +91,25 @@ def combined(a: Column, b: Column, sign: int = 1) -> Column:
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """(doc_id, text, next_text): the next row in descending doc_id, after the last the first; ties by text.
 
-    Rows are dealt by ranges of doc_id from approximate quantiles, so no task orders the whole table; the first row of
-    each range, one a range, is the next of the last row of the range above it.
+    Rows are dealt by ranges of doc_id from approximate quantiles, so no task orders the whole table. Each range also
+    gets a copy of the first row of the range below it, which stands last there and is left out of the result.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     cuts = rows.select(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else None
     cuts = sorted(set(cuts or ()))
-    part = F.coalesce(F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c < F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
-    order = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    part = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
     dealt = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part))
-    seen = dealt.withColumn("next_text", F.lead("text").over(order)).withColumn("first", F.row_number().over(order) == 1)
-    seen = stored(seen, "in-order")
-    heads = stored(seen.where("first").select("part", F.col("text").alias("head")), "range-heads")
-    places = sorted((r["part"] for r in heads.select("part").collect()), reverse=True)  # one for each range
-    follows = F.create_map(*(F.lit(x) for a, b in zip(places, places[1:] + places[:1]) for x in (a, b))) if places else None
-    inside = seen.where("next_text is not null").select("doc_id", "text", "next_text")
-    if not places:
-        return inside
-    last = seen.where("next_text is null").select("doc_id", "text", F.element_at(follows, F.col("part")).alias("part"))
-    return inside.unionByName(last.join(heads, "part").select("doc_id", "text", F.col("head").alias("next_text")))
+    tops = {r["part"]: r["top"] for r in dealt.groupBy("part").agg(F.max("doc_id").alias("top")).collect()}  # one for each range
+    if not tops:
+        return rows.withColumn("next_text", F.col("text"))
+    places = sorted(tops, reverse=True)
+    above = F.create_map(*(F.lit(x) for a, b in zip(places, places[1:] + places[:1]) for x in (b, a)))
+    known = [t for t in tops.values() if t is not None]
+    heads = dealt.where(F.col("doc_id").isin(known) | F.col("doc_id").isNull()).groupBy("part").agg(F.min("text").alias("text"))
+    copies = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.element_at(above, F.col("part")).alias("part"), F.lit(True).alias("copy"))
+    order = Window.partitionBy("part").orderBy("copy", F.col("doc_id").desc_nulls_last(), "text")
+    both = dealt.withColumn("copy", F.lit(False)).unionByName(copies)
+    return both.withColumn("next_text", F.lead("text").over(order)).where(~F.col("copy")).select("doc_id", "text", "next_text")
 
 
 def edited(text: Column, following: Column) -> Column:
