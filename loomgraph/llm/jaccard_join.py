@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import spread_join, stored
@@ -36,7 +36,10 @@ BLOCK_ENTRIES = 2_000_000
 #: Rows of a group, or of a block of a large group, that one task multiplies.
 GROUP_ROWS = 128
 COLUMNS_AT_ONCE = 8192
+#: Stands for a null doc_id on the way to Python and back.
 NO_ID = -(1 << 63)
+#: Numbers of texts without a doc_id of their own begin here.
+NAMELESS = 1 << 62
 
 
 def least_overlap(n, percent: int):
@@ -242,33 +245,54 @@ def _class_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(rows.join(found, "did", "left").withColumn("component", F.coalesce("component", "did")), "classes")
 
 
-def classes(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
-
-    ``size``: words of a shingle. ``percent``: least similarity in hundredths. Documents without words, or with a null
-    text, have no shingles and link with nothing; shorter ones than a shingle have one, of all their words. Repeated
-    rows are in one class. A null doc_id links like any other and is its class's id only when no other is there. An
-    empty table gives no rows. Other columns, whatever their names, aren't read.
-    """
+def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, sha, n, keeper (doc_id and sha of the class's first text) of every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, (volume // (6 * 2 * BLOCK_ENTRIES)).bit_length())  # about two million entries to a column block
     blocks = rows.mapInArrow(_matrix_blocks(size, bits), BLOCK_DDL)
     totals = blocks.groupBy("key").applyInPandas(_shared_columns, BLOCK_DDL).groupBy("block").applyInPandas(_row_totals, "did long, sha binary, n long, shared long")
-    totals = stored(totals, "row-totals")
-    # min over positive copies of NO_ID would hide real ids, so a missing id counts as the largest here
-    texts = totals.groupBy("sha").agg(F.min(F.when(F.col("did") != NO_ID, F.col("did"))).alias("first"), F.max("n").alias("n"), F.max("shared").alias("shared")).withColumn("did", F.coalesce("first", F.lit(NO_ID)))
-    texts = stored(texts.select("sha", "did", "n", "shared"), "distinct-texts")
-    left = texts.where((F.col("n") > 0) & (F.col("shared") >= least_overlap_column(percent))).select("did", "sha")
-    sets = stored(rows.join(left, ["did", "sha"]).select("did", "text").mapInArrow(_sets(size), "did long, key binary, n long, hashes array<long>"), "sets")
+    totals = stored(totals.withColumn("doc_id", F.when(F.col("did") != NO_ID, F.col("did"))).drop("did"), "row-totals")
+    texts = totals.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("shared").alias("shared"))
+    # a text goes by its doc_id; without one, or where another text has it too, by a number above all ids
+    alone = F.row_number().over(Window.partitionBy(F.coalesce("doc_id", F.xxhash64("sha"))).orderBy("sha")) == 1
+    number = F.when(F.col("doc_id").isNotNull() & alone, F.col("doc_id")).otherwise(F.xxhash64("sha").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS)))
+    texts = stored(texts.withColumn("did", number), "distinct-texts")
+    left = texts.where((F.col("n") > 0) & (F.col("shared") >= least_overlap_column(percent))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("own"), "sha", F.col("did").alias("number"))
+    found = rows.join(left, (F.col("did") == F.col("own")) & (rows["sha"] == left["sha"])).select(F.col("number").alias("did"), "text")
+    sets = stored(found.mapInArrow(_sets(size), "did long, key binary, n long, hashes array<long>"), "sets")
     reps = sets.groupBy("key").agg(F.min("did").alias("rep"))
     members = stored(spread_join(sets.select("did", "key"), reps, "key", ["did"]).select("did", "rep").distinct(), "set-classes")
     one = stored(sets.join(reps.select(F.col("rep").alias("did"), "key"), ["did", "key"]).dropDuplicates(["did", "key"]), "class-sets")
     edges = _links(one, _candidate_groups(one, percent), percent)
     both = edges.unionByName(members.where("did <> rep").select(F.col("did").alias("a"), F.col("rep").alias("b")))
-    named = _class_of(texts.select("sha", "did"), stored(both, "links")).select("sha", "component")
-    out = spread_join(totals, named, "sha", ["did"])
-    shown = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    own = F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("did"))
-    return out.withColumn("own", own).select(shown("did").alias("doc_id"), F.col("n").alias("n_shingles"), shown("own").alias("component_id"))
+    named = _class_of(texts.select("sha", "doc_id", "did"), stored(both, "links"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sha")).alias("keeper")
+    keepers = spread_join(named, named.groupBy("component").agg(first), "component", ["sha"]).select("sha", "keeper")
+    return spread_join(totals, keepers, "sha", ["doc_id"])
+
+
+def classes(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+
+    ``size``: words of a shingle. ``percent``: least similarity in hundredths. Documents without words, or with a null
+    text, have no shingles and link with nothing; shorter ones than a shingle have one, of all their words. Repeated
+    rows are in one class. A null doc_id links like any other; its class has a null id only when no other is there. Two
+    texts under one doc_id are two documents. An empty table gives no rows. Other columns, whatever their names, aren't
+    read.
+    """
+    own = F.when(F.col("n") > 0, F.col("keeper.doc_id")).otherwise(F.col("doc_id"))
+    return _classified(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+
+
+def one_per_class(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay when one document of each class does, with all their columns.
+
+    The one with the smallest doc_id, then the first text by SHA-256. Documents without words all stay, and rows that
+    repeat both doc_id and text stay together.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("sha") == F.col("keeper.sha"))
+    stays = _classified(docs, size, percent).where((F.col("n") == 0) | kept).select(F.col("doc_id").alias("_kept_id"), F.col("sha").alias("_kept_sha"))
+    named = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    return named.join(stays, named["doc_id"].eqNullSafe(stays["_kept_id"]) & (named["_sha"] == stays["_kept_sha"]), "left_semi").drop("_sha")

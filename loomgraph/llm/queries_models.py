@@ -10,7 +10,7 @@ from .common import load
 
 def op10_block_max_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document, with its nearest labelled examples."""
-    return toxicity.scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return toxicity.scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")).drop("text_key")
 
 
 def op9_gru_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

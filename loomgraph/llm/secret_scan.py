@@ -115,3 +115,15 @@ def redacted(text: Column, spans: Column) -> Column:
 
     tail = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, step, tail)).otherwise(text)
+
+
+def redacted_documents(docs: DataFrame) -> DataFrame:
+    """``docs`` with the secrets in their texts replaced by their kind; n_chars, where there is one, follows."""
+    hits = findings(docs).where("size(spans) > 0").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
+    named = docs.withColumn("_blob", blob_of(F.coalesce(F.col("text"), F.lit(""))))
+    found = F.col("_spans").isNotNull()
+    out = spread_join(named, stored(hits, "hits"), "_blob", ["doc_id"], "left")
+    out = out.withColumn("text", F.when(found, redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -182,20 +182,20 @@ def _vector(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
 
 
 def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(doc_id, terms, counts) of every row."""
+    """(doc_id, text_key, terms, counts) of every row."""
     finder = TermFinder(terms)
 
     def find(batches):
         for b in batches:
             got = [finder(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "terms": pa.array([list(g) for g in got], pa.list_(pa.int32())), "counts": pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "terms": pa.array([list(g) for g in got], pa.list_(pa.int32())), "counts": pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))})
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(texts.mapInArrow(find, "doc_id long, terms array<int>, counts array<int>"), "term-counts")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    return stored(texts.mapInArrow(find, "doc_id long, text_key long, terms array<int>, counts array<int>"), "term-counts")
 
 
 def scores(docs: DataFrame, labels: DataFrame, *, k: int = 12, threshold: float = 0.3, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence.
+    """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence, text_key.
 
     Learns from labels (doc_id, toxic 0 or 1; others are left out) whose doc_id isn't held out: at most ``per_class``
     a class are sampled, by hash of the id. ``score`` is the share of label 1 in the vote, drawn slightly towards the
@@ -244,7 +244,14 @@ def scores(docs: DataFrame, labels: DataFrame, *, k: int = 12, threshold: float
                         seen.clear()
                     seen[key] = vote(index, idf, prior, dict(key))
                 out.append(seen[key])
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "score": pa.array([s for s, _ in out], pa.float64()), "evidence": pa.array([e for _, e in out], evidence)})
+            yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "score": pa.array([s for s, _ in out], pa.float64()), "evidence": pa.array([e for _, e in out], evidence)})
 
-    scored = counts.mapInArrow(score_rows, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,share:double>>")
-    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence")
+    scored = counts.mapInArrow(score_rows, "doc_id long, text_key long, score double, evidence array<struct<doc_id:long,similarity:double,share:double>>")
+    return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "evidence", "text_key")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns."""
+    bad = scores(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("_bad_id"), F.col("text_key").alias("_bad_key"))
+    named = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    return named.join(bad, named["doc_id"].eqNullSafe(bad["_bad_id"]) & (named["_key"] == bad["_bad_key"]), "left_anti").drop("_key")
