@@ -1,0 +1 @@
+"""Column and frame functions that operators are composed of."""

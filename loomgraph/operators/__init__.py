@@ -1,0 +1 @@
+"""Operators over whole hypergraphs: DataFrames in, one lazy DataFrame out."""

@@ -1,0 +1 @@
+"""Plans that run in rounds: each round is a DataFrame, stored before the next."""
