@@ -46,7 +46,10 @@ def expand_to_star(g: Frames, to_vertex: Column | None = None) -> Frames:
     hubs = g.hyperedges.select(F.col("id").alias("h"), F.lit(-1).cast("long").alias("at"), F.lit(None).cast("long").alias("member"))
     spokes = members_of(g.incidence).select(F.col("hyperedge_id").alias("h"), F.col("first_pos").alias("at"), F.col("vertex_id").alias("member"))
     rows = numbered(hubs.unionByName(spokes), "h", "at", name="id", first=base + 1)
-    payload = g.hyperedges.select(F.col("id").alias("h"), "weight", F.col("data"), (to_vertex if to_vertex is not None else F.col("data")).alias("as_vertex"))
+    wanted = g.vertices.schema["data"].dataType
+    if to_vertex is None:  # payloads of another type can't be vertices' ones
+        to_vertex = F.col("data") if g.hyperedges.schema["data"].dataType == wanted else F.lit(None).cast(wanted)
+    payload = g.hyperedges.select(F.col("id").alias("h"), "weight", "data", to_vertex.alias("as_vertex"))
     hub = rows.where("member is null").select("h", F.col("id").alias("hub")).join(payload, "h")
     edges = rows.where("member is not null").join(hub, "h")
     vertices = g.vertices.select("id", "data").unionByName(hub.select(F.col("hub").alias("id"), F.col("as_vertex").alias("data")))

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import local
+from .local import LOCAL_ROWS, LOCAL_WORK
 from .tables import spread_join, stored
 
 
@@ -46,7 +48,7 @@ def page_rank(vertices: DataFrame, hyperedges: DataFrame, members: DataFrame, *,
     return PageRank(scores.select("vertex_id", "score"), max_iterations, False)
 
 
-def centrality(vertices: DataFrame, pairs: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+def centrality(vertices: DataFrame, pairs: DataFrame, sources: DataFrame | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(vertex_id, degree, closeness, betweenness) by unweighted directed distances.
 
     degree: pair ends by 2 (n - 1). closeness: r^2 / ((n - 1) * sum of the distances) over the r vertices reached.
@@ -58,6 +60,17 @@ def centrality(vertices: DataFrame, pairs: DataFrame, sources: DataFrame | None
     edges = stored(pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("m")), "edges")
     ends = edges.select(F.explode(F.array("src", "dst")).alias("vertex_id"), "m").groupBy("vertex_id").agg(F.sum("m").alias("ends"))
     begin = (sources if sources is not None else ids).select("vertex_id")
+    scale = float((n - 1) * (n - 2)) if n > 2 else 1.0
+
+    def result(closeness: DataFrame, between: DataFrame) -> DataFrame:
+        out = ids.join(ends, "vertex_id", "left").join(closeness, "vertex_id", "left").join(between, "vertex_id", "left")
+        close = F.when(F.col("r") > 0, F.col("r") * F.col("r") / (F.lit(float(max(n - 1, 1))) * F.col("total"))).otherwise(0.0)
+        return out.select("vertex_id", (F.coalesce("ends", F.lit(0.0)) / float(2 * (n - 1) if n > 1 else 1)).alias("degree"), F.coalesce(close, F.lit(0.0)).alias("closeness"), (F.coalesce("b", F.lit(0.0)) / scale).alias("betweenness"))
+
+    if n * edges.count() <= LOCAL_WORK and (here := local.fetched(edges, local_rows)) is not None:
+        known = [int(r["vertex_id"]) for r in ids.collect()]
+        reach, sums = local.brandes(known, here, known if sources is None else [int(r["vertex_id"]) for r in begin.collect()])
+        return result(local.frame(ids, [(v, *x) for v, x in reach.items()], "vertex_id long, r long, total long"), local.frame(ids, list(sums.items()), "vertex_id long, b double"))
     levels = [stored(begin.select(F.col("vertex_id").alias("s"), F.col("vertex_id").alias("v"), F.lit(1.0).alias("sigma")), "level")]
     seen = levels[0].select("s", "v", F.lit(0).alias("dist"), "sigma")
     while True:
@@ -78,11 +91,6 @@ def centrality(vertices: DataFrame, pairs: DataFrame, sources: DataFrame | None
             delta = own.join(sums, ["s", "v"], "left").select("s", "v", "sigma", (F.col("sigma") * F.coalesce("x", F.lit(0.0))).alias("delta"))
         below = stored(delta, "dependencies")
         between = below if between is None else between.unionByName(below)
-    out = ids.join(ends, "vertex_id", "left").join(closeness, "vertex_id", "left")
-    if between is not None:
-        out = out.join(between.groupBy(F.col("v").alias("vertex_id")).agg(F.sum("delta").alias("b")), "vertex_id", "left")
-    else:
-        out = out.withColumn("b", F.lit(0.0))
-    scale = float((n - 1) * (n - 2)) if n > 2 else 1.0
-    close = F.when(F.col("r") > 0, F.col("r") * F.col("r") / (F.lit(float(max(n - 1, 1))) * F.col("total"))).otherwise(0.0)
-    return out.select("vertex_id", (F.coalesce("ends", F.lit(0.0)) / float(2 * (n - 1) if n > 1 else 1)).alias("degree"), F.coalesce(close, F.lit(0.0)).alias("closeness"), (F.coalesce("b", F.lit(0.0)) / scale).alias("betweenness"))
+    if between is None:
+        return result(closeness, ids.withColumn("b", F.lit(0.0)))
+    return result(closeness, between.groupBy(F.col("v").alias("vertex_id")).agg(F.sum("delta").alias("b")))

@@ -2,24 +2,32 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.errors import CycleDetectedError
 
+from . import local
 from .components import components
+from .local import LOCAL_ROWS
 from .tables import placed, spread_join, stored
 
 
-def connected_components(vertices: DataFrame, members: DataFrame) -> DataFrame:
+def connected_components(vertices: DataFrame, members: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(vertex_id, component): the smallest vertex id of each weakly connected component.
 
     A hyperedge joins all its members, so each is joined to its smallest one only.
     """
     first = members.groupBy("hyperedge_id").agg(F.min("vertex_id").alias("b"))
-    stars = spread_join(members.select("hyperedge_id", F.col("vertex_id").alias("a")), first, "hyperedge_id", ["a"]).select("a", "b").distinct()
-    found = components(stars).withColumnRenamed("v", "vertex_id")
+    stars = spread_join(members.select("hyperedge_id", F.col("vertex_id").alias("a")), first, "hyperedge_id", ["a"]).select("a", "b").where("a <> b").distinct()
+    stars = stored(stars, "stars")
     every = vertices.select(F.col("id").alias("vertex_id"))
+    if (here := local.fetched(stars, local_rows)) is not None:
+        ends = pd.unique(here[["a", "b"]].to_numpy().ravel()).tolist()
+        found = local.frame(stars, list(local.components(ends, here).items()), "vertex_id long, component long")
+    else:
+        found = components(stars).withColumnRenamed("v", "vertex_id")
     return every.join(found, "vertex_id", "left").withColumn("component", F.coalesce("component", "vertex_id"))
 
 
@@ -28,7 +36,7 @@ def is_connected(vertices: DataFrame, members: DataFrame) -> bool:
     return connected_components(vertices, members).select("component").distinct().limit(2).count() <= 1
 
 
-def topological_levels(vertices: DataFrame, pairs: DataFrame, *, ordered: bool = True) -> tuple[DataFrame, bool]:
+def topological_levels(vertices: DataFrame, pairs: DataFrame, *, ordered: bool = True, local_rows: int = LOCAL_ROWS) -> tuple[DataFrame, bool]:
     """(vertex_id, level, place) of the vertices that no cycle holds back, and whether those are all.
 
     Level by level the vertices without a pair left that ends at them are taken out. By level and place they are in
@@ -36,6 +44,9 @@ def topological_levels(vertices: DataFrame, pairs: DataFrame, *, ordered: bool =
     """
     left = stored(pairs.select("hyperedge_id", "pos", "src", "dst"), "pairs-left")
     waiting = stored(vertices.select(F.col("id").alias("vertex_id")), "waiting")
+    if (here := local.fetched(left, local_rows)) is not None and (ids := local.fetched(waiting, local_rows)) is not None:
+        order = local.kahn([int(v) for v in ids["vertex_id"]], here)
+        return local.frame(left, order, "vertex_id long, level int, place long"), len(order) == len(ids)
     done, last, level = None, None, 0
     while True:
         ready = waiting.join(left.select(F.col("dst").alias("vertex_id")), "vertex_id", "left_anti")
@@ -92,7 +103,7 @@ def core(members: DataFrame, hyperedges: DataFrame, vertices: DataFrame, s: int,
     return vertex_ids, hyperedge_ids
 
 
-def cut_vertices(members: DataFrame) -> DataFrame:
+def cut_vertices(members: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(vertex_id) of the vertices whose removal, from all hyperedges, disconnects their component.
 
     Those are the cut vertices of the bipartite graph of vertices and hyperedges, without hyperedges of one member. A
@@ -105,6 +116,9 @@ def cut_vertices(members: DataFrame) -> DataFrame:
     # nodes: 2 * vertex id, 2 * hyperedge id + 1
     half = kept.select((F.col("vertex_id") * 2).alias("a"), (F.col("hyperedge_id") * 2 + 1).alias("b"))
     half = stored(half, "bipartite")
+    if (here := local.fetched(half, local_rows)) is not None:
+        named = here.rename(columns={"a": "vertex_id", "b": "hyperedge_id"}).assign(vertex_id=here["a"] // 2)
+        return local.frame(half, [(v,) for v in local.cut_vertices(named)], "vertex_id long")
     if half.isEmpty():
         return half.select(F.col("a").alias("vertex_id"))
     both = stored(half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"))), "bipartite")

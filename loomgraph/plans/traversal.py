@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import local
+from .local import LOCAL_ROWS, LOCAL_WORK
 from .tables import placed, spread_join, stored
 
 
@@ -21,10 +23,12 @@ def edges_of(pairs: DataFrame) -> DataFrame:
     return first.select("src", "dst", "at.hyperedge_id", "at.pos")
 
 
-def bfs(pairs: DataFrame, start: int) -> DataFrame:
+def bfs(pairs: DataFrame, start: int, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(vertex_id, level, place) of the vertices reached; ordered by level and place they are in breadth-first order,
     neighbours by hyperedge and position."""
-    edges = stored(pairs, "pairs")
+    edges = stored(pairs.select("hyperedge_id", "pos", "src", "dst"), "pairs")
+    if (here := local.fetched(edges, local_rows)) is not None:
+        return local.frame(edges, local.bfs(here, int(start)), "vertex_id long, level int, place long")
     seen = stored(_ids(pairs, [start], "vertex_id").withColumn("level", F.lit(0)).withColumn("place", F.lit(0).cast("long")), "bfs")
     frontier, level = seen, 0
     while True:
@@ -37,10 +41,13 @@ def bfs(pairs: DataFrame, start: int) -> DataFrame:
         seen = stored(seen.unionByName(frontier), "bfs")
 
 
-def reachable(pairs: DataFrame, sources: DataFrame, until: int | None = None) -> DataFrame:
+def reachable(pairs: DataFrame, sources: DataFrame, until: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(vertex_id, hops) of the vertices that a path from any of ``sources`` (vertex_id) ends at, those included; stops
     early once ``until`` is among them."""
     edges = stored(pairs.select("src", "dst").distinct(), "edges")
+    starts = stored(sources.select("vertex_id").distinct(), "sources")
+    if (here := local.fetched(edges, local_rows)) is not None and (begin := local.fetched(starts, local_rows)) is not None:
+        return local.frame(edges, sorted(local.hops(here, [int(v) for v in begin["vertex_id"]]).items()), "vertex_id long, hops int")
     seen = frontier = stored(sources.select("vertex_id").distinct().withColumn("hops", F.lit(0)), "reached")
     hops = 0
     while True:
@@ -54,11 +61,16 @@ def reachable(pairs: DataFrame, sources: DataFrame, until: int | None = None) ->
         seen = stored(seen.unionByName(frontier), "reached")
 
 
-def shortest_paths(pairs: DataFrame, start: int, target: int | None = None) -> DataFrame:
+def shortest_paths(pairs: DataFrame, start: int, target: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(vertex_id, cost, hops, path) of the least path from ``start`` to every vertex, or those no dearer than
     ``target``: by cost, then hops, then the path's ids. ``pairs`` has a weight that isn't negative, which a step costs.
     """
     edges = stored(pairs.groupBy("src", "dst").agg(F.min("weight").cast("long").alias("w")), "edges")
+    if (here := local.fetched(edges, local_rows)) is not None:
+        best, previous = local.shortest(here, int(start))
+        wanted = best if target is None else [v for v in (int(target),) if v in best]
+        if sum(best[v][1] for v in wanted) <= LOCAL_WORK:
+            return local.frame(edges, [(v, *best[v], local.path_to(v, previous)) for v in wanted], "vertex_id long, cost long, hops long, path array<long>")
     zero = F.lit(0).cast("long")
     best = frontier = stored(_ids(pairs, [start], "vertex_id").select("vertex_id", zero.alias("cost"), zero.alias("hops"), F.array("vertex_id").alias("path")), "paths")
     while True:

@@ -8,7 +8,7 @@ from loomgraph.functions import frames
 from loomgraph.operators.projections import Frames
 from loomgraph.plans import ranking, structure, traversal
 
-from .inputs import nations, orders, sizes, with_sql
+from .inputs import customers, nations, orders, sizes, with_sql
 
 
 def _first(g: Frames) -> int:
@@ -103,11 +103,11 @@ def topological_level(spark, sf_dir):
     return structure.topological_order(g.vertices, frames.pairs_of(g.incidence)).select("vertex_id", F.col("level").cast("long").alias("level"))
 
 
-CORE = (29, 4)
+CORE = (20, 3)
 
 
 def core(spark, sf_dir):
-    """Incidences of the core in which parts are in 29 orders or more and orders have four parts or more."""
+    """Incidences of the core in which parts are in 20 orders or more and orders have three parts or more."""
     g = orders(spark, sf_dir)
     members = frames.members_of(g.incidence)
     v, h = structure.core(members, g.hyperedges, g.vertices, *CORE)
@@ -115,7 +115,8 @@ def core(spark, sf_dir):
 
 
 def cut_vertices(spark, sf_dir):
-    return structure.cut_vertices(frames.members_of(nations(spark, sf_dir).incidence))
+    """Customers whose removal disconnects others."""
+    return structure.cut_vertices(frames.members_of(customers(spark, sf_dir).incidence))
 
 
 def cut_vertices_orders(spark, sf_dir):
@@ -207,11 +208,13 @@ SELECT path FROM p WHERE v = (SELECT max(v) FROM verts)""", recursive=True),
 r(v, level) AS (SELECT v, 0::BIGINT FROM verts WHERE v NOT IN (SELECT dst FROM prs) UNION SELECT p.dst, level + 1 FROM r JOIN prs p ON p.src = r.v)
 SELECT v AS vertex_id, max(level) AS level FROM r GROUP BY v""", recursive=True),
     "core": _core_sql(),
-    "cut_vertices": with_sql("nations", """
-r(gone, v, seen) AS (SELECT x.v, (SELECT min(b.v) FROM mem a JOIN mem b USING (h) WHERE a.v = x.v AND b.v <> x.v), 0 FROM verts x UNION
-  SELECT r.gone, b.v, 0 FROM r JOIN mem a ON a.v = r.v JOIN mem b ON b.h = a.h WHERE b.v <> r.gone),
+    "cut_vertices": with_sql("customers", """
+r(gone, v, h) AS (SELECT x.v, (SELECT min(b.v) FROM mem a JOIN mem b USING (h) WHERE a.v = x.v AND b.v <> x.v), NULL::BIGINT FROM verts x UNION
+  SELECT r.gone, CASE WHEN r.v IS NULL THEN m.v END, CASE WHEN r.v IS NULL THEN NULL ELSE m.h END FROM r JOIN mem m ON (r.v IS NULL AND m.h = r.h) OR m.v = r.v WHERE m.v <> r.gone),
 near AS (SELECT DISTINCT a.v AS gone, b.v FROM mem a JOIN mem b USING (h) WHERE a.v <> b.v)
-SELECT DISTINCT gone AS vertex_id FROM near WHERE (gone, v) NOT IN (SELECT gone, v FROM r WHERE v IS NOT NULL)""", recursive=True),
+SELECT DISTINCT n.gone AS vertex_id FROM near n ANTI JOIN (SELECT gone, v FROM r WHERE v IS NOT NULL) x ON x.gone = n.gone AND x.v = n.v""", recursive=True),
+    "is_connected": "SELECT 'orders' AS graph, count(DISTINCT component) <= 1 AS connected FROM (" + with_sql("orders", _LABELS + "SELECT l AS component FROM c", recursive=True) + ") UNION ALL SELECT 'nations', count(DISTINCT component) <= 1 FROM (" + with_sql("nations", _LABELS + "SELECT l AS component FROM c", recursive=True) + ")",
+    "has_cycle": "SELECT 'sizes' AS graph, (SELECT count(*) FROM (" + with_sql("sizes", _REACH + "SELECT src FROM c WHERE src = dst", recursive=True) + ")) > 0 AS cycle UNION ALL SELECT 'orders', (SELECT count(*) FROM (" + with_sql("orders", _REACH + "SELECT src FROM c WHERE src = dst", recursive=True) + ")) > 0",
     "pagerank_k": _pagerank_sql(),
     "centrality": with_sql("sizes", """
 e AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS m FROM prs GROUP BY ALL),

@@ -2,6 +2,7 @@
 
 orders: an order is a hyperedge, its parts are the vertices, by line; all parts and orders, weight by priority.
 sizes: a brand is a hyperedge, the distinct sizes of its parts its vertices, rising, so there is no cycle.
+customers: see the function.
 nations: a region's nations are a hyperedge, and so are those of each five successive keys; weight 1.
 """
 
@@ -39,6 +40,14 @@ def nations(spark: SparkSession, sf_dir: str) -> Frames:
     return _unweighted(rows)
 
 
+def customers(spark: SparkSession, sf_dir: str) -> Frames:
+    """A nation's customers are a hyperedge, and so are the first ones of a region's nations."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("v"), F.col("c_nationkey").alias("n"))
+    region = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"), F.col("n_regionkey").alias("r"))
+    first = rows.groupBy("n").agg(F.min("v").alias("v")).join(region, "n").select("v", (F.col("r") + 1000).cast("long").alias("h"))
+    return _unweighted(rows.select("v", (F.col("n") + 1).cast("long").alias("h")).unionByName(first))
+
+
 def _unweighted(rows: DataFrame) -> Frames:
     none = F.lit(None).cast("string").alias("data")
     hyperedges = rows.select(F.col("h").alias("id")).distinct().select("id", F.lit(1).cast("long").alias("weight"), none)
@@ -57,6 +66,11 @@ NATIONS_SQL = """
 inc AS MATERIALIZED (SELECT h, row_number() OVER (PARTITION BY h ORDER BY v) - 1 AS pos, v FROM (SELECT n_nationkey::BIGINT AS v, unnest([n_regionkey + 1, 100 + n_nationkey // 5])::BIGINT AS h FROM nation)),
 verts AS (SELECT DISTINCT v FROM inc),
 edges AS (SELECT DISTINCT h, 1::BIGINT AS w FROM inc)"""
+CUSTOMERS_SQL = """
+inc AS MATERIALIZED (SELECT h, row_number() OVER (PARTITION BY h ORDER BY v) - 1 AS pos, v FROM (SELECT c_custkey AS v, c_nationkey::BIGINT + 1 AS h FROM customer UNION ALL
+  SELECT min(c_custkey), any_value(n_regionkey)::BIGINT + 1000 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey)),
+verts AS (SELECT DISTINCT v FROM inc),
+edges AS (SELECT DISTINCT h, 1::BIGINT AS w FROM inc)"""
 DERIVED_SQL = """,
 mem AS MATERIALIZED (SELECT h, v, min(pos) AS first_pos, count(*) AS times FROM inc GROUP BY h, v),
 prs AS MATERIALIZED (SELECT * FROM (SELECT h, pos, v AS src, lead(v) OVER (PARTITION BY h ORDER BY pos) AS dst FROM inc) WHERE dst IS NOT NULL)"""
@@ -64,7 +78,7 @@ prs AS MATERIALIZED (SELECT * FROM (SELECT h, pos, v AS src, lead(v) OVER (PARTI
 
 def with_sql(graph: str, body: str, *, recursive: bool = False) -> str:
     """A statement over inc, verts, edges, mem and prs of a graph; ``body`` may begin with further expressions."""
-    base = {"orders": ORDERS_SQL, "sizes": SIZES_SQL, "nations": NATIONS_SQL}[graph]
+    base = {"orders": ORDERS_SQL, "sizes": SIZES_SQL, "nations": NATIONS_SQL, "customers": CUSTOMERS_SQL}[graph]
     body = body.strip()
     more = "" if body.upper().startswith("SELECT") else ","
     return f"WITH {'RECURSIVE' if recursive else ''} {base}{DERIVED_SQL}{more}\n{body}"
