@@ -1,7 +1,13 @@
+import sys
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
 
+sys.path[:0] = [str(Path(__file__).parents[1]), str(Path(__file__).parent)]
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (
