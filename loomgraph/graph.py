@@ -21,7 +21,7 @@ from loomgraph.functions import frames
 from loomgraph.operators import edits, matrices, measures, projections, subsets
 from loomgraph.operators.projections import Frames
 from loomgraph.plans import ranking, structure, traversal
-from loomgraph.plans.tables import stored
+from loomgraph.plans.tables import stored, stored_all
 
 
 class Hypergraph:
@@ -110,9 +110,9 @@ class Hypergraph:
 
     def build(self) -> None:
         """Stores the frames and those derived from them; idempotent, and cuts the lineage of the edits so far."""
-        self._vertices, self._hyperedges, self._incidence = (stored(df, name) for df, name in zip(self.frames, ("vertices", "hyperedges", "incidence")))
-        self._members = stored(frames.members_of(self._incidence), "members")
-        self._pairs = stored(frames.pairs_of(self._incidence), "pairs")
+        self._incidence = stored(self._incidence, "incidence")
+        named = {"vertices": self.vertex_frame, "hyperedges": self.hyperedge_frame, "members": frames.members_of(self._incidence), "pairs": frames.pairs_of(self._incidence)}
+        self._vertices, self._hyperedges, self._members, self._pairs = stored_all(named)
 
     def clear(self) -> None:
         """Drops everything; ids go on from where they were."""

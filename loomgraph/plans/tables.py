@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,12 +35,28 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_all(named: dict[str, DataFrame]) -> list[DataFrame]:
+    """Several frames stored at once, each by a job of its own, as tasks come free."""
+    with ThreadPoolExecutor(len(named)) as pool:
+        return list(pool.map(lambda x: stored(x[1], x[0]), named.items()))
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether the optimiser's size of ``df``, which for aggregates and joins is an upper one, is within
+    spark.sql.autoBroadcastJoinThreshold."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
+
+
 def spread_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: list[str], how: str = "inner", buckets: int = 256) -> DataFrame:
     """``rows`` joined (inner or left) with ``per_key``, which has one row per key, so that a hot key meets no single task.
 
-    The rows of a key are dealt to ``buckets`` buckets by a hash of ``spread_by``. The (key, bucket) pairs that occur
-    first take up their key's values, at most ``buckets`` rows a key, and then meet the rows on both columns.
+    A side of a checked small size is broadcast. Else the rows of a key are dealt to ``buckets`` buckets by a hash of
+    ``spread_by``; the (key, bucket) pairs that occur first take up their key's values, at most ``buckets`` rows a key,
+    and then meet the rows on both columns.
     """
+    if fits_broadcast(per_key):
+        return rows.join(F.broadcast(per_key), key, how)
     dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
     pairs = dealt.select(key, "_bucket").groupBy(key, "_bucket").agg(F.lit(1).alias("_one")).drop("_one")
     return dealt.join(pairs.join(per_key, key), [key, "_bucket"], how).drop("_bucket")
