@@ -131,49 +131,52 @@ def fit_terms(docs: DataFrame, picked: list[tuple[int, int]]) -> list[str]:
 
 
 class BlockMaxIndex:
-    """Labelled unit vectors in blocks of rows; each block knows the largest weight of every term in it."""
+    """Labelled unit vectors in blocks of rows: postings by term, and the largest weight of every term in each block.
+
+    The postings travel as they are and are laid out by term, block and row where they are first read.
+    """
 
     def __init__(self, vectors: list[dict[int, float]], votes: np.ndarray, ids: list[int], n_terms: int) -> None:
         order = sorted(range(len(vectors)), key=lambda i: (min(vectors[i]), sorted(vectors[i].items())))
         self.votes, self.ids = votes[order], np.array(ids, np.int64)[order]
-        n_blocks = -(-len(order) // BLOCK_ROWS)
-        self.top = np.zeros((n_terms, n_blocks), np.float64)
-        self.postings: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
-        for k in range(n_blocks):
-            lists: dict[int, tuple[list, list]] = {}
-            for row, i in enumerate(order[k * BLOCK_ROWS : (k + 1) * BLOCK_ROWS]):
-                for t, w in vectors[i].items():
-                    rows, weights = lists.setdefault(t, ([], []))
-                    rows.append(row)
-                    weights.append(w)
-            self.postings.append({t: (np.array(r), np.array(w)) for t, (r, w) in lists.items()})
-            for t, (_, w) in lists.items():
-                self.top[t, k] = max(w)
+        self.shape = (n_terms, -(-len(order) // BLOCK_ROWS), BLOCK_ROWS)
+        postings = [(t, row, w) for row, i in enumerate(order) for t, w in vectors[i].items()]
+        self.terms, self.rows, self.weights = (np.array([p[k] for p in postings], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
+        self.laid_out: np.ndarray | None = None
+
+    def _open(self) -> None:
+        self.laid_out = np.zeros(self.shape)
+        self.laid_out[self.terms, self.rows // BLOCK_ROWS, self.rows % BLOCK_ROWS] = self.weights
+        self.top = self.laid_out.max(axis=2) if self.shape[1] else np.zeros(self.shape[:2])
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
         """(row, similarity) of the ``k`` most similar rows and of all that tie with the last, most similar first."""
-        terms = sorted(query)
-        bound = np.array([query[t] for t in terms]) @ self.top[terms] if terms else np.empty(0)
-        rows, sims, least = [], [], 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or bound[b] < least - 1e-9:
-                break
-            score = np.zeros(BLOCK_ROWS)
-            for t in terms:
-                if t in self.postings[b]:
-                    at, w = self.postings[b][t]
-                    score[at] += query[t] * w
-            hit = np.flatnonzero((score > 0) & (score >= least - 1e-9))
-            rows.extend((b * BLOCK_ROWS + hit).tolist())
-            sims.extend(score[hit].tolist())
-            if len(sims) >= k:
-                least = float(np.partition(sims, len(sims) - k)[len(sims) - k])
-        rows, sims = np.array(rows, np.int64), np.round(np.array(sims, np.float64), 9)
+        if self.laid_out is None:
+            self._open()
+        terms, weights = list(query), np.array(list(query.values()))
+        bound = weights @ self.top[terms]
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        first = max(2, -(-2 * k // BLOCK_ROWS))
+        rows, sims = self._scores(terms, weights, order[:first])
+        least = float(np.partition(sims, len(sims) - k)[len(sims) - k]) if len(sims) >= k else 0.0
+        # no row of a block can be nearer than the block's bound
+        more = order[first:][bound[order[first:]] >= least - 1e-9]
+        if len(more):
+            rows, sims = (np.concatenate(x) for x in zip((rows, sims), self._scores(terms, weights, more)))
+            least = float(np.partition(sims, len(sims) - k)[len(sims) - k]) if len(sims) >= k else 0.0
+        sims = np.round(sims, 9)
         keep = sims >= round(least, 9)
         rows, sims = rows[keep], sims[keep]
         order = np.lexsort((rows, -sims))
         return rows[order], sims[order]
 
+    def _scores(self, terms: list[int], weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the blocks that share a term with the query, with their similarities."""
+        sims = np.tensordot(weights, self.laid_out[np.array(terms)[:, None], blocks], 1).ravel()
+        rows = (blocks[:, None] * BLOCK_ROWS + np.arange(BLOCK_ROWS)).ravel()
+        return rows[sims > 0], sims[sims > 0]
+
 
 def _vector(counts: dict[int, int], idf: np.ndarray) -> dict[int, float]:
     raw = {t: (1 + np.log(n)) * idf[t] for t, n in sorted(counts.items())} | {len(idf): REST_WEIGHT}
