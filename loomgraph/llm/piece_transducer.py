@@ -22,8 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Entries that a worker's tables of segments and of adjacent pieces hold at most.
-SEGMENTS, PAIRS = 1_000_000, 1_500_000
+LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: Rows in one batch of results.
+ROWS = 1024
+#: Entries that each of the two generations of a worker's tables of segments and of adjacent pieces holds at most.
+SEGMENTS, PAIRS = 300_000, 300_000
+PREFIX, UNKNOWN = -1, -2
 
 
 def default_path() -> str:
@@ -32,6 +36,24 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Recent:
+    """A table of bounded size: what was used since the table last filled, and what was in it then."""
+
+    def __init__(self, size: int) -> None:
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Transducer:
     """Normaliser, pieces and byte fallback of one BPE model file."""
 
@@ -51,14 +73,23 @@ class Transducer:
             raise ValueError("pieces that hold a space behind other characters aren't supported")
         self.id_of = {p: i for i, p, _ in normal}
         self.score = {p: s for _, p, s in normal}
-        self.longest = max(map(len, self.id_of))
+        # the pieces as a tree: the id of each piece, PREFIX for what only begins one
+        self.nodes = {p[:k]: PREFIX for p in self.id_of for k in range(1, len(p))} | self.id_of
+        self.joined = {p[k : k + 2] for p in self.id_of for k in range(len(p) - 1)}
+        if any(c not in self.id_of for p in self.id_of for c in p):
+            raise ValueError("pieces with characters outside the vocabulary aren't supported")
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == kinds.BYTE}
         self.raw = [p.piece.replace(SPACE, " ").encode() if p.type in (kinds.NORMAL, kinds.USER_DEFINED) else bytes([int(p.piece[3:5], 16)]) if p.type == kinds.BYTE else b"" for p in model.pieces]
-        self.adjacent: dict[tuple[str, str], bool] = {}
+        self.adjacent = Recent(PAIRS)
         self.whole: dict[str, bool] = {}
         self.halves: dict[str, tuple[str, str]] = {}
-        self.segments: dict[str, bytes] = {}
-        self.cut = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n") if "\n" not in self.id_of else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.segments = Recent(SEGMENTS)
+        # segments begin at spaces, and after a word where a mark follows that no piece joins to a letter
+        letter = re.compile(f"[{LETTERS}]")
+        marks = "".join(re.escape(c) for c in sorted({c for p in self.id_of for c in p}) if not c.isalnum() and c not in f"_{SPACE}\n" and not any(b == c and letter.match(a) for a, b in self.joined))
+        lines = "" if "\n" in self.id_of else "\n"
+        self.plain = re.compile(f"{SPACE}*[{LETTERS}]+")
+        self.cut = re.compile(f"{SPACE}*[{LETTERS}]+(?=[{marks}])|{SPACE}*[^{SPACE}{lines}]+|{SPACE}+|\n")
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by merging the best-scored neighbours, the first of equals, until none is left."""
@@ -89,12 +120,11 @@ class Transducer:
 
     def may_follow(self, left: str, right: str) -> bool:
         """Whether the arc from state ``left`` over ``right`` has a finite weight."""
-        key = (left, right)
+        key = self.id_of[left] << 32 | self.id_of[right]
         found = self.adjacent.get(key)
         if found is None:
-            if len(self.adjacent) >= PAIRS:
-                self.adjacent.clear()
-            found = self.adjacent[key] = self._stay_apart(left, right)
+            found = self._stay_apart(left, right)
+            self.adjacent.put(key, found)
         return found
 
     def _stay_apart(self, left: str, right: str) -> bool:
@@ -121,51 +151,83 @@ class Transducer:
                 after = (score[right], False)
                 right = self.last_merge(right)[0]
 
-    def shortest_path(self, text: str) -> list[str]:
-        """The pieces, or unknown characters, on the one finite path over a normalised text."""
-        known, last = self.id_of, [""] * (len(text) + 1)
-        for end in range(1, len(text) + 1):
-            for begin in range(max(0, end - self.longest), end):
-                piece = text[begin:end]
-                if piece in known or end - begin == 1:
-                    before = last[begin]
-                    if begin == 0:
-                        ok = piece not in known or self.is_whole(piece)
-                    elif before == "":
-                        ok = False
+    def shortest_path(self, text: str) -> list[int]:
+        """The ids on the one finite path over a normalised text.
+
+        Depth first, long pieces first. A position that can be reached is reached by one path only, that of the prefix's
+        encoding, so one from which the search has come back is never entered again.
+        """
+        nodes, recent, n = self.nodes, self.adjacent.young, len(text)
+        path: list[tuple[int, int, list]] = []  # (begin, id, shorter pieces that begin there too)
+        closed, at, before = bytearray(n + 1), 0, UNKNOWN
+        while at < n:
+            found, end = [], at + 1
+            node = nodes.get(text[at:end])
+            if node is None:
+                found.append((end, UNKNOWN))
+            while node is not None:
+                if node >= 0:
+                    found.append((end, node))
+                end += 1
+                node = nodes.get(text[at:end]) if end <= n else None
+            while True:
+                step = None
+                while found:
+                    end, node = found.pop()
+                    if closed[end]:
+                        continue
+                    if at == 0:
+                        ok = node == UNKNOWN or self.is_whole(text[:end])
+                    elif before == UNKNOWN or node == UNKNOWN:
+                        ok = True
                     else:
-                        ok = piece not in known or before not in known or self.may_follow(before, piece)
+                        ok = recent.get(before << 32 | node)
+                        if ok is None:
+                            ok = self.may_follow(text[path[-1][0] : at], text[at:end])
                     if ok:
-                        last[end] = piece
+                        step = (at, node, found)
                         break
-        out, end = [], len(text)
-        while end:
-            out.append(last[end])
-            end -= len(last[end])
-        return out[::-1]
+                if step:
+                    path.append(step)
+                    at, before = end, node
+                    break
+                closed[at] = 1
+                at, _, found = path.pop()
+                before = path[-1][1] if path else UNKNOWN
+        out: list[int] = []
+        for begin, node, _ in path:
+            out.extend([node] if node != UNKNOWN else [self.byte_id[b] for b in text[begin].encode("utf-8", "surrogatepass")])
+        return out
 
     def normalise(self, text: str) -> str:
         return self.prefix + text.replace(" ", SPACE) if text else ""
 
     def _segment(self, segment: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.shortest_path(segment):
-            i = self.id_of.get(piece)
-            ids.extend([i] if i is not None else [self.byte_id[b] for b in piece.encode("utf-8", "surrogatepass")])
-        return np.array(ids, "<u4").tobytes()
+        """The ids of a segment, by its parts between characters that never stand side by side in a piece."""
+        if self.plain.fullmatch(segment):
+            return np.array(self.shortest_path(segment), "<u4").tobytes()
+        kept, joined, parts, begin = self.segments, self.joined, [], 0
+        for end in range(1, len(segment) + 1):
+            if end == len(segment) or segment[end - 1 : end + 1] not in joined:
+                part, begin = segment[begin:end], end
+                ids = kept.get(part)
+                if ids is None:
+                    ids = np.array(self.shortest_path(part), "<u4").tobytes()
+                    if len(part) <= 32:
+                        kept.put(part, ids)
+                parts.append(ids)
+        return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, little-endian unsigned 32-bit. No piece reaches over the segments, so each is composed
         by itself, and frequent ones are kept."""
         kept, out = self.segments, []
         for s in self.cut.findall(self.normalise(text)):
-            ids = kept.get(s)
+            ids = kept.young.get(s) or kept.get(s)
             if ids is None:
                 ids = self._segment(s)
                 if len(s) <= 32:
-                    if len(kept) >= SEGMENTS:
-                        kept.clear()
-                    kept[s] = ids
+                    kept.put(s, ids)
             out.append(ids)
         return b"".join(out)
 
@@ -191,8 +253,9 @@ def encoded(docs: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches):
         t = transducer(path)
         for b in batches:
-            ids = [t.encode(x) for x in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": pa.array(ids, pa.binary()), "n_ids": pa.array([len(x) // 4 for x in ids], pa.int64())})
+            for part in (b.slice(k, ROWS) for k in range(0, b.num_rows, ROWS)):
+                ids = [t.encode(x) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": pa.array(ids, pa.binary()), "n_ids": pa.array([len(x) // 4 for x in ids], pa.int64())})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids binary, n_ids long")
@@ -205,6 +268,8 @@ def decoded(encodings: DataFrame, model_path: str | None = None) -> DataFrame:
     def run(batches):
         t = transducer(path)
         for b in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": b.column(0), "ids": b.column(1), "n_ids": b.column(2), "text": pa.array([t.decode(x) for x in b.column(1).to_pylist()], pa.string())})
+            for part in (b.slice(k, ROWS) for k in range(0, b.num_rows, ROWS)):
+                texts = [t.decode(x) for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": part.column(1), "n_ids": part.column(2), "text": pa.array(texts, pa.string())})
 
     return encodings.select("doc_id", "ids", "n_ids").mapInArrow(run, "doc_id long, ids binary, n_ids long, text string")
