@@ -1,62 +1,19 @@
-"""Helpers shared by the text operators: shared-folder tables, skew-free joins, word rules."""
+"""Helpers shared by the text operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space as the word rules of the contracts have it, as a regular-expression class body.
-SPACE = r"\x20\x09-\x0D"
+from loomgraph.plans.tables import spread_join, stored
+
+__all__ = ["hex60", "load", "spread_join", "stored"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir.
-
-    Only a local master may lack that setting; it then gets a folder of its own. On a cluster without it this raises,
-    since a machine-local folder would not be seen by the other executors.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    sc = spark.sparkContext
-    if not sc.master.startswith("local[") and sc.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def text_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) of documents, a null text as the empty one; other columns, whatever their names, are left out."""
-    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-
-def spread_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: list[str], how: str = "inner", buckets: int = 256) -> DataFrame:
-    """``rows`` joined (inner or left) with ``per_key``, which has one row per key, so that a hot key meets no single task.
-
-    The rows of a key are dealt to ``buckets`` buckets by a hash of ``spread_by``. The (key, bucket) pairs that occur
-    first take up their key's values, at most ``buckets`` rows a key, and then meet the rows on both columns.
-    """
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
-    pairs = dealt.select(key, "_bucket").groupBy(key, "_bucket").agg(F.lit(1).alias("_one")).drop("_one")
-    return dealt.join(pairs.join(per_key, key), [key, "_bucket"], how).drop("_bucket")
-
-
 def hex60(digest: Column, part: int) -> Column:
     """Sixty bits of a hex digest as a long: its 15 digits from ``15 * part``."""
     return F.conv(F.substring(digest, 15 * part + 1, 15), 16, 10).cast("long")

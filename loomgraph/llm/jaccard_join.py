@@ -27,8 +27,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.components import components
+
 from .common import spread_join, stored
-from .components import components
 from .shingles import set_key, shingle_set
 
 #: Column entries of one row block; a longer document makes a block of its own.
