@@ -64,6 +64,14 @@ class Hypergraph:
         hyperedges = df.select(F.col(edge).cast("long").alias("id"), weight.alias("weight"), none)
         return cls(df.sparkSession, Frames(incidence.select(F.col("vertex_id").alias("id")).distinct().select("id", none), hyperedges, incidence))
 
+    @classmethod
+    def from_json(cls, spark: SparkSession, vertices: str, hyperedges: str) -> Hypergraph:
+        """From two folders of JSON lines: any objects as vertices, and hyperedges with ``members``, line numbers of
+        vertices from 0 by file and place, and perhaps ``weight``. Ids count vertices first, then hyperedges."""
+        from loomgraph.sources import json_lines
+
+        return json_lines.read(spark, vertices, hyperedges)
+
     def _largest_id(self) -> int:
         return max(int(df.agg(F.max("id")).first()[0] or 0) for df in (self._vertices, self._hyperedges))
 
@@ -565,9 +573,9 @@ class Hypergraph:
         self._need_build()
         return self._derived(projections.expand_to_star(self.frames, to_vertex))
 
-    def get_line_graph(self, to_vertex: Column | None = None) -> Hypergraph:
+    def get_line_graph(self, to_vertex: Column | None = None, data: Column | None = None, weight: int = 1) -> Hypergraph:
         self._need_build()
-        return self._derived(projections.line_graph(self.frames, to_vertex))
+        return self._derived(projections.line_graph(self.frames, to_vertex, data, weight))
 
     def _id_frame(self, ids: Sequence[int]) -> DataFrame:
         return self.spark.createDataFrame([(int(i),) for i in dict.fromkeys(ids)], "id long")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.frames import members_of, pairs_of
@@ -64,22 +64,20 @@ def dual(g: Frames, to_vertex: Column | None = None, to_hyperedge: Column | None
     m = hyperedges.count()
     vertices = numbered(g.vertices.select("id", (to_hyperedge if to_hyperedge is not None else data).alias("data")), "id", name="new", first=m + 1)
     both = members_of(g.incidence).join(hyperedges.select(F.col("id").alias("hyperedge_id"), F.col("new").alias("v")), "hyperedge_id").join(vertices.select(F.col("id").alias("vertex_id"), F.col("new").alias("h")), "vertex_id")
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy("h").orderBy("v")).cast("long") - 1
     incidence = both.select(F.col("h").alias("hyperedge_id"), place.alias("pos"), F.col("v").alias("vertex_id"))
     return Frames(hyperedges.select(F.col("new").alias("id"), "data"), vertices.select(F.col("new").alias("id"), F.lit(1).cast("long").alias("weight"), "data"), incidence)
 
 
-def line_graph(g: Frames, to_vertex: Column | None = None) -> Frames:
-    """Hyperedges become vertices 1 to m, and each two that share a vertex a hyperedge of two with weight 1; ids follow
-    in order of the pair."""
+def line_graph(g: Frames, to_vertex: Column | None = None, data: Column | None = None, weight: int = 1) -> Frames:
+    """Hyperedges become vertices 1 to m, and each two that share a vertex a hyperedge of two with the given payload and
+    weight; ids follow in order of the pair."""
     new = numbered(g.hyperedges.select("id", (to_vertex if to_vertex is not None else F.col("data")).alias("data")), "id", name="new", first=1)
     m = new.count()
     members = members_of(g.incidence).join(new.select(F.col("id").alias("hyperedge_id"), "new"), "hyperedge_id")
     a, b = members.select("vertex_id", F.col("new").alias("a")), members.select("vertex_id", F.col("new").alias("b"))
     pairs = numbered(a.join(b, "vertex_id").where("a < b").select("a", "b").distinct(), "a", "b", name="id", first=m + 1)
-    return Frames(new.select(F.col("new").alias("id"), "data"), pairs.select("id", F.lit(1).cast("long").alias("weight"), F.lit("{}").alias("data")), _listed(pairs, "a", "b"))
+    return Frames(new.select(F.col("new").alias("id"), "data"), pairs.select("id", F.lit(weight).cast("long").alias("weight"), (data if data is not None else F.lit("{}")).alias("data")), _listed(pairs, "a", "b"))
 
 
 def k_skeleton(g: Frames, k: int) -> Frames:

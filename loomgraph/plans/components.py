@@ -5,24 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import spread_join, stored
+from .tables import largest_key, spread_join, stored
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, plain_rows: int = 0) -> DataFrame:
     """(v, component) for every end of ``edges`` (a, b: long); component is the smallest id reachable.
 
     Each round every vertex takes the smallest label among itself and its neighbours, and then the label of that
     label, so that chains shorten as fast as they double. Labels are stored between rounds. Hot vertices are met in
-    buckets and their neighbours' labels combined before the shuffle.
+    buckets and their neighbours' labels combined before the shuffle; where no vertex has more than ``plain_rows``
+    edges, plain joins do.
     """
     both = edges.where("a <> b").select("a", "b")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    plain = plain_rows > 0 and largest_key(both, "a") <= plain_rows
+    meet = (lambda rows, per_key, key, by: rows.join(per_key, key)) if plain else spread_join
     while True:
-        near = spread_join(both.withColumnRenamed("a", "v"), labels, "v", ["b"]).groupBy(F.col("b").alias("v")).agg(F.min("component").alias("near"))
+        near = meet(both.withColumnRenamed("a", "v"), labels, "v", ["b"]).groupBy(F.col("b").alias("v")).agg(F.min("component").alias("near"))
         moved = labels.join(near, "v").select("v", F.col("component").alias("was"), F.least("component", "near").alias("next"))
         further = labels.select(F.col("v").alias("next"), F.col("component").alias("far"))
-        new = spread_join(moved, further, "next", ["v"]).select("v", "was", F.least("next", "far").alias("component"))
+        new = meet(moved, further, "next", ["v"]).select("v", "was", F.least("next", "far").alias("component"))
         new = stored(new, "labels")
         labels = new.select("v", "component")
         if new.where("was <> component").isEmpty():

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import local
 from .local import LOCAL_ROWS, LOCAL_WORK
-from .tables import spread_join, stored
+from .tables import joined, largest_key, spread_join, stored
 
 
 class PageRank(NamedTuple):
@@ -31,13 +31,14 @@ def page_rank(vertices: DataFrame, hyperedges: DataFrame, members: DataFrame, *,
     degree = weighted.groupBy("vertex_id").agg(F.sum("weight").alias("d"))
     size = weighted.groupBy("hyperedge_id").agg((F.max("weight") / F.count(F.lit(1))).alias("share"))
     flows = stored(spread_join(weighted.select("hyperedge_id", "vertex_id"), size, "hyperedge_id", ["vertex_id"]), "flows")
+    most = largest_key(flows, "vertex_id", "hyperedge_id")
     degree = stored(ids.join(degree, "vertex_id", "left").withColumn("d", F.coalesce("d", F.lit(0)).cast("double")), "weights")
     scores = stored(degree.withColumn("score", F.lit(1.0 / n)), "page-rank")
     dangling = float(scores.agg(F.sum(F.when(F.col("d") <= 0, F.col("score")))).first()[0] or 0)
     for sweep in range(1, max_iterations + 1):
         out = scores.where("d > 0").select("vertex_id", (F.col("score") / F.col("d")).alias("x"))
-        inflow = spread_join(flows, out, "vertex_id", ["hyperedge_id"]).groupBy("hyperedge_id").agg((F.sum("x") * F.max("share")).alias("y"))
-        got = spread_join(flows.select("hyperedge_id", "vertex_id"), inflow, "hyperedge_id", ["vertex_id"]).groupBy("vertex_id").agg(F.sum("y").alias("y"))
+        inflow = joined(flows, out, "vertex_id", ["hyperedge_id"], most).groupBy("hyperedge_id").agg((F.sum("x") * F.max("share")).alias("y"))
+        got = joined(flows.select("hyperedge_id", "vertex_id"), inflow, "hyperedge_id", ["vertex_id"], most).groupBy("vertex_id").agg(F.sum("y").alias("y"))
         base = (1 - damping) / n + damping * dangling / n
         new = scores.join(got, "vertex_id", "left").select("vertex_id", "d", F.col("score").alias("was"), (F.lit(base) + damping * F.coalesce("y", F.lit(0.0))).alias("score"))
         new = stored(new, "page-rank")

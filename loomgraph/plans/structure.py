@@ -11,7 +11,7 @@ from loomgraph.errors import CycleDetectedError
 from . import local
 from .components import components
 from .local import LOCAL_ROWS
-from .tables import placed, spread_join, stored
+from .tables import PLAIN_ROWS, joined, largest_key, placed, spread_join, stored
 
 
 def connected_components(vertices: DataFrame, members: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -27,7 +27,7 @@ def connected_components(vertices: DataFrame, members: DataFrame, local_rows: in
         ends = pd.unique(here[["a", "b"]].to_numpy().ravel()).tolist()
         found = local.frame(stars, list(local.components(ends, here).items()), "vertex_id long, component long")
     else:
-        found = components(stars).withColumnRenamed("v", "vertex_id")
+        found = components(stars, PLAIN_ROWS).withColumnRenamed("v", "vertex_id")
     return every.join(found, "vertex_id", "left").withColumn("component", F.coalesce("component", "vertex_id"))
 
 
@@ -84,15 +84,15 @@ def core(members: DataFrame, hyperedges: DataFrame, vertices: DataFrame, s: int,
     """(vertex_id) and (hyperedge_id) of the largest part in which every vertex is in ``s`` hyperedges or more and every
     hyperedge has ``t`` distinct members or more. Both kinds are peeled each round until nothing falls."""
     left = stored(members.select("hyperedge_id", "vertex_id"), "core")
-    n = left.count()
+    n, most = left.count(), largest_key(left, "hyperedge_id", "vertex_id")
     while True:
         kept = left
         if t > 0:
             sizes = kept.groupBy("hyperedge_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= t).select("hyperedge_id")
-            kept = spread_join(kept, sizes, "hyperedge_id", ["vertex_id"])
+            kept = joined(kept, sizes, "hyperedge_id", ["vertex_id"], most)
         if s > 0:
             degrees = kept.groupBy("vertex_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= s).select("vertex_id")
-            kept = spread_join(kept, degrees, "vertex_id", ["hyperedge_id"])
+            kept = joined(kept, degrees, "vertex_id", ["hyperedge_id"], most)
         kept = stored(kept.select("hyperedge_id", "vertex_id"), "core")
         m = kept.count()
         if m == n:

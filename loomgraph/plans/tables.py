@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,20 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: list[s
     return dealt.join(pairs.join(per_key, key), [key, "_bucket"], how).drop("_bucket")
 
 
+#: Rows of one key that a plain join may bring into one task.
+PLAIN_ROWS = 1_000_000
+
+
+def largest_key(rows: DataFrame, *keys: str) -> int:
+    """The most rows that any value of any of the columns has."""
+    return max(int(rows.groupBy(k).count().agg(F.max("count")).first()[0] or 0) for k in keys)
+
+
+def joined(rows: DataFrame, per_key: DataFrame, key: str, spread_by: list[str], most: int, how: str = "inner") -> DataFrame:
+    """:func:`spread_join`, or a plain join where no key has more than PLAIN_ROWS rows, by a count of ``most``."""
+    return rows.join(per_key, key, how) if most <= PLAIN_ROWS else spread_join(rows, per_key, key, spread_by, how)
+
+
 def placed(df: DataFrame, *order, name: str = "place") -> DataFrame:
     """``df`` with an order-preserving number of each row, not dense: sorted by ranges, never in one task. Stored."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -71,8 +85,6 @@ def placed(df: DataFrame, *order, name: str = "place") -> DataFrame:
 
 def numbered(df: DataFrame, *order, name: str = "number", first: int = 0) -> DataFrame:
     """``df`` with dense numbers from ``first`` in the given order: a range sort, then an offset a partition."""
-    from pyspark.sql import Window
-
     rows = placed(df, *order, name="_at")
     sums = rows.groupBy(F.shiftright("_at", 33).alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition

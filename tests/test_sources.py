@@ -75,3 +75,11 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.sql("select * from ends").collect())) == [(1, 7, 9, 3), (2, 8, 8, 1)]
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "v.json").write_text('{"n": "a"}\n{"n": "b"}\n{"n": "c"}\n')
+    (tmp_path / "h.json").write_text('{"members": [2, 0, 2], "weight": 4}\n{"members": [1]}\n')
+    g = Hypergraph.from_json(spark, str(tmp_path / "v.json"), str(tmp_path / "h.json"))
+    assert g.get_hyperedge_vertices(4) == [3, 1, 3] and g.get_hyperedge_vertices(5) == [2]
+    assert g.get_vertex(2) == {"n": "b"} and [r["weight"] for r in g.hyperedge_frame.orderBy("id").collect()] == [4, 1]
