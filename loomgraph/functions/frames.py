@@ -15,8 +15,10 @@ def incidence_from_table(df: DataFrame, edge: str, vertex: str, order: list[str]
     ids = [F.col(edge).cast("long").alias("hyperedge_id"), F.col(vertex).cast("long").alias("vertex_id")]
     if pos is not None:
         return df.select(*ids, F.col(pos).cast("long").alias("pos")).select("hyperedge_id", "pos", "vertex_id")
-    place = F.row_number().over(Window.partitionBy(edge).orderBy(*order)).cast("long") - 1
-    return df.select(*ids, place.alias("pos")).select("hyperedge_id", "pos", "vertex_id")
+    # partitioned by the new name, so that windows over hyperedge_id that follow need no exchange of their own
+    named = df.select(*ids, *(F.col(c).alias(f"_order{k}") for k, c in enumerate(order)))
+    place = F.row_number().over(Window.partitionBy("hyperedge_id").orderBy(*(f"_order{k}" for k in range(len(order))))).cast("long") - 1
+    return named.select("hyperedge_id", place.alias("pos"), "vertex_id")
 
 
 def incidence_from_arrays(df: DataFrame, edge: str = "id", members: str = "members") -> DataFrame:
