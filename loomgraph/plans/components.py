@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import largest_key, spread_join, stored
+from .tables import dropped, largest_key, spread_join, stored
 
 
 def components(edges: DataFrame, plain_rows: int = 0) -> DataFrame:
@@ -19,6 +19,7 @@ def components(edges: DataFrame, plain_rows: int = 0) -> DataFrame:
     both = edges.where("a <> b").select("a", "b")
     both = stored(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    last = labels
     plain = plain_rows > 0 and largest_key(both, "a") <= plain_rows
     meet = (lambda rows, per_key, key, by: rows.join(per_key, key)) if plain else spread_join
     while True:
@@ -27,6 +28,8 @@ def components(edges: DataFrame, plain_rows: int = 0) -> DataFrame:
         further = labels.select(F.col("v").alias("next"), F.col("component").alias("far"))
         new = meet(moved, further, "next", ["v"]).select("v", "was", F.least("next", "far").alias("component"))
         new = stored(new, "labels")
-        labels = new.select("v", "component")
+        dropped(last)
+        last, labels = new, new.select("v", "component")
         if new.where("was <> component").isEmpty():
+            dropped(both)
             return labels

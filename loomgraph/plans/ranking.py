@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import local
 from .local import LOCAL_ROWS, LOCAL_WORK
-from .tables import joined, largest_key, spread_join, stored
+from .tables import dropped, joined, largest_key, spread_join, stored
 
 
 class PageRank(NamedTuple):
@@ -34,6 +34,7 @@ def page_rank(vertices: DataFrame, hyperedges: DataFrame, members: DataFrame, *,
     most = largest_key(flows, "vertex_id", "hyperedge_id")
     degree = stored(ids.join(degree, "vertex_id", "left").withColumn("d", F.coalesce("d", F.lit(0)).cast("double")), "weights")
     scores = stored(degree.withColumn("score", F.lit(1.0 / n)), "page-rank")
+    last = scores
     dangling = float(scores.agg(F.sum(F.when(F.col("d") <= 0, F.col("score")))).first()[0] or 0)
     for sweep in range(1, max_iterations + 1):
         out = scores.where("d > 0").select("vertex_id", (F.col("score") / F.col("d")).alias("x"))
@@ -43,7 +44,8 @@ def page_rank(vertices: DataFrame, hyperedges: DataFrame, members: DataFrame, *,
         new = scores.join(got, "vertex_id", "left").select("vertex_id", "d", F.col("score").alias("was"), (F.lit(base) + damping * F.coalesce("y", F.lit(0.0))).alias("score"))
         new = stored(new, "page-rank")
         sums = new.agg(F.sum(F.abs(F.col("score") - F.col("was"))).alias("change"), F.sum(F.when(F.col("d") <= 0, F.col("score"))).alias("dangling")).first()
-        scores, dangling = new.drop("was"), float(sums["dangling"] or 0)
+        dropped(last)
+        last, scores, dangling = new, new.drop("was"), float(sums["dangling"] or 0)
         if sums["change"] < tolerance:
             return PageRank(scores.select("vertex_id", "score"), sweep, True)
     return PageRank(scores.select("vertex_id", "score"), max_iterations, False)

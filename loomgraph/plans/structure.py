@@ -11,7 +11,7 @@ from loomgraph.errors import CycleDetectedError
 from . import local
 from .components import components
 from .local import LOCAL_ROWS
-from .tables import PLAIN_ROWS, joined, largest_key, placed, spread_join, stored
+from .tables import PLAIN_ROWS, dropped, joined, largest_key, placed, spread_join, stored
 
 
 def connected_components(vertices: DataFrame, members: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -95,9 +95,11 @@ def core(members: DataFrame, hyperedges: DataFrame, vertices: DataFrame, s: int,
             kept = joined(kept, degrees, "vertex_id", ["hyperedge_id"], most)
         kept = stored(kept.select("hyperedge_id", "vertex_id"), "core")
         m = kept.count()
+        dropped(left)
+        left = kept
         if m == n:
             break
-        left, n = kept, m
+        n = m
     vertex_ids = vertices.select(F.col("id").alias("vertex_id")) if s <= 0 else kept.select("vertex_id").distinct()
     hyperedge_ids = hyperedges.select(F.col("id").alias("hyperedge_id")) if t <= 0 else kept.select("hyperedge_id").distinct()
     return vertex_ids, hyperedge_ids

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -23,16 +25,49 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.master.startswith("local[") and sc.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="loomgraph-"))
+        folder = tempfile.mkdtemp(prefix="loomgraph-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir().rstrip("/")
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}/{what}-{uuid.uuid4().hex}"
+    path = f"{_folder(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.loomgraph_path = path
+    return table
+
+
+def _folder(spark: SparkSession) -> str:
+    """The folder of this application's tables. It goes when the driver's Python ends."""
+    folder = f"{shared_dir(spark)}/loomgraph-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        if "://" not in folder:
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+_FOLDERS: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def dropped(table: DataFrame) -> None:
+    """Deletes a stored table that no frame refers to any more, such as that of the round before."""
+    if path := getattr(table, "loomgraph_path", None):
+        _delete(table.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all tables that this application has stored. Frames that refer to them can't be read any more."""
+    _delete(spark, _folder(spark))
 
 
 def stored_all(named: dict[str, DataFrame]) -> list[DataFrame]:
