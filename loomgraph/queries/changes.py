@@ -73,6 +73,14 @@ def edit_merge_hyperedges(spark, sf_dir):
     return g.incidence
 
 
+def edit_split_hyperedge(spark, sf_dir):
+    """The first order of two lines or more, from its second line on, as a new one."""
+    g, _, _, _ = _graph(spark, sf_dir)
+    _new_id(g)
+    g.split_hyperedge(int(g.incidence.where("pos = 1").agg(F.min("hyperedge_id")).first()[0]), 1)
+    return g.incidence
+
+
 def edit_split_vertex(spark, sf_dir):
     g, h, a, _ = _graph(spark, sf_dir)
     _new_id(g)
@@ -105,7 +113,19 @@ def save_load(spark, sf_dir):
     return Hypergraph.read_parquet(path, spark).incidence
 
 
-QUERIES = {f.__name__: f for f in (edit_append, edit_prepend, edit_insert, edit_delete_vertex, edit_delete_at_index, edit_delete_hyperedge, edit_reverse, edit_merge_hyperedges, edit_split_vertex, edit_merge_vertices, edit_contract, save_load)}
+def binary_round_trip(spark, sf_dir):
+    """Written as one binary file to the shared folder and read again."""
+    from uuid import uuid4
+
+    from loomgraph.plans.tables import shared_dir
+
+    g = Hypergraph(spark, orders(spark, sf_dir), last_id=0)
+    path = f"{shared_dir(spark)}/saved-{uuid4().hex}.bin"
+    g.save(path)
+    return Hypergraph.load(path, spark).incidence
+
+
+QUERIES = {f.__name__: f for f in (edit_append, edit_prepend, edit_insert, edit_delete_vertex, edit_delete_at_index, edit_delete_hyperedge, edit_reverse, edit_merge_hyperedges, edit_split_hyperedge, edit_split_vertex, edit_merge_vertices, edit_contract, save_load, binary_round_trip)}
 
 _FIRST = """
 f AS (SELECT min(h) AS h FROM inc), fp AS (SELECT inc.h, arg_min(v, pos) AS a, arg_max(v, pos) AS b, count(*) AS n FROM inc JOIN f USING (h) GROUP BY inc.h)"""
@@ -131,6 +151,8 @@ ORACLE_SQL = {
     "edit_reverse": with_sql("orders", "SELECT h AS hyperedge_id, row_number() OVER (PARTITION BY h ORDER BY pos DESC) - 1 AS pos, v AS vertex_id FROM inc"),
     "edit_merge_hyperedges": with_sql("orders", """t AS (SELECT DISTINCT h FROM inc ORDER BY h LIMIT 3)
 SELECT g AS hyperedge_id, row_number() OVER (PARTITION BY g ORDER BY h, pos) - 1 AS pos, v AS vertex_id FROM (SELECT *, CASE WHEN h IN (SELECT h FROM t) THEN (SELECT min(h) FROM t) ELSE h END AS g FROM inc)"""),
+    "edit_split_hyperedge": with_sql("orders", f"""t AS (SELECT min(h) AS t FROM inc WHERE pos = 1)
+{_PLAIN} (SELECT CASE WHEN h = t AND pos >= 1 THEN greatest((SELECT max(v) FROM verts), (SELECT max(h) FROM edges)) + 1 ELSE h END AS h, CASE WHEN h = t AND pos >= 1 THEN pos - 1 ELSE pos END AS pos, v FROM inc, t)"""),
     "edit_split_vertex": with_sql("orders", f"{_FIRST} {_PLAIN} (SELECT inc.h, pos, CASE WHEN inc.h = fp.h AND v = a THEN greatest((SELECT max(v) FROM verts), (SELECT max(h) FROM edges)) + 1 ELSE v END AS v FROM inc, fp)"),
     "edit_merge_vertices": with_sql("orders", _runs("""t AS (SELECT v FROM verts ORDER BY v LIMIT 3), p AS (SELECT min(v) AS p FROM t),
 touched AS (SELECT DISTINCT h FROM inc WHERE v IN (SELECT v FROM t) AND v <> (SELECT p FROM p)),
@@ -140,4 +162,5 @@ hit AS (SELECT DISTINCT h, dst AS v FROM prs WHERE h <> (SELECT h FROM f) AND ds
 touched AS (SELECT DISTINCT h FROM hit),
 new AS (SELECT inc.h, pos, CASE WHEN hit.v IS NULL THEN inc.v ELSE (SELECT b FROM fp) END AS v FROM inc LEFT JOIN hit ON hit.h = inc.h AND hit.v = inc.v WHERE inc.h <> (SELECT h FROM f))""", "(SELECT b FROM fp)")),
     "save_load": with_sql("orders", f"{_PLAIN} inc"),
+    "binary_round_trip": with_sql("orders", f"{_PLAIN} inc"),
 }

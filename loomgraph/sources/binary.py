@@ -14,6 +14,7 @@ from typing import TYPE_CHECKING
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from loomgraph.errors import HypergraphError, InvalidMagicNumberError, UnsupportedVersionError
 from loomgraph.functions.frames import arrays_of
@@ -57,6 +58,11 @@ def parse(raw: bytes) -> Iterator[tuple]:
         yield "vertex" if k < n_vertices else "hyperedge", id_, payload, members, last_id
 
 
+def _as_text(df: DataFrame) -> DataFrame:
+    """Payloads of other types than text as JSON."""
+    return df if df.schema["data"].dataType == StringType() else df.withColumn("data", F.to_json("data"))
+
+
 def save(graph: Hypergraph, path: str, encode: Callable[[str | None, int], bytes] = json_payload) -> None:
     """Streams the graph, by id, through the driver to one file at any path that Spark can write to.
 
@@ -64,8 +70,8 @@ def save(graph: Hypergraph, path: str, encode: Callable[[str | None, int], bytes
     hyperedge's list must fit in a row. A custom codec turns (data, weight) into a payload.
     """
     spark = graph.spark
-    vertices = graph.vertex_frame.select("id", "data").orderBy("id")
-    edges = graph.hyperedge_frame.join(arrays_of(graph.incidence), F.col("id") == F.col("hyperedge_id"), "left").select("id", "weight", "data", "members").orderBy("id")
+    vertices = _as_text(graph.vertex_frame).select("id", "data").orderBy("id")
+    edges = _as_text(graph.hyperedge_frame).join(arrays_of(graph.incidence), F.col("id") == F.col("hyperedge_id"), "left").select("id", "weight", "data", "members").orderBy("id")
 
     def pieces() -> Iterator[bytes]:
         yield HEADER.pack(MAGIC, VERSION, graph._last_id, graph.count_vertices(), graph.count_hyperedges())
