@@ -22,7 +22,7 @@ def _condition(predicate: Predicate) -> Column:
     if isinstance(predicate, str):
         return F.expr(predicate)
 
-    def holds(data: Any) -> bool:
+    def holds(data):  # without type hints, by which Spark would choose another kind of function
         return bool(predicate(json.loads(data) if isinstance(data, str) else data))
 
     return F.udf(holds, "boolean")(F.col("data"))
