@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.plans.tables import spread_join, stored
 
-__all__ = ["hex60", "load", "spread_join", "stored"]
+__all__ = ["hex60", "load", "slices", "spread_join", "stored"]
+#: Rows whose texts are Python objects at a time.
+ROWS = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in parts of ``ROWS`` rows, so that a worker holds few texts as objects at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

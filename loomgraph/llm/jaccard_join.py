@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.components import components
 
-from .common import spread_join, stored
+from .common import slices, spread_join, stored
 from .shingles import set_key, shingle_set
 
 #: Column entries of one row block; a longer document makes a block of its own.
-BLOCK_ENTRIES = 2_000_000
+BLOCK_ENTRIES = 1_000_000
 #: Rows of a group, or of a block of a large group, that one task multiplies.
 GROUP_ROWS = 128
 COLUMNS_AT_ONCE = 8192
@@ -72,7 +72,7 @@ def _matrix_blocks(size: int, bits: int):
 
     def to_blocks(batches):
         block, ids, shas, sets, entries = TaskContext.get().partitionId() << 32, [], [], [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for did, sha, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 ids.append(did)
                 shas.append(sha)
@@ -180,7 +180,7 @@ def _multiplied(percent: int):
 
 def _sets(size: int):
     def to_sets(batches):
-        for batch in batches:
+        for batch in slices(batches):
             for did, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = shingle_set(text, size)
                 yield pa.RecordBatch.from_pydict({"did": pa.array([did], pa.int64()), "key": [set_key(h)], "n": pa.array([len(h)], pa.int64()), "hashes": pa.array([h.view(np.int64)], pa.list_(pa.int64()))})
@@ -251,7 +251,7 @@ def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(6, (volume // (6 * 2 * BLOCK_ENTRIES)).bit_length())  # about two million entries to a column block
+    bits = max(6, (volume // (12 * BLOCK_ENTRIES)).bit_length())  # about that many entries to a column block
     blocks = rows.mapInArrow(_matrix_blocks(size, bits), BLOCK_DDL)
     totals = blocks.groupBy("key").applyInPandas(_shared_columns, BLOCK_DDL).groupBy("block").applyInPandas(_row_totals, "did long, sha binary, n long, shared long")
     totals = stored(totals.withColumn("doc_id", F.when(F.col("did") != NO_ID, F.col("did"))).drop("did"), "row-totals")

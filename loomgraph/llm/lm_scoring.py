@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored
+from .common import slices, spread_join, stored
 from .gru import Network, train
 from .shingles import words
 
@@ -60,7 +60,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             buckets = [-1 if t is None else bucket(t) for t in (tokens[i] for i in first)]
             return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "bucket": pa.array(buckets, pa.int32()), "c": pa.array(c.astype(np.int64))})
 
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 own = words(text)
                 held.append(_hashes(own))

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 from .tokens import default_paths, encoder
 
 #: Partitions whose last windows are merged by one task.
@@ -113,12 +113,12 @@ def pack(docs: DataFrame, *, size: int = 1024, n_open: int = 16, with_ids: bool
     def fill(batches):
         encode, packer, base, n = encoder(json_path, ranks_path), Packer(size, n_open), TaskContext.get().partitionId() << 32, 0
         rows: list[tuple] = []
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for window in packer.take(doc_id, np.append(encode(text), np.uint32(END_ID))):
                     rows.extend(window.rows(base + n, with_ids, 0))
                     n += 1
-                if len(rows) >= 4096:
+                if len(rows) >= 1024:
                     yield _batch(rows)
                     rows = []
         for window in packer.windows:

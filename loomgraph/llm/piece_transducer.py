@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 SPACE = "▁"
 LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-#: Rows in one batch of results.
-ROWS = 1024
 #: Entries that each of the two generations of a worker's tables of segments and of adjacent pieces holds at most.
 SEGMENTS, PAIRS = 300_000, 300_000
 PREFIX, UNKNOWN = -1, -2
@@ -252,10 +252,9 @@ def encoded(docs: DataFrame, model_path: str | None = None) -> DataFrame:
 
     def run(batches):
         t = transducer(path)
-        for b in batches:
-            for part in (b.slice(k, ROWS) for k in range(0, b.num_rows, ROWS)):
-                ids = [t.encode(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": pa.array(ids, pa.binary()), "n_ids": pa.array([len(x) // 4 for x in ids], pa.int64())})
+        for part in slices(batches):
+            ids = [t.encode(x) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": pa.array(ids, pa.binary()), "n_ids": pa.array([len(x) // 4 for x in ids], pa.int64())})
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id long, ids binary, n_ids long")
@@ -267,9 +266,8 @@ def decoded(encodings: DataFrame, model_path: str | None = None) -> DataFrame:
 
     def run(batches):
         t = transducer(path)
-        for b in batches:
-            for part in (b.slice(k, ROWS) for k in range(0, b.num_rows, ROWS)):
-                texts = [t.decode(x) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": part.column(1), "n_ids": part.column(2), "text": pa.array(texts, pa.string())})
+        for part in slices(batches):
+            texts = [t.decode(x) for x in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": part.column(0), "ids": part.column(1), "n_ids": part.column(2), "text": pa.array(texts, pa.string())})
 
     return encodings.select("doc_id", "ids", "n_ids").mapInArrow(run, "doc_id long, ids binary, n_ids long, text string")
