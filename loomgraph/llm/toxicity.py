@@ -13,12 +13,11 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import slices, stored
 
 WORD = re.compile(r"\w+")
 #: Lengths of word beginnings that can be terms, besides whole words.
@@ -26,6 +25,8 @@ BEGINNINGS = range(3, 11)
 #: Bounds of the fit: labelled documents per class that are sampled, candidate terms, terms kept.
 SAMPLE_PER_CLASS, CANDIDATES, TERMS = 4000, 4096, 1024
 BLOCK_ROWS = 64
+#: A term is at least so many times as frequent among label 1 as among label 0.
+LIFT = 2.0
 #: Weight of the coordinate that stands for the rest of a text, which every vector has: it tells one term from many.
 REST_WEIGHT = 3.0
 #: Weight of the prior in a vote, in similarity times labelled documents.
@@ -90,7 +91,7 @@ def _significant(counts: DataFrame, n1: int, n0: int, total_terms: int) -> list[
     part = lambda k, n, p: F.when(k > 0, k * F.log(k / n / p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log((n - k) / n / (1 - p))).otherwise(0.0)
     ratio = 2 * (part(a, F.lit(n1), rate) + part(b, F.lit(n0), rate))
     bar = max(8.0, 2 * np.log(max(total_terms, 2)))
-    good = counts.where((a / n1 > b / n0) & (a + b < n1 + n0)).withColumn("ratio", ratio).where(F.col("ratio") > float(bar))
+    good = counts.where((a / n1 > LIFT * b / n0) & (a + b < n1 + n0)).withColumn("ratio", ratio).where(F.col("ratio") > float(bar))
     # of terms found in the same documents the longest whole one comes first
     return [(r["term"], r["ratio"]) for r in good.orderBy(F.desc(F.round("ratio", 6)), F.desc(F.length("term")), "term").limit(CANDIDATES).collect()]
 
@@ -101,11 +102,11 @@ def fit_terms(docs: DataFrame, picked: list[tuple[int, int]]) -> list[str]:
         return []
     spark = docs.sparkSession
     sample = spark.createDataFrame(picked, "doc_id long, label int")
-    texts = stored(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")), "labelled-texts")
+    texts = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text"), "labelled-texts")
     n1, n0 = (sum(y == c for _, y in picked) for c in (1, 0))
 
     def each_term(batches):
-        for b in batches:
+        for b in slices(batches):
             for label, text in zip(b.column("label").to_pylist(), b.column("text").to_pylist()):
                 t = sorted(terms_of(text))
                 yield pa.RecordBatch.from_pydict({"term": pa.array(t, pa.string()), "n1": pa.array([int(label == 1)] * len(t), pa.int64()), "n0": pa.array([int(label == 0)] * len(t), pa.int64())})
@@ -115,7 +116,7 @@ def fit_terms(docs: DataFrame, picked: list[tuple[int, int]]) -> list[str]:
     finder = TermFinder(ranked)
 
     def found(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = [sorted(finder(t)) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "terms": pa.array(rows, pa.list_(pa.int32()))})
 
@@ -136,21 +137,22 @@ class BlockMaxIndex:
     The postings travel as they are and are laid out by term, block and row where they are first read.
     """
 
-    def __init__(self, vectors: list[dict[int, float]], votes: np.ndarray, ids: list[int], n_terms: int) -> None:
+    def __init__(self, vectors: list[dict[int, float]], votes: np.ndarray, held: np.ndarray, ids: list[int], n_terms: int) -> None:
         order = sorted(range(len(vectors)), key=lambda i: (min(vectors[i]), sorted(vectors[i].items())))
-        self.votes, self.ids = votes[order], np.array(ids, np.int64)[order]
+        self.votes, self.held, self.ids = votes[order], held[order], np.array(ids, np.int64)[order]
         self.shape = (n_terms, -(-len(order) // BLOCK_ROWS), BLOCK_ROWS)
         postings = [(t, row, w) for row, i in enumerate(order) for t, w in vectors[i].items()]
         self.terms, self.rows, self.weights = (np.array([p[k] for p in postings], kind) for k, kind in ((0, np.int64), (1, np.int64), (2, np.float64)))
         self.laid_out: np.ndarray | None = None
 
     def _open(self) -> None:
-        self.laid_out = np.zeros(self.shape)
+        self.laid_out = np.zeros(self.shape, np.float32)
         self.laid_out[self.terms, self.rows // BLOCK_ROWS, self.rows % BLOCK_ROWS] = self.weights
         self.top = self.laid_out.max(axis=2) if self.shape[1] else np.zeros(self.shape[:2])
 
     def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, similarity) of the ``k`` most similar rows and of all that tie with the last, most similar first."""
+        """(row, similarity) of the rows that hold the ``k`` most similar examples, and of all that tie with the last,
+        most similar first."""
         if self.laid_out is None:
             self._open()
         terms, weights = list(query), np.array(list(query.values()))
@@ -159,21 +161,27 @@ class BlockMaxIndex:
         order = order[bound[order] > 0]
         first = max(2, -(-2 * k // BLOCK_ROWS))
         rows, sims = self._scores(terms, weights, order[:first])
-        least = float(np.partition(sims, len(sims) - k)[len(sims) - k]) if len(sims) >= k else 0.0
+        least = self._last(rows, sims, k)
         # no row of a block can be nearer than the block's bound
-        more = order[first:][bound[order[first:]] >= least - 1e-9]
+        more = order[first:][bound[order[first:]] >= least - 1e-6]
         if len(more):
             rows, sims = (np.concatenate(x) for x in zip((rows, sims), self._scores(terms, weights, more)))
-            least = float(np.partition(sims, len(sims) - k)[len(sims) - k]) if len(sims) >= k else 0.0
-        sims = np.round(sims, 9)
-        keep = sims >= round(least, 9)
+            least = self._last(rows, sims, k)
+        sims = np.round(sims, 6)
+        keep = sims >= round(least, 6)
         rows, sims = rows[keep], sims[keep]
         order = np.lexsort((rows, -sims))
         return rows[order], sims[order]
 
+    def _last(self, rows: np.ndarray, sims: np.ndarray, k: int) -> float:
+        """The similarity at which rows so far hold ``k`` examples, or zero."""
+        order = np.argsort(-sims, kind="stable")
+        at = int(np.searchsorted(np.cumsum(self.held[rows[order]]), k))
+        return float(sims[order[at]]) if at < len(order) else 0.0
+
     def _scores(self, terms: list[int], weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows of the blocks that share a term with the query, with their similarities."""
-        sims = np.tensordot(weights, self.laid_out[np.array(terms)[:, None], blocks], 1).ravel()
+        sims = np.tensordot(weights.astype(np.float32), self.laid_out[np.array(terms)[:, None], blocks], 1).ravel().astype(np.float64)
         rows = (blocks[:, None] * BLOCK_ROWS + np.arange(BLOCK_ROWS)).ravel()
         return rows[sims > 0], sims[sims > 0]
 
@@ -189,7 +197,7 @@ def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     finder = TermFinder(terms)
 
     def find(batches):
-        for b in batches:
+        for b in slices(batches):
             got = [finder(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id"), "text_key": b.column("text_key"), "terms": pa.array([list(g) for g in got], pa.list_(pa.int32())), "counts": pa.array([list(g.values()) for g in got], pa.list_(pa.int32()))})
 
@@ -197,7 +205,24 @@ def _term_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     return stored(texts.mapInArrow(find, "doc_id long, text_key long, terms array<int>, counts array<int>"), "term-counts")
 
 
-def scores(docs: DataFrame, labels: DataFrame, *, k: int = 12, threshold: float = 0.3, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
+def _document_frequencies(counts: DataFrame, n_terms: int) -> np.ndarray:
+    """Documents that hold each term: a task adds up its own rows, and sends a row for each term it has met."""
+
+    def add(batches):
+        sums = np.zeros(n_terms, np.int64)
+        for b in batches:
+            sums += np.bincount(b.column(0).flatten().to_numpy(), minlength=n_terms)
+        met = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"t": pa.array(met.astype(np.int32)), "df": pa.array(sums[met])})
+
+    out = np.zeros(n_terms, np.int64)
+    if n_terms:
+        for r in counts.select("terms").mapInArrow(add, "t int, df long").groupBy("t").agg(F.sum("df").alias("df")).collect():
+            out[r["t"]] = r["df"]
+    return out
+
+
+def scores(docs: DataFrame, labels: DataFrame, *, k: int = 8, threshold: float = 0.3, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, evidence, text_key.
 
     Learns from labels (doc_id, toxic 0 or 1; others are left out) whose doc_id isn't held out: at most ``per_class``
@@ -209,8 +234,8 @@ def scores(docs: DataFrame, labels: DataFrame, *, k: int = 12, threshold: float
     picked, totals = chosen_labels(labels, per_class)
     counts = _term_counts(docs, terms := fit_terms(docs, picked))
     n = counts.count()
-    df = {r["t"]: r["df"] for r in counts.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df")).collect()}  # a row for each term
-    idf = np.array([np.log((1 + n) / (1 + df.get(t, 0))) + 1 for t in range(len(terms))])
+    df = _document_frequencies(counts, len(terms))
+    idf = np.array([np.log((1 + n) / (1 + df[t])) + 1 for t in range(len(terms))])
     label = dict(picked)
     weight = {y: totals[y] / max(1, sum(c == y for c in label.values())) for y in totals}
     groups: dict[tuple, list] = {}
@@ -218,12 +243,13 @@ def scores(docs: DataFrame, labels: DataFrame, *, k: int = 12, threshold: float
         sample = docs.sparkSession.createDataFrame([(i,) for i in label], "doc_id long")
         for r in counts.join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect():  # at most the sample
             y = label[r["doc_id"]]
-            g = groups.setdefault(tuple(sorted(zip(r["terms"], r["counts"]))), [np.zeros(2), r["doc_id"]])
+            g = groups.setdefault(tuple(sorted(zip(r["terms"], r["counts"]))), [np.zeros(2), r["doc_id"], 0])
             g[0][y] += weight[y]
+            g[2] += 1
             g[1] = min(g[1], r["doc_id"])
     prior = (totals.get(1, 0) + 0.5) / (sum(totals.values()) + 10)
     keys = sorted(groups)
-    index = BlockMaxIndex([_vector(dict(key), idf) for key in keys], np.array([groups[key][0] for key in keys]).reshape(-1, 2), [groups[key][1] for key in keys], len(terms) + 1)
+    index = BlockMaxIndex([_vector(dict(key), idf) for key in keys], np.array([groups[key][0] for key in keys]).reshape(-1, 2), np.array([groups[key][2] for key in keys], np.int64), [groups[key][1] for key in keys], len(terms) + 1)
     shared = docs.sparkSession.sparkContext.broadcast((index, idf, prior))  # at most 2 * per_class short vectors
 
     def vote(index: BlockMaxIndex, idf: np.ndarray, prior: float, counts: dict[int, int]) -> tuple[float, list]:
@@ -243,7 +269,7 @@ def scores(docs: DataFrame, labels: DataFrame, *, k: int = 12, threshold: float
             for t, c in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist()):
                 key = tuple(sorted(zip(t, c)))
                 if key not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) > 5000:
                         seen.clear()
                     seen[key] = vote(index, idf, prior, dict(key))
                 out.append(seen[key])
