@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import hex60
 
-#: Paragraphs end at line breaks, and long ones are divided after a sentence or a table cell.
-SENTENCE_END = r"([.!?|]) "
+#: Paragraphs end at line breaks, and long ones are divided after ASCII marks other than commas, hyphens, quotes and
+#: brackets: the ends of sentences and of table cells.
+SENTENCE_END = r"([!#$%&*+.:;<=>?@^|~]) "
 WORD_BITS = 60
 #: Lanes packed in one long while up to 2**PACK_BITS - 1 paragraphs are counted.
 PACK_BITS, PACKED = 12, 5

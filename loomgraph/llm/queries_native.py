@@ -42,7 +42,7 @@ def _fingerprints_sql() -> str:
         f"list_transform(range(0, 60), lambda k: list_sum(list_transform(u, lambda x: (x.{w} >> ((k // 5) + 12 * (k % 5))::INT) & 1))::BIGINT)" for w in ("a0", "a1")
     )
     vector = vector.format(sums=sums, bits=bits)
-    units = f"list_transform(list_transform(string_split(regexp_replace(t, '([.!?|]) ', '\\1' || chr(10), 'g'), chr(10)), lambda p: {{'a': md5(p), 'b': md5('+' || p)}}), lambda d: {{'a0': {word('d.a', 0)}, 'a1': {word('d.a', 1)}, 'b0': {word('d.b', 0)}, 'b1': {word('d.b', 1)}}})"
+    units = f"list_transform(list_transform(string_split(regexp_replace(t, '{fingerprints.SENTENCE_END}', '\\1' || chr(10), 'g'), chr(10)), lambda p: {{'a': md5(p), 'b': md5('+' || p)}}), lambda d: {{'a0': {word('d.a', 0)}, 'a1': {word('d.a', 1)}, 'b0': {word('d.b', 0)}, 'b1': {word('d.b', 1)}}})"
     shown = lambda v: f"{v}.n || ':' || array_to_string({v}.words, '.') || ':' || array_to_string({v}.bits, '.')"
     sign = lambda v: f"list_transform({v}.bits, lambda x: 2 * x - {v}.n)"
     near = "CASE WHEN {s} = 0 THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - {d}::DOUBLE / {s}) END"
