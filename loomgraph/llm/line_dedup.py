@@ -4,6 +4,9 @@ A boundary lies between two lines where the rolling hash of the pair, taken from
 its values. An inserted or deleted line therefore moves no boundary but those beside it, and shared passages are cut
 alike wherever they stand. A chunk of two lines or more that occurs again anywhere in the corpus, compared byte by
 byte, is removed but for its first occurrence.
+
+Passages shorter than a few chunks seldom hold a whole one. ``without_repeated_runs`` finds them all: its anchors are
+the overlapping windows of two lines, and the windows that repeat, side by side, are the whole repeated run.
 """
 
 from __future__ import annotations
@@ -61,3 +64,40 @@ def deduplicated(docs: DataFrame, least_lines: int = 2) -> DataFrame:
         "doc_id", F.when(F.col("text").isNotNull(), kept).alias("text"), F.size("cs").cast("long").alias("n_chunks"), F.size(dropped).cast("long").alias("n_removed"),
         F.aggregate(dropped, F.lit(0).cast("long"), lambda n, c: n + c["n_lines"]).alias("n_lines_removed"),
     )
+
+
+def _of_lines(text: Column, f) -> Column:
+    """``f`` of the lines of ``text``, which are split once."""
+    return F.element_at(F.transform(F.array(F.split(text, "\n")), f), 1)
+
+
+def repeated_windows(docs: DataFrame, least_lines: int = 2) -> DataFrame:
+    """(doc_id, text_key, start) of all windows of ``least_lines`` lines but the first occurrence, by doc_id and place."""
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    window = lambda lines, i: F.struct(i.alias("start"), F.array_join(F.slice(lines, i + 1, least_lines), "\n").alias("lines"))
+    every = lambda lines: F.when(F.size(lines) >= least_lines, F.transform(F.sequence(F.lit(0), F.size(lines) - least_lines), lambda i: window(lines, i)))
+    exploded = rows.select("doc_id", "text_key", F.explode(_of_lines(F.col("text"), every)).alias("w")).where(F.trim(F.translate("w.lines", "\n", " ")) != "")
+    narrow = stored(exploded.select("doc_id", "text_key", "w.start", F.xxhash64("w.lines").alias("h")), "line-windows")
+    often = narrow.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    per_doc = spread_join(narrow, often, "h", ["doc_id", "start"]).groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
+    hit = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["text_key"] == per_doc["text_key"])).select(rows["doc_id"], rows["text_key"], _of_lines(F.col("text"), lambda lines: F.transform("starts", lambda i: window(lines, i))).alias("ws"))
+    texts = stored(hit.select("doc_id", "text_key", F.explode("ws").alias("w")).select("doc_id", "text_key", "w.start", "w.lines"), "window-suspects")
+    place = F.struct("doc_id", "text_key", "start")
+    firsts = texts.groupBy("lines").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("lines", "first")
+    return spread_join(texts, firsts, "lines", ["doc_id", "start"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_key", "start").distinct()
+
+
+def without_repeated_runs(docs: DataFrame, least_lines: int = 2) -> DataFrame:
+    """(doc_id, text, n_lines, n_lines_removed) of every row; text is null where it was.
+
+    A line goes if it belongs to a run of ``least_lines`` lines or more that occurs earlier, by doc_id and place, in the
+    corpus; runs may overlap. So the first occurrence of each line stays. Blank lines alone are no run. Nulls and
+    repeated rows count as in ``deduplicated``. An empty table gives no rows; other columns aren't read.
+    """
+    rows = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    covered = F.explode(F.sequence("start", F.col("start") + least_lines - 1))
+    gone = repeated_windows(docs, least_lines).select("doc_id", "text_key", covered.alias("line")).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["text_key"] == gone["_key"]), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    left = lambda lines: F.struct(F.size(lines).alias("n"), F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.element_at(lines, i + 1)), "\n").alias("text"))
+    cut = both.withColumn("left", _of_lines(F.coalesce("text", F.lit("")), left))
+    return cut.select("doc_id", F.when(F.col("text").isNotNull(), F.col("left.text")).alias("text"), F.col("left.n").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_lines_removed"))

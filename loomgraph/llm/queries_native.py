@@ -29,6 +29,24 @@ SELECT *, length(kept) AS n_chars_left, sha256(kept) AS text_sha256 FROM (
 OP1_SQL = f"SELECT doc_id, n_chunks, n_removed, n_lines_removed, n_chars_left, text_sha256 FROM ({OP1_SQL})"
 
 
+def op1_line_run_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of any run of two or more that occurs earlier: counts and the digest of what is left."""
+    out = line_dedup.without_repeated_runs(load(spark, sf_dir, "documents"))
+    left = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_lines", "n_lines_removed", F.length(left).cast("long").alias("n_chars_left"), F.sha2(left, 256).alias("text_sha256"))
+
+
+OP1_RUNS_SQL = """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+w AS (SELECT doc_id, unnest(list_transform(range(1, len(lines)), lambda i: {'s': i, 'lines': lines[i] || chr(10) || lines[i + 1]})) AS win FROM l),
+g AS (SELECT doc_id, win.s AS s FROM w WHERE trim(replace(win.lines, chr(10), ' ')) <> '' QUALIFY row_number() OVER (PARTITION BY win.lines ORDER BY doc_id, win.s) > 1),
+d AS (SELECT doc_id, list(s) AS gone FROM g GROUP BY doc_id),
+k AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i: NOT list_contains(coalesce(gone, []), i) AND NOT list_contains(coalesce(gone, []), i - 1)) AS kept FROM l LEFT JOIN d USING (doc_id)),
+t AS (SELECT doc_id, len(lines) AS n_lines, len(lines) - len(kept) AS n_lines_removed, array_to_string(list_transform(kept, lambda i: lines[i]), chr(10)) AS text FROM k)
+SELECT doc_id, n_lines, n_lines_removed, length(text) AS n_chars_left, sha256(text) AS text_sha256 FROM t
+"""
+
+
 def op3_multiset_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness."""
     return fingerprints.fingerprints(load(spark, sf_dir, "documents"))
@@ -67,5 +85,5 @@ def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.shards(load(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_line_chunk_dedup": op1_line_chunk_dedup, "op3_multiset_fingerprints": op3_multiset_fingerprints, "op5_hilbert_shards": op5_hilbert_shards}
-ORACLE_SQL = {"op1_line_chunk_dedup": OP1_SQL, "op3_multiset_fingerprints": _fingerprints_sql()}
+QUERIES = {"op1_line_chunk_dedup": op1_line_chunk_dedup, "op1_line_run_dedup": op1_line_run_dedup, "op3_multiset_fingerprints": op3_multiset_fingerprints, "op5_hilbert_shards": op5_hilbert_shards}
+ORACLE_SQL = {"op1_line_chunk_dedup": OP1_SQL, "op1_line_run_dedup": OP1_RUNS_SQL, "op3_multiset_fingerprints": _fingerprints_sql()}
