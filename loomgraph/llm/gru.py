@@ -7,6 +7,8 @@ from dataclasses import dataclass
 import numpy as np
 
 F32 = np.float32
+#: Symbols of a lane at least when a run of symbols is cut into lanes.
+LANE = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -54,6 +56,10 @@ class Network:
     def hidden(self) -> int:
         return len(self.state)
 
+    @property
+    def params(self) -> list[np.ndarray]:
+        return [self.given, self.state, self.to_class, self.class_bias, self.to_member, self.member_bias]
+
     @property
     def start(self) -> int:
         return len(self.given) - 1
@@ -115,14 +121,37 @@ def train(net: Network, texts: list[np.ndarray], *, updates: int, streams: int =
         load[k] += len(texts[i])
     targets = [np.concatenate(lane) for lane in lanes]
     inputs = [np.concatenate([np.concatenate([[net.start], t[:-1]]) for t in lane]) for lane in lanes]
-    size, n = np.array(load), net.hidden
-    params = [net.given, net.state, net.to_class, net.class_bias, net.to_member, net.member_bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    h, at = np.zeros((len(lanes), n), F32), np.zeros(len(lanes), np.int64)
+    size = np.array(load)
+    adam = Adam(net)
+    h, at = np.zeros((len(lanes), net.hidden), F32), np.zeros(len(lanes), np.int64)
     for update in range(updates):
         places = (at[:, None] + np.arange(window)) % size[:, None]
         x = np.stack([a[p] for a, p in zip(inputs, places)])
         y = np.stack([a[p] for a, p in zip(targets, places)])
+        h = adam.update(x, y, h, rate * (1 - 0.9 * update / updates))
+        at = (at + window) % size
+
+
+def train_through(adam: "Adam", targets: np.ndarray, inputs: np.ndarray, rate: float, streams: int = 256, window: int = 16) -> None:
+    """Once through a run of symbols, cut into equal lanes side by side; the last window of a lane may go on into the next."""
+    lanes = max(1, min(streams, len(targets) // LANE))
+    width, h = -(-len(targets) // lanes), np.zeros((lanes, adam.net.hidden), F32)
+    starts = np.arange(lanes)[:, None] * width
+    for at in range(0, width, window):
+        places = (starts + at + np.arange(window)) % len(targets)
+        h = adam.update(inputs[places], targets[places], h, rate)
+
+
+class Adam:
+    """Steps of truncated backpropagation on a network's weights, in place."""
+
+    def __init__(self, net: Network) -> None:
+        self.net, self.params, self.updates = net, net.params, 0
+        self.first, self.second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
+
+    def update(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
+        """One window: inputs and targets by lane and place, states before; returns the states after."""
+        net, n, (lanes, window) = self.net, self.net.hidden, x.shape
         kept, outs = [], []
         for t in range(window):
             h = np.where((x[:, t] == net.start)[:, None], F32(0), h)
@@ -133,10 +162,9 @@ def train(net: Network, texts: list[np.ndarray], *, updates: int, streams: int =
             kept.append((h, z, r, new, u[:, 2 * n :]))
             h = new + z * (h - new)
             outs.append(h)
-        at = (at + window) % size
         out = np.stack(outs, axis=1).reshape(-1, n)
-        grads = [np.zeros_like(p) for p in params]
-        d_out = _output_gradients(net, out, y.reshape(-1), grads).reshape(len(lanes), window, n)
+        grads = [np.zeros_like(p) for p in self.params]
+        d_out = _output_gradients(net, out, y.reshape(-1), grads).reshape(lanes, window, n)
         d_h = np.zeros_like(h)
         for t in reversed(range(window)):
             before, z, r, new, u_new = kept[t]
@@ -149,12 +177,13 @@ def train(net: Network, texts: list[np.ndarray], *, updates: int, streams: int =
             grads[1] += before.T @ d_u
             d_h = np.where((x[:, t] == net.start)[:, None], F32(0), d_h * z + d_u @ net.state.T)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-        scale, step = min(1.0, 5.0 / (norm + 1e-9)), rate * (1 - 0.9 * update / updates)
-        for p, g, m, v in zip(params, grads, first, second):
+        scale, self.updates = min(1.0, 5.0 / (norm + 1e-9)), self.updates + 1
+        for p, g, m, v in zip(self.params, grads, self.first, self.second):
             g *= F32(scale)
             m += F32(0.1) * (g - m)
             v += F32(0.01) * (g * g - v)
-            p -= F32(step / (1 - 0.9 ** (update + 1))) * m / (np.sqrt(v / F32(1 - 0.99 ** (update + 1))) + F32(1e-6))
+            p -= F32(rate / (1 - 0.9**self.updates)) * m / (np.sqrt(v / F32(1 - 0.99**self.updates)) + F32(1e-6))
+        return h
 
 
 def _output_gradients(net: Network, out: np.ndarray, y: np.ndarray, grads: list[np.ndarray]) -> np.ndarray:
