@@ -13,7 +13,9 @@ The matrix has a row for each document and a column for each n-gram. Two documen
    pairs that can no longer reach their bound are dropped. Large groups are multiplied block by block: each against the
    first block, then those rows that have not joined the largest class against all blocks.
 
-Every pair of different sets that links is found or lies within a class that other links join.
+Every pair of different sets that links is found or lies within a class that other links join. Where links are counted,
+every pair of blocks of a group is multiplied once instead, so that no link is left out; that work grows with the square
+of a group.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ BLOCK_ENTRIES = 1_000_000
 #: Rows of a group, or of a block of a large group, that one task multiplies.
 GROUP_ROWS = 128
 COLUMNS_AT_ONCE = 8192
+#: Rows of a pair of blocks, and entries of a block, where all links of a group are counted.
+LINK_ROWS, LINK_ENTRIES = 1024, 1_000_000
 #: Stands for a null doc_id on the way to Python and back.
 NO_ID = -(1 << 63)
 #: Numbers of texts without a doc_id of their own begin here.
@@ -125,8 +129,8 @@ def _row_totals(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"did": head["ids"], "sha": list(head["shas"]), "n": head["n"], "shared": shared})
 
 
-def linked_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(id, smallest id of its class here) of the rows that link with another one, by the blocked product."""
+def linked_pairs(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Whether the rows x and y link, by the blocked product; a row doesn't link with itself."""
     lengths = np.array([len(s) for s in sets], np.int64)
     columns, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     row, kept = np.repeat(np.arange(len(sets)), lengths), times[at] > 1
@@ -144,14 +148,23 @@ def linked_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     for begin in range(0, n_columns, COLUMNS_AT_ONCE):
         live = alive.any(axis=1)
         if not live.any():
-            return []
+            return alive
         a, b = np.searchsorted(column, [begin, begin + COLUMNS_AT_ONCE])
         block = np.zeros((len(sets), min(COLUMNS_AT_ONCE, n_columns - begin)), np.float32)
         block[row[a:b], column[a:b] - begin] = 1
         overlap[np.ix_(live, live)] += (block[live] @ block[live].T).astype(np.int64)
         left -= block.sum(axis=1).astype(np.int64)
         alive &= overlap + np.minimum(left[:, None], left[None, :]) >= bound
-    root = list(range(len(sets)))
+    return alive & (overlap >= bound)
+
+
+def linked_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """(id, smallest id of its class here) of the rows that link with another one."""
+    return _stars(ids, linked_pairs(sets, percent))
+
+
+def _stars(ids: np.ndarray, linked: np.ndarray) -> list[tuple[int, int]]:
+    root = list(range(len(ids)))
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -161,7 +174,7 @@ def linked_stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[
     by_id = np.argsort(ids, kind="stable")
     rank = np.empty(len(ids), np.int64)
     rank[by_id] = np.arange(len(ids))
-    for x, y in np.argwhere(np.triu(alive & (overlap >= bound))):
+    for x, y in np.argwhere(np.triu(linked)):
         x, y = find(int(x)), find(int(y))
         if x != y:
             low, high = (x, y) if rank[x] < rank[y] else (y, x)
@@ -178,6 +191,32 @@ def _multiplied(percent: int):
     return multiply
 
 
+def _counted(percent: int):
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, block, copies = pdf["did"].to_numpy(np.int64), pdf["block"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64)
+        if len(ids) < 2:
+            return pd.DataFrame([], columns=["a", "b", "links"]).astype("int64")
+        linked = linked_pairs([np.asarray(h, np.int64).view(np.uint64) for h in pdf["hashes"]], percent)
+        if pdf["s"].iloc[0] != pdf["t"].iloc[0]:
+            linked &= block[:, None] != block[None, :]  # those inside a block are counted where it meets itself
+        root = dict(_stars(ids, linked))
+        some = linked.any(axis=1)
+        return pd.DataFrame({"a": ids[some], "b": [root.get(int(i), int(i)) for i in ids[some]], "links": (linked @ copies)[some]}).astype("int64")
+
+    return count
+
+
+def _counted_links(sets: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b, links): edges (a, b) that join all rows of a class, and parts of a's number of links, which b may be a's."""
+    rows = sets.join(groups, "did")
+    blocks = F.expr(f"greatest((2 * count(1) + {LINK_ROWS - 1}) div {LINK_ROWS}, sum(n) div {LINK_ENTRIES} + 1)")
+    members = spread_join(rows.select("did", "label", "hashes", "copies"), rows.groupBy("label").agg(blocks.alias("blocks")), "label", ["did"])
+    members = members.withColumn("block", F.pmod(F.xxhash64("did"), F.col("blocks")))
+    units = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = units.select("did", "label", "hashes", "copies", "block", F.least("block", "other").alias("s"), F.greatest("block", "other").alias("t"))
+    return stored(units.groupBy("label", "s", "t").applyInPandas(_counted(percent), "a long, b long, links long"), "counted-links")
+
+
 def _sets(size: int):
     def to_sets(batches):
         for batch in slices(batches):
@@ -246,8 +285,8 @@ def _class_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return stored(rows.join(found, "did", "left").withColumn("component", F.coalesce("component", "did")), "classes")
 
 
-def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, sha, n, keeper (doc_id and sha of the class's first text) of every row of ``docs``."""
+def _classified(docs: DataFrame, size: int, percent: int, links: bool = False) -> DataFrame:
+    """doc_id, sha, n, keeper (doc_id and sha of the class's first text), n_links if wanted of every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.unhex(F.sha2(text, 256)).alias("sha"), text.alias("text"))
     volume = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -255,7 +294,7 @@ def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     blocks = rows.mapInArrow(_matrix_blocks(size, bits), BLOCK_DDL)
     totals = blocks.groupBy("key").applyInPandas(_shared_columns, BLOCK_DDL).groupBy("block").applyInPandas(_row_totals, "did long, sha binary, n long, shared long")
     totals = stored(totals.withColumn("doc_id", F.when(F.col("did") != NO_ID, F.col("did"))).drop("did"), "row-totals")
-    texts = totals.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("shared").alias("shared"))
+    texts = totals.groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.max("shared").alias("shared"), F.count(F.lit(1)).alias("rows"))
     # a text goes by its doc_id; without one, or where another text has it too, by a number above all ids
     alone = F.row_number().over(Window.partitionBy(F.coalesce("doc_id", F.xxhash64("sha"))).orderBy("sha")) == 1
     number = F.when(F.col("doc_id").isNotNull() & alone, F.col("doc_id")).otherwise(F.xxhash64("sha").bitwiseAND(F.lit(NAMELESS - 1)).bitwiseOR(F.lit(NAMELESS)))
@@ -266,16 +305,27 @@ def _classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     reps = sets.groupBy("key").agg(F.min("did").alias("rep"))
     members = stored(spread_join(sets.select("did", "key"), reps, "key", ["did"]).select("did", "rep").distinct(), "set-classes")
     one = stored(sets.join(reps.select(F.col("rep").alias("did"), "key"), ["did", "key"]).dropDuplicates(["did", "key"]), "class-sets")
-    edges = _links(one, _candidate_groups(one, percent), percent)
+    named = texts.select("sha", "doc_id", "did")
+    if links:
+        copies = stored(members.join(texts.select("did", "rows"), "did").groupBy("rep").agg(F.sum("rows").alias("copies")), "set-copies")
+        found = _counted_links(one.join(copies.withColumnRenamed("rep", "did"), "did"), _candidate_groups(one, percent), percent)
+        others = found.groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+        n_links = copies.join(others, "rep", "left").select("rep", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+        named = named.join(spread_join(members, n_links, "rep", ["did"]).select("did", "n_links"), "did", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0).cast("long")))
+        edges = found.where("a <> b").select("a", "b")
+    else:
+        edges = _links(one, _candidate_groups(one, percent), percent)
     both = edges.unionByName(members.where("did <> rep").select(F.col("did").alias("a"), F.col("rep").alias("b")))
-    named = _class_of(texts.select("sha", "doc_id", "did"), stored(both, "links"))
+    named = _class_of(named, stored(both, "links"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sha")).alias("keeper")
-    keepers = spread_join(named, named.groupBy("component").agg(first), "component", ["sha"]).select("sha", "keeper")
+    keepers = spread_join(named, named.groupBy("component").agg(first), "component", ["sha"]).select("sha", "keeper", *(["n_links"] if links else []))
     return spread_join(totals, keepers, "sha", ["doc_id"])
 
 
-def classes(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id.
+def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, links: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, and n_links, the number of other rows it links with.
+
+    Without ``links`` they aren't counted, which spares pairs inside a class that other links join.
 
     ``size``: words of a shingle. ``percent``: least similarity in hundredths. Documents without words, or with a null
     text, have no shingles and link with nothing; shorter ones than a shingle have one, of all their words. Repeated
@@ -284,7 +334,7 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     read.
     """
     own = F.when(F.col("n") > 0, F.col("keeper.doc_id")).otherwise(F.col("doc_id"))
-    return _classified(docs, size, percent).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return _classified(docs, size, percent, links).select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), *(["n_links"] if links else []))
 
 
 def one_per_class(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:

@@ -10,6 +10,11 @@ from .common import load
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and shingle count of every document: 4-word shingles, similarity of 0.85 or more."""
+    return jaccard_join.classes(load(spark, sf_dir, "documents"), size=4, percent=85, links=False)
+
+
+def op7_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, shingle count and number of links of every document, with every link counted."""
     return jaccard_join.classes(load(spark, sf_dir, "documents"), size=4, percent=85)
 
 
@@ -23,5 +28,7 @@ r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_i
 SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id FROM s JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)
 """
 
-QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join}
-ORACLE_SQL = {"op7_ngram_jaccard_join": OP7_SQL}
+OP7_LINKS_SQL = OP7_SQL.replace(", c.component_id", ", c.component_id, (SELECT count(*) FROM l WHERE l.a = s.doc_id) AS n_links")
+
+QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join, "op7_ngram_jaccard_links": op7_ngram_jaccard_links}
+ORACLE_SQL = {"op7_ngram_jaccard_join": OP7_SQL, "op7_ngram_jaccard_links": OP7_LINKS_SQL}
