@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 
 F32 = np.float32
 #: Symbols of a lane at least when a run of symbols is cut into lanes.
-LANE = 1024
+LANE = 2048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += F32(1)
+    return np.reciprocal(x, out=x)
 
 
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Natural log probabilities of the wanted columns, and all probabilities."""
-    logits = logits - logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    total = e.sum(axis=1, keepdims=True)
-    return logits[np.arange(len(at)), at] - np.log(total[:, 0]), e / total
+def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Natural log probabilities of the wanted columns, and exponentials with their sums; overwrites ``logits``."""
+    logits -= logits.max(axis=1, keepdims=True)
+    wanted = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    return wanted - np.log(total), logits, total
+
+
+def _by_class(classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts by class, and where each class begins and ends in it."""
+    order = np.argsort(classes, kind="stable")
+    return order, np.searchsorted(classes[order], np.arange(n + 1))
 
 
 @dataclass
@@ -36,6 +47,7 @@ class Network:
     member_bias: np.ndarray
     class_of: np.ndarray
     member_of: np.ndarray
+    losses: list[float] = field(default_factory=list)
 
     @staticmethod
     def fresh(counts: np.ndarray, hidden: int, seed: int = 7) -> "Network":
@@ -71,15 +83,22 @@ class Network:
         new = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
         return new + z * (h - new)
 
-    def log_prob(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    def log_prob(self, h: np.ndarray, y: np.ndarray, at_once: int = 8192) -> np.ndarray:
         """Natural log probabilities of symbols ``y`` in states ``h``."""
-        classes = self.class_of[y]
-        out = _log_softmax_at(h @ self.to_class + self.class_bias, classes)[0].astype(np.float64)
-        order = np.argsort(classes, kind="stable")
-        bounds = np.searchsorted(classes[order], np.arange(len(self.class_bias) + 1))
+        classes, members = self.class_of[y].astype(np.int32), self.member_of[y]
+        out = np.empty(len(y))
+        for k in range(0, len(y), at_once):
+            logits = h[k : k + at_once] @ self.to_class
+            logits += self.class_bias
+            out[k : k + at_once] = _softmax(logits, classes[k : k + at_once])[0]
+        order, bounds = _by_class(classes, len(self.class_bias))
+        h, members, more = h[order], members[order], np.empty(len(y))
         for c in np.flatnonzero(np.diff(bounds)):
-            at = order[bounds[c] : bounds[c + 1]]
-            out[at] += _log_softmax_at(h[at] @ self.to_member[c] + self.member_bias[c], self.member_of[y[at]])[0]
+            a, b = bounds[c], bounds[c + 1]
+            logits = h[a:b] @ self.to_member[c]
+            logits += self.member_bias[c]
+            more[a:b] = _softmax(logits, members[a:b])[0]
+        out[order] += more
         return out
 
     def score(self, texts: list[np.ndarray], rows_at_once: int = 512, buffered: int = 1 << 16) -> np.ndarray:
@@ -107,39 +126,20 @@ class Network:
         return out
 
 
-def train(net: Network, texts: list[np.ndarray], *, updates: int, streams: int = 64, window: int = 16, rate: float = 0.004, seed: int = 7) -> None:
-    """Truncated backpropagation through time: windows of ``window`` symbols over parallel streams of texts, the state
-    carried from window to window and cleared where a text begins; Adam with a falling rate."""
-    texts = [t for t in texts if len(t)]
-    if not texts:
-        return
-    lanes: list[list[np.ndarray]] = [[] for _ in range(min(streams, len(texts)))]
-    load = [0] * len(lanes)
-    for i in np.random.default_rng(seed).permutation(len(texts)):
-        k = int(np.argmin(load))
-        lanes[k].append(texts[i])
-        load[k] += len(texts[i])
-    targets = [np.concatenate(lane) for lane in lanes]
-    inputs = [np.concatenate([np.concatenate([[net.start], t[:-1]]) for t in lane]) for lane in lanes]
-    size = np.array(load)
-    adam = Adam(net)
-    h, at = np.zeros((len(lanes), net.hidden), F32), np.zeros(len(lanes), np.int64)
-    for update in range(updates):
-        places = (at[:, None] + np.arange(window)) % size[:, None]
-        x = np.stack([a[p] for a, p in zip(inputs, places)])
-        y = np.stack([a[p] for a, p in zip(targets, places)])
-        h = adam.update(x, y, h, rate * (1 - 0.9 * update / updates))
-        at = (at + window) % size
-
-
-def train_through(adam: "Adam", targets: np.ndarray, inputs: np.ndarray, rate: float, streams: int = 256, window: int = 16) -> None:
-    """Once through a run of symbols, cut into equal lanes side by side; the last window of a lane may go on into the next."""
+def train_through(adam: "Adam", targets: np.ndarray, inputs: np.ndarray, rate: float, streams: int = 1024, window: int = 16) -> float:
+    """Truncated backpropagation through time, once through a run of symbols that is cut into equal lanes side by side.
+
+    Windows of ``window`` symbols, the state carried from window to window and cleared where a text begins; the last
+    window of a lane may go on into the next. Returns the sum of the symbols' log losses before their updates.
+    """
     lanes = max(1, min(streams, len(targets) // LANE))
-    width, h = -(-len(targets) // lanes), np.zeros((lanes, adam.net.hidden), F32)
+    width, h, loss = -(-len(targets) // lanes), np.zeros((lanes, adam.net.hidden), F32), 0.0
     starts = np.arange(lanes)[:, None] * width
     for at in range(0, width, window):
         places = (starts + at + np.arange(window)) % len(targets)
-        h = adam.update(inputs[places], targets[places], h, rate)
+        h, mean = adam.update(inputs[places], targets[places], h, rate)
+        loss += mean * min(window, width - at) * lanes
+    return loss
 
 
 class Adam:
@@ -149,33 +149,46 @@ class Adam:
         self.net, self.params, self.updates = net, net.params, 0
         self.first, self.second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
 
-    def update(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> np.ndarray:
-        """One window: inputs and targets by lane and place, states before; returns the states after."""
+    def update(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+        """One window: inputs and targets by lane and place, states before; returns the states after and the mean loss."""
         net, n, (lanes, window) = self.net, self.net.hidden, x.shape
-        kept, outs = [], []
+        x = np.ascontiguousarray(x.T)
+        begins, given, kept = (x == net.start)[:, :, None], net.given[x], []
+        outs = np.empty((window, lanes, n), F32)
         for t in range(window):
-            h = np.where((x[:, t] == net.start)[:, None], F32(0), h)
-            a, u = net.given[x[:, t]], h @ net.state
+            if begins[t].any():
+                h = np.where(begins[t], F32(0), h)
+            a, u = given[t], h @ net.state
             gates = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
             z, r = gates[:, :n], gates[:, n:]
             new = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
             kept.append((h, z, r, new, u[:, 2 * n :]))
-            h = new + z * (h - new)
-            outs.append(h)
-        out = np.stack(outs, axis=1).reshape(-1, n)
+            h = outs[t]
+            np.subtract(kept[t][0], new, out=h)
+            h *= z
+            h += new
         grads = [np.zeros_like(p) for p in self.params]
-        d_out = _output_gradients(net, out, y.reshape(-1), grads).reshape(lanes, window, n)
-        d_h = np.zeros_like(h)
+        d_out, loss = _output_gradients(net, outs.reshape(-1, n), np.ascontiguousarray(y.T).reshape(-1), grads)
+        d_out, d_given = d_out.reshape(window, lanes, n), np.empty((window, lanes, 3 * n), F32)
+        d_h, back = np.zeros((lanes, n), F32), np.ascontiguousarray(net.state.T)
         for t in reversed(range(window)):
             before, z, r, new, u_new = kept[t]
-            d_h = d_h + d_out[:, t]
-            d_new = d_h * (1 - z) * (1 - new * new)
-            d_z = d_h * (before - new) * z * (1 - z)
-            d_r = d_new * u_new * r * (1 - r)
-            np.add.at(grads[0], x[:, t], np.concatenate([d_z, d_r, d_new], axis=1))
-            d_u = np.concatenate([d_z, d_r, d_new * r], axis=1)
+            d_h = d_h + d_out[t]
+            d, d_new = d_given[t], d_h * (1 - z)
+            d_new *= 1 - new * new
+            d[:, :n] = d_h * (before - new) * z * (1 - z)
+            d[:, n : 2 * n] = d_new * u_new * r * (1 - r)
+            d[:, 2 * n :] = d_new
+            d_u = d.copy()
+            d_u[:, 2 * n :] *= r
             grads[1] += before.T @ d_u
-            d_h = np.where((x[:, t] == net.start)[:, None], F32(0), d_h * z + d_u @ net.state.T)
+            d_h *= z
+            d_h += d_u @ back
+            if begins[t].any():
+                d_h = np.where(begins[t], F32(0), d_h)
+        order, flat = np.argsort(x, axis=None, kind="stable"), x.ravel()
+        firsts = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        grads[0][flat[order][firsts]] = np.add.reduceat(d_given.reshape(-1, 3 * n)[order], firsts, axis=0)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         scale, self.updates = min(1.0, 5.0 / (norm + 1e-9)), self.updates + 1
         for p, g, m, v in zip(self.params, grads, self.first, self.second):
@@ -183,26 +196,34 @@ class Adam:
             m += F32(0.1) * (g - m)
             v += F32(0.01) * (g * g - v)
             p -= F32(rate / (1 - 0.9**self.updates)) * m / (np.sqrt(v / F32(1 - 0.99**self.updates)) + F32(1e-6))
-        return h
-
-
-def _output_gradients(net: Network, out: np.ndarray, y: np.ndarray, grads: list[np.ndarray]) -> np.ndarray:
-    """Adds the output layer's gradients of the mean log loss to ``grads[2:]``; returns those of the states."""
-    total, classes = F32(len(y)), net.class_of[y]
-    _, p = _log_softmax_at(out @ net.to_class + net.class_bias, classes)
-    p[np.arange(len(y)), classes] -= 1
-    p /= total
+        return h, loss
+
+
+def _output_gradients(net: Network, out: np.ndarray, y: np.ndarray, grads: list[np.ndarray]) -> tuple[np.ndarray, float]:
+    """Adds the output layer's gradients of the mean log loss to ``grads[2:]``; returns those of the states, and the loss."""
+    n, classes = len(y), net.class_of[y].astype(np.int32)
+    order, bounds = _by_class(classes, len(net.class_bias))
+    out, classes, members = out[order], classes[order], net.member_of[y][order]
+    logits = out @ net.to_class
+    logits += net.class_bias
+    logs, p, total = _softmax(logits, classes)
+    loss = -float(logs.sum())
+    p *= (F32(1 / n) / total)[:, None]
+    p[np.arange(n), classes] -= F32(1 / n)
     grads[2] += out.T @ p
     grads[3] += p.sum(axis=0)
     d = p @ net.to_class.T
-    order = np.argsort(classes, kind="stable")
-    bounds = np.searchsorted(classes[order], np.arange(len(net.class_bias) + 1))
     for c in np.flatnonzero(np.diff(bounds)):
-        at = order[bounds[c] : bounds[c + 1]]
-        _, q = _log_softmax_at(out[at] @ net.to_member[c] + net.member_bias[c], net.member_of[y[at]])
-        q[np.arange(len(at)), net.member_of[y[at]]] -= 1
-        q /= total
-        grads[4][c] += out[at].T @ q
+        a, b = bounds[c], bounds[c + 1]
+        logits = out[a:b] @ net.to_member[c]
+        logits += net.member_bias[c]
+        logs, q, total = _softmax(logits, members[a:b])
+        loss -= float(logs.sum())
+        q *= (F32(1 / n) / total)[:, None]
+        q[np.arange(b - a), members[a:b]] -= F32(1 / n)
+        grads[4][c] += out[a:b].T @ q
         grads[5][c] += q.sum(axis=0)
-        d[at] += q @ net.to_member[c].T
-    return d
+        d[a:b] += q @ net.to_member[c].T
+    back = np.empty_like(d)
+    back[order] = d
+    return back, loss / n

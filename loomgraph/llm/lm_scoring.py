@@ -1,12 +1,14 @@
 """Log-likelihood of whole documents under a recurrent word model.
 
 Word counts come from every training document. The most frequent words, the end of a text, and buckets of all other
-words by their last letters are the symbols of a gated recurrent network, trained by truncated backpropagation: first on
-the driver from a bounded sample, then by every partition once through all training documents, in rounds after which
-the partitions' weights are averaged by their numbers of symbols. Its class-factored softmax gives each symbol's
-probability in the state that the whole text so far has left. A word that is no symbol itself has its bucket's probability times its share of the bucket,
-(count + 1) / (sum of the bucket's counts and words + 1), so that an unseen word has a share too and all shares sum to
-one. Words of a count below a fixed part of the corpus aren't sent to the executors; their counts are joined.
+words by their last letters are the symbols of a gated recurrent network, trained by truncated backpropagation over all
+training documents: in rounds, in each of which every partition goes on from the same weights over its own documents,
+and the partitions' weights are then averaged by their numbers of symbols. A round takes a share of the documents, so
+that a large corpus is gone through once; a small one is gone through until enough symbols have been seen. The
+class-factored softmax gives each symbol's probability in the state that the whole text so far has left. A word that is
+no symbol itself has its bucket's probability times its share of the bucket, (count + 1) / (sum of the bucket's counts
+and words + 1), so that an unseen word has a share too and all shares sum to one. Words of a count below a fixed part of
+the corpus aren't sent to the executors; their counts are joined.
 """
 
 from __future__ import annotations
@@ -22,19 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, spread_join, stored
-from .gru import Adam, Network, train, train_through
+from .gru import Adam, Network, train_through
 from .shingles import words
 
 #: A word with at least this part of all tokens is sent to every executor: so many words at most.
 HOT_WORDS = 1 << 20
 #: Words that are symbols, buckets of the others, size of the state.
-SYMBOLS, BUCKETS, HIDDEN = 1600, 96, 32
-#: Where the weights of all documents start from: documents, bytes of text, updates of 64 x 16 symbols.
-SAMPLE_DOCS, SAMPLE_BYTES, UPDATES = 2000, 6_000_000, 2000
-#: Rounds of the pass over all training documents, each over its share of them, and the first round's rate.
-ROUNDS, RATE = 4, 0.002
-#: Symbols that a partition trains on at a time, and weights to a row on their way to the average.
-SYMBOLS_AT_ONCE, WEIGHTS_AT_ONCE = 1 << 18, 8192
+SYMBOLS, BUCKETS, HIDDEN = 1200, 96, 24
+#: Rounds of training, the first one's rate, and the symbols that all rounds see at least, in repeated passes if need be.
+ROUNDS, RATE, LEAST_SYMBOLS = 6, 0.006, 3_000_000
+#: Symbols that a partition trains on at a time, weights to a row on their way to the average, and groups of partitions
+#: that are averaged before all are.
+SYMBOLS_AT_ONCE, WEIGHTS_AT_ONCE, GROUPS = 1 << 20, 2048, 64
 COUNT_AT_ONCE = 2_000_000
 END = np.uint64(0)
 
@@ -127,60 +128,63 @@ def fit(docs: DataFrame, counts: DataFrame) -> tuple[Lexicon, Network]:
     ends = next((r["c"] for r in counts.where("bucket = -1").collect()), 0)
     lexicon = Lexicon(hot, tail, total, distinct, ends)
     net = Network.fresh(lexicon.counts, HIDDEN)
-    trained = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-    picked, size = [], 0
-    for r in trained.select("doc_id", F.octet_length("text").alias("n"), F.xxhash64("doc_id").alias("o")).orderBy("o", "doc_id", "n").limit(SAMPLE_DOCS).collect():
-        if size + r["n"] <= SAMPLE_BYTES:
-            size += r["n"]
-            picked.append(r["doc_id"])
-    texts = trained.where(F.col("doc_id").isin(list(set(picked)))).orderBy("doc_id", "text").limit(SAMPLE_DOCS).select("text").collect() if picked else []
-    train(net, [lexicon.read(words(r["text"]))[0] for r in texts], updates=UPDATES)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(lexicon)
-    for k in range(ROUNDS):
-        share = trained.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(ROUNDS)) == k)
-        net = _trained_by_all(share.select("text"), shared, net, RATE * (1 - 0.8 * k / ROUNDS))
+    trained = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    passes = -(-LEAST_SYMBOLS // max(total, 1)) if total else 0
+    shares = max(1, ROUNDS // max(passes, 1))
+    repeats = -(-max(passes, 1) * shares // ROUNDS)
+    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    for k in range(ROUNDS if total else 0):
+        share = trained.where(F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == k % shares)
+        net = _trained_by_all(share.select("text"), shared, net, RATE * (1 - 0.9 * k / ROUNDS), repeats)
     return lexicon, net
 
 
-def _trained_by_all(texts: DataFrame, lexicon, net: Network, rate: float) -> Network:
-    """The mean of the networks that the partitions of ``texts`` make of ``net``, weighted by their symbols."""
+def _trained_by_all(texts: DataFrame, lexicon, net: Network, rate: float, repeats: int) -> Network:
+    """The mean of the networks that the partitions of ``texts`` make of ``net``, weighted by their symbols; the mean
+    loss of a symbol before its update is added to ``losses``."""
     before = texts.sparkSession.sparkContext.broadcast(net)
 
     def learn(batches):
-        own, known, done = copy.deepcopy(before.value), lexicon.value, 0
+        own, known, done, loss = copy.deepcopy(before.value), lexicon.value, 0, 0.0
         adam, targets, inputs, held = Adam(own), [], [], 0
         for b in slices(batches):
             for text in b.column(0).to_pylist():
-                y = known.read(words(text))[0]
+                y = known.read(words(text))[0].astype(np.int32)
                 targets.append(y)
-                inputs.append(np.concatenate([[own.start], y[:-1]]))
+                inputs.append(np.concatenate([[own.start], y[:-1]]).astype(np.int32))
                 held += len(y)
                 while held >= SYMBOLS_AT_ONCE:
                     y, x = np.concatenate(targets), np.concatenate(inputs)
-                    train_through(adam, y[:SYMBOLS_AT_ONCE], x[:SYMBOLS_AT_ONCE], rate)
+                    for _ in range(repeats):
+                        loss += train_through(adam, y[:SYMBOLS_AT_ONCE], x[:SYMBOLS_AT_ONCE], rate)
                     targets, inputs = [y[SYMBOLS_AT_ONCE:]], [x[SYMBOLS_AT_ONCE:]]
                     held, done = held - SYMBOLS_AT_ONCE, done + SYMBOLS_AT_ONCE
         if held:
-            train_through(adam, np.concatenate(targets), np.concatenate(inputs), rate)
+            y, x = np.concatenate(targets), np.concatenate(inputs)
+            for _ in range(repeats):
+                loss += train_through(adam, y, x, rate)
         if done + held:
             flat, part = np.concatenate([p.ravel() for p in own.params]), TaskContext.get().partitionId()
             pieces = [flat[i : i + WEIGHTS_AT_ONCE].tobytes() for i in range(0, len(flat), WEIGHTS_AT_ONCE)]
             m = len(pieces)
-            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(m), pa.int32()), "part": pa.array([part] * m, pa.int32()), "n": pa.array([done + held] * m, pa.int64()), "weights": pa.array(pieces, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"piece": pa.array(range(m), pa.int32()), "part": pa.array([part] * m, pa.int32()), "n": pa.array([done + held] * m, pa.int64()), "loss": pa.array([loss / repeats] * m, pa.float64()), "weights": pa.array(pieces, pa.binary())})
 
     def mean(pdf):
         pdf = pdf.sort_values("part")
         total = sum(np.frombuffer(w, np.float32).astype(np.float64) * n for w, n in zip(pdf["weights"], pdf["n"]))
-        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "weights": [(total / pdf["n"].sum()).astype(np.float32).tobytes()]})
+        n = pdf["n"].sum()
+        return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [n], "loss": [pdf["loss"].sum()], "weights": [(total / n).astype(np.float32).tobytes()]})
 
-    rows = texts.mapInArrow(learn, "piece int, part int, n long, weights binary").groupBy("piece").applyInPandas(mean, "piece int, weights binary").collect()
+    ddl = "piece int, part int, n long, loss double, weights binary"
+    grouped = texts.mapInArrow(learn, ddl).groupBy("piece", F.pmod("part", F.lit(GROUPS))).applyInPandas(mean, ddl)
+    rows = sorted(grouped.groupBy("piece").applyInPandas(mean, ddl).collect(), key=lambda r: r["piece"])  # one network
     if not rows:
         return net
-    flat, out, at = np.frombuffer(b"".join(r["weights"] for r in sorted(rows, key=lambda r: r["piece"])), np.float32), copy.deepcopy(net), 0
+    flat, out, at = np.frombuffer(b"".join(r["weights"] for r in rows), np.float32), copy.deepcopy(net), 0
     for p in out.params:
         p[...] = flat[at : at + p.size].reshape(p.shape)
         at += p.size
+    out.losses.append(rows[0]["loss"] / rows[0]["n"])
     return out
 
 
@@ -200,7 +204,7 @@ def scores(docs: DataFrame) -> DataFrame:
     def read(batches):
         lexicon, net = shared.value
         base = TaskContext.get().partitionId() << 32
-        for b in batches:
+        for b in slices(batches):
             ids, texts, flags = (b.column(i).to_pylist() for i in range(3))
             n = len(ids)
             symbols, known, size, logs, tail = [], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)

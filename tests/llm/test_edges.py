@@ -29,9 +29,9 @@ OPERATORS = {
 
 @pytest.fixture(scope="module", autouse=True)
 def quick():
-    before, lm_scoring.UPDATES = lm_scoring.UPDATES, 20
+    before, lm_scoring.LEAST_SYMBOLS = lm_scoring.LEAST_SYMBOLS, 100
     yield
-    lm_scoring.UPDATES = before
+    lm_scoring.LEAST_SYMBOLS = before
 
 
 @pytest.mark.parametrize("name", OPERATORS)

@@ -12,9 +12,17 @@ from texts import frame
 from loomgraph.llm import gru, lm_scoring, toxicity
 
 
+def trained(net, texts, times, rate):
+    """Goes through the texts, a lane each, so many times."""
+    adam = gru.Adam(net)
+    for _ in range(times):
+        for t in texts[:8]:
+            adam.update(np.concatenate([[net.start], t[:-1]])[None, :], t[None, :], np.zeros((1, net.hidden), np.float32), rate)
+
+
 def test_probabilities_sum_to_one():
     net = gru.Network.fresh(np.array([50.0, 3, 7, 1, 20, 4, 9]), 8)
-    gru.train(net, [np.array([0, 4, 0, 2, 6]), np.array([1, 3, 5])] * 20, updates=30, streams=4, window=4)
+    trained(net, [np.array([0, 4, 0, 2, 6]), np.array([1, 3, 5])] * 20, 30, 0.01)
     h = np.random.default_rng(1).standard_normal((5, 8)).astype(np.float32)
     total = sum(np.exp(net.log_prob(h, np.full(5, s))) for s in range(7))
     assert total == pytest.approx(np.ones(5), abs=1e-5)
@@ -25,10 +33,34 @@ def test_gradients():
     texts = [np.array([0, 1, 2, 3, 0, 1, 2, 3]) for _ in range(8)]
     net = gru.Network.fresh(np.array([1.0, 1, 1, 1]), 12)
     before = net.score(texts).sum()
-    gru.train(net, texts, updates=150, streams=8, window=8, rate=0.02)
+    trained(net, texts, 150, 0.02)
     assert net.score(texts).sum() > 0.3 * before and before < 0
 
 
+def test_every_gradient_against_differences():
+    """What one plain step changes in the mean loss is what the gradients say, for weights of every kind."""
+    rng = np.random.default_rng(8)
+    net = gru.Network.fresh(np.array([5.0, 3, 2, 4, 1]), 6)
+    for p in net.params:
+        p += rng.standard_normal(p.shape).astype(np.float32) * 0.3 * (np.abs(p) < 1e8)
+    x, y = np.array([[net.start, 1, 2, net.start, 3]] * 2), np.array([[1, 2, 0, 3, 4]] * 2)
+    loss = lambda: -(net.score([y[0, :3], y[0, 3:]])).sum() / 5
+    adam = gru.Adam(net)
+    adam.update(x, y, np.zeros((2, 6), np.float32), 0.0)
+    grads = [m / 0.1 for m in adam.first]
+    for p, g in zip(net.params, grads):
+        for at in [tuple(rng.integers(0, k) for k in p.shape) for _ in range(12)]:
+            if abs(p[at]) > 1e8:
+                continue
+            kept = p[at]
+            p[at] = kept + np.float32(1e-2)
+            up = loss()
+            p[at] = kept - np.float32(1e-2)
+            down = loss()
+            p[at] = kept
+            assert g[at] == pytest.approx((up - down) / 2e-2, abs=2e-3)
+
+
 def test_state_is_carried_through_a_text():
     net = gru.Network.fresh(np.array([3.0, 1, 2]), 6)
     net.to_class[:] = np.random.default_rng(2).standard_normal(net.to_class.shape)
@@ -52,7 +84,7 @@ def lm_rows():
 @pytest.mark.parametrize("hot", [1 << 20, 8])
 def test_scores(spark, monkeypatch, hot):
     monkeypatch.setattr(lm_scoring, "HOT_WORDS", hot)
-    monkeypatch.setattr(lm_scoring, "UPDATES", 150)
+    monkeypatch.setattr(lm_scoring, "LEAST_SYMBOLS", 150_000)
     rows = lm_rows()
     out = {x["doc_id"]: x for x in lm_scoring.scores(frame(spark, rows)).collect()}
     tokens = {i: t.encode().lower().split() + [None] for i, t in rows}

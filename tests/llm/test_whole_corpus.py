@@ -7,8 +7,8 @@ from texts import frame
 from loomgraph.llm import lm_scoring
 
 
-def test_weights_learn_beyond_the_sample(spark, monkeypatch):
-    monkeypatch.setattr(lm_scoring, "UPDATES", 0)
+def test_weights_learn_from_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "LEAST_SYMBOLS", 1_000_000)
     r = random.Random(9)
     rows = []
     for i in range(1500):
