@@ -101,7 +101,7 @@ class Network:
         out[order] += more
         return out
 
-    def score(self, texts: list[np.ndarray], rows_at_once: int = 512, buffered: int = 1 << 16) -> np.ndarray:
+    def score(self, texts: list[np.ndarray], rows_at_once: int = 1024, buffered: int = 1 << 16) -> np.ndarray:
         """Natural log probability of each symbol sequence; the state is carried through all of it."""
         out, order = np.zeros(len(texts)), np.argsort([-len(t) for t in texts], kind="stable")
         for begin in range(0, len(order), rows_at_once):
