@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.components import components
 
-from .common import slices, spread_join, stored
+from .common import slices, spread_join, stored, unused
 from .shingles import set_key, shingle_set
 
 #: Column entries of one row block; a longer document makes a block of its own.
@@ -340,10 +340,12 @@ def classes(docs: DataFrame, *, size: int = 5, percent: int = 80, links: bool =
 def one_per_class(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` that stay when one document of each class does, with all their columns.
 
-    The one with the smallest doc_id, then the first text by SHA-256. Documents without words all stay, and rows that
-    repeat both doc_id and text stay together.
+    The one with the smallest doc_id, then the first text by SHA-256; a class without ids keeps its first text. Documents
+    without words, null texts among them, all stay, and rows that repeat both doc_id and text stay together. An empty
+    table gives no rows; columns may have any names.
     """
     kept = F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("sha") == F.col("keeper.sha"))
     stays = _classified(docs, size, percent).where((F.col("n") == 0) | kept).select(F.col("doc_id").alias("_kept_id"), F.col("sha").alias("_kept_sha"))
-    named = docs.withColumn("_sha", F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
-    return named.join(stays, named["doc_id"].eqNullSafe(stays["_kept_id"]) & (named["_sha"] == stays["_kept_sha"]), "left_semi").drop("_sha")
+    sha = unused("sha", docs.columns)
+    named = docs.withColumn(sha, F.unhex(F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)))
+    return named.join(stays, named["doc_id"].eqNullSafe(stays["_kept_id"]) & (named[sha] == stays["_kept_sha"]), "left_semi").drop(sha)

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread_join, stored
+from .common import spread_join, stored, unused
 
 
 def either_case(word: str) -> str:
@@ -118,12 +118,17 @@ def redacted(text: Column, spans: Column) -> Column:
 
 
 def redacted_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` with the secrets in their texts replaced by their kind; n_chars, where there is one, follows."""
-    hits = findings(docs).where("size(spans) > 0").select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
-    named = docs.withColumn("_blob", blob_of(F.coalesce(F.col("text"), F.lit(""))))
-    found = F.col("_spans").isNotNull()
-    out = spread_join(named, stored(hits, "hits"), "_blob", ["doc_id"], "left")
-    out = out.withColumn("text", F.when(found, redacted(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    """``docs`` with the secrets in their texts replaced by their kind; n_chars, where there is one, follows.
+
+    A null text stays null; repeated rows, null ids and other columns, whatever their names, stay as they are. An empty
+    table gives no rows.
+    """
+    blob, spans = unused("blob", docs.columns), unused("spans", docs.columns)
+    hits = findings(docs).where("size(spans) > 0").groupBy(F.col("blob").alias(blob)).agg(F.first("spans").alias(spans))
+    named = docs.withColumn(blob, blob_of(F.coalesce(F.col("text"), F.lit(""))))
+    found = F.col(spans).isNotNull()
+    out = spread_join(named, stored(hits, "hits"), blob, ["doc_id"], "left")
+    out = out.withColumn("text", F.when(found, redacted(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(found, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -7,13 +7,14 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from texts import frame
 
 from loomgraph.llm import exact_dedup, jaccard_join, line_dedup
 from loomgraph.llm.shingles import set_key, shingle_set, words
 
 
-@pytest.mark.parametrize("options", [{}, {"max_filter_mb": 0}, {"bits_per_row": 1}])
+@pytest.mark.parametrize("options", [{}, {"filter_bytes": 4096}, {"bits_per_row": 1}])
 def test_copies(spark, options):
     r = random.Random(1)
     rows = [(i, f"text {r.randint(0, 400)}") for i in range(700)]
@@ -45,6 +46,25 @@ def near(rows, size, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+def test_filter_by_hash_ranges(spark):
+    """Many filters, one after the other: equal results, few suspects besides the copies, and no shuffle of the rest."""
+    docs = frame(spark, [(i, f"text {i // 2 if i < 20 else i}") for i in range(20000)])
+    got = exact_dedup.copies(docs, filter_bytes=8192)
+    out = {x["doc_id"]: x for x in got.collect()}
+    assert all(out[i]["keep_id"] == (i | 1 if i < 20 else i) and out[i]["kept"] == (i >= 20 or i % 2 == 1) for i in out) and len(out) == 20000
+    assert 20 <= sum(x["suspect"] for x in out.values()) < 2000
+    asked = exact_dedup.marked(docs.select("doc_id", F.xxhash64("text").alias("h")), bits_per_row=12, filter_bytes=8192)
+    assert "Exchange" not in asked.where("not suspect")._jdf.queryExecution().executedPlan().toString()
+    kept = exact_dedup.deduplicated(docs, filter_bytes=8192)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i in out if out[i]["kept"])
+
+
+def test_ids_of_any_width(spark):
+    docs = frame(spark, [(1, "a"), (2, "a"), (3, None)]).withColumn("doc_id", F.col("doc_id").cast("int"))
+    assert {(x["doc_id"], x["keep_id"]) for x in exact_dedup.copies(docs).collect()} == {(1, 2), (2, 2), (3, 3)}
+    assert sorted(r["doc_id"] for r in exact_dedup.deduplicated(docs).collect()) == [2, 3]
+
+
 def near_rows(seed, families, copies, length, edits):
     r = random.Random(seed)
     rows = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names operators use inside.
-CLASHING = ("blob", "spans", "sha", "h", "did", "n", "key", "block", "part", "row", "label", "terms", "component", "start", "kept", "pos", "_one")
+CLASHING = ("blob", "spans", "sha", "h", "did", "n", "key", "block", "part", "row", "label", "terms", "component", "start", "kept", "pos", "_one", "_sha", "_key", "_blob", "_spans", "_kept_id", "_kept_sha", "_bad_id", "_bad_key", "own", "last", "suspect", "hash_range", "bucket", "_bucket")
 
 
 def frame(spark, rows, extra=False):
