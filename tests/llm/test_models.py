@@ -107,12 +107,12 @@ def test_nearest_by_blocks_is_exact():
         raw = {t: r.random() for t in r.sample(range(30), r.randint(1, 6))}
         norm = math.sqrt(sum(w * w for w in raw.values()))
         vectors.append({t: w / norm for t, w in raw.items()})
-    index = toxicity.BlockMaxIndex(vectors, np.ones((500, 2)), np.ones(500, np.int64), list(range(500)), 30)
+    index = toxicity.BlockMaxIndex(vectors, np.ones((500, 2)), np.ones(500, np.int64), [(i,) for i in range(500)], 30)
     for q in vectors[:60]:
         rows, sims = index.nearest(q, 7)
         every = sorted((round(sum(w * v.get(t, 0) for t, w in q.items()), 9) for v in vectors), reverse=True)
         assert list(sims) == pytest.approx([s for s in every if s >= every[6] and s > 0])
-        assert len(set(index.ids[rows])) == len(rows)
+        assert len({index.ids[i] for i in rows}) == len(rows)
 
 
 def test_toxicity_on_held_out_labels(spark):
@@ -135,3 +135,42 @@ def test_toxicity_on_held_out_labels(spark):
 def test_terms():
     find = toxicity.TermFinder(["ab$", "abc", "é$"])
     assert find("ab abc-ab xab É abcd") == {0: 2, 1: 2, 2: 1} and toxicity.TermFinder([])("ab") == {}
+
+
+def test_scores_against_all_examples():
+    """Votes from every example but the text's own, one by one, on the same scale."""
+    r = random.Random(6)
+    idf = np.array([1.0 + 0.1 * t for t in range(12)])
+    label = {i: int(i % 4 == 0) for i in range(90)}
+    examples = [(i, tuple(sorted({t: r.randint(1, 3) for t in r.sample(range(6 * label[i], 6 * label[i] + 6), r.randint(0, 3))}.items()))) for i in label]
+    jury = toxicity.Jury(examples, label, {0: 136, 1: 46}, idf, 5)
+    weight = {y: jury.weight[y] for y in (0, 1)}
+
+    def plain(key, but):
+        q, sims = toxicity._vector(dict(key), idf), []
+        for i, other in examples:
+            if i != but:
+                sims.append((round(sum(w * toxicity._vector(dict(other), idf).get(t, 0) for t, w in q.items()), 5), label[i]))
+        least = sorted((s for s, _ in sims), reverse=True)[4]
+        near = [(s, y) for s, y in sims if s >= least]
+        total = sum(s * weight[y] for s, y in near) + toxicity.PRIOR_WEIGHT
+        return (sum(s * weight[y] for s, y in near if y) + toxicity.PRIOR_WEIGHT * jury.prior) / total
+
+    for i, key in examples:
+        assert jury.vote(key, jury.own(i))[0] == pytest.approx(plain(key, i), abs=1e-4)
+        assert jury.vote(key, None)[0] == pytest.approx(plain(key, None), abs=1e-4)
+        assert all(x["doc_id"] != i for x in jury.vote(key, jury.own(i))[1])
+        want = 1 / (1 + math.exp(-(jury.scale[0] * math.log(plain(key, None) / (1 - plain(key, None))) + jury.scale[1])))
+        assert jury.score(key, None)[0] == pytest.approx(want, abs=1e-3)
+
+
+def test_scale_is_calibrated():
+    """Labels drawn at other rates than the shares say: the fitted scale gives the rates, bin by bin."""
+    rng = np.random.default_rng(3)
+    share = rng.uniform(0.02, 0.98, 20000)
+    true = toxicity.scaled(share, (2.0, -1.0))
+    label = (rng.uniform(size=20000) < true).astype(int)
+    got = toxicity.scaled(share, toxicity.fitted_scale(share, label, np.ones(20000)))
+    for low in np.arange(0, 1, 0.1):
+        here = (got >= low) & (got < low + 0.1)
+        assert label[here].mean() == pytest.approx(got[here].mean(), abs=0.04)
