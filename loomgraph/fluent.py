@@ -6,7 +6,8 @@ import json
 from collections.abc import Callable
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 if TYPE_CHECKING:
@@ -23,9 +24,13 @@ def _condition(predicate: Predicate) -> Column:
         return F.expr(predicate)
 
     def holds(data):  # without type hints, by which Spark would choose another kind of function
-        return bool(predicate(json.loads(data) if isinstance(data, str) else data))
+        if isinstance(data, pd.DataFrame):
+            values = (Row(**r) for r in data.to_dict("records"))
+        else:
+            values = (json.loads(x) if isinstance(x, str) else x for x in data)
+        return pd.Series([bool(predicate(x)) for x in values], dtype=bool)
 
-    return F.udf(holds, "boolean")(F.col("data"))
+    return F.pandas_udf(holds, "boolean", F.PandasUDFType.SCALAR)(F.col("data"))
 
 
 class _Query:
@@ -78,8 +83,6 @@ class HyperedgeQuery(_Query):
         return self._graph.hyperedge_frame
 
     def containing(self, vertex_id: int) -> HyperedgeQuery:
-        """Only hyperedges that hold the vertex."""
-        self._graph._need_build()
-        self._graph.check_if_vertex_exists(vertex_id)
-        own = self._graph.members.where(F.col("vertex_id") == vertex_id).select(F.col("hyperedge_id").alias("id"))
+        """Only hyperedges that hold the vertex; none if there is no such vertex. Needs no build."""
+        own = self._graph.incidence.where(F.col("vertex_id") == vertex_id).select(F.col("hyperedge_id").alias("id")).distinct()
         return self._with(ids=own if self._ids is None else self._ids.join(own, "id", "left_semi"))

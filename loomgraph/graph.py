@@ -9,10 +9,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Sequence
+from itertools import chain
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, MapType, StringType, StructField, StructType
 
 from loomgraph import schema
 from loomgraph.errors import HyperedgeNotFoundError, IndexOutOfBoundsError, NotBuiltError, NotEnoughHyperedgesError, NotEnoughVerticesError, VertexNotFoundError
@@ -24,6 +28,10 @@ from loomgraph.plans import ranking, structure, traversal
 from loomgraph.plans.tables import stored, stored_all
 
 
+#: Positions of edited lists that the driver holds at most.
+OPEN_POSITIONS = 1_000_000
+
+
 class Hypergraph:
     """A directed hypergraph: each hyperedge an ordered list of vertices, repeats allowed.
 
@@ -38,6 +46,12 @@ class Hypergraph:
         self._last_id = last_id if last_id is not None else (self._largest_id() if frames_ else 0)
         self._new_vertices: list[tuple] = []
         self._new_hyperedges: list[tuple] = []
+        # lists that are edited on the driver until a frame is read; those of new hyperedges have no rows yet
+        self._open: dict[int, list[int]] = {}
+        self._rowless: set[int] = set()
+        self._n_open = 0
+        self._known_vertices: set[int] = set()
+        self._known_hyperedges: set[int] = set()
         self._members: DataFrame | None = None
         self._pairs: DataFrame | None = None
 
@@ -78,12 +92,58 @@ class Hypergraph:
     def _flush(self) -> None:
         """Takes buffered rows into the frames, so that many single insertions make one plan node."""
         if self._new_vertices:
-            self._vertices = self._vertices.unionByName(self.spark.createDataFrame(self._new_vertices, schema.VERTICES))
+            self._vertices = self._vertices.unionByName(self._payload_rows(self._vertices, self._new_vertices))
             self._new_vertices = []
         if self._new_hyperedges:
-            self._hyperedges = self._hyperedges.unionByName(self.spark.createDataFrame(self._new_hyperedges, schema.HYPEREDGES))
+            self._hyperedges = self._hyperedges.unionByName(self._payload_rows(self._hyperedges, self._new_hyperedges))
             self._new_hyperedges = []
 
+    def _payload_rows(self, frame: DataFrame, rows: list[tuple]) -> DataFrame:
+        """Rows whose last value is a payload, in the frame's own type of payloads."""
+        kind = frame.schema["data"].dataType
+        if isinstance(kind, StringType):
+            rows = [(*r[:-1], json.dumps(r[-1] if r[-1] is not None else {})) for r in rows]
+        return self.spark.createDataFrame(rows, StructType([StructField(c, kind if c == "data" else LongType(), c == "data") for c in frame.columns]))
+
+    @staticmethod
+    def _payload_column(frame: DataFrame, data: Any) -> Column:
+        kind = frame.schema["data"].dataType
+        if isinstance(kind, StringType):
+            return F.lit(json.dumps(data))
+        if isinstance(kind, (StructType, ArrayType, MapType)):
+            return F.from_json(F.lit(json.dumps(data)), kind)
+        return F.lit(data).cast(kind)
+
+    def _opened(self, hyperedge_id: int) -> list[int] | None:
+        """A hyperedge's list, to be edited in place, or None if it is too long for the driver."""
+        if hyperedge_id not in self._open:
+            here = F.col("hyperedge_id") == hyperedge_id
+            if self._incidence.where(here).limit(OPEN_POSITIONS + 1).count() > OPEN_POSITIONS:
+                return None
+            self._open[hyperedge_id] = [r["vertex_id"] for r in self._incidence.where(here).orderBy("pos").collect()]
+            self._n_open += len(self._open[hyperedge_id])
+        return self._open[hyperedge_id]
+
+    def _grown(self, n: int) -> None:
+        self._n_open += n
+        if self._n_open > OPEN_POSITIONS:
+            self._close_lists()
+
+    def _close_lists(self) -> None:
+        """Takes the opened lists into the incidences, as one frame."""
+        if not self._open:
+            return
+        ids = np.repeat(np.fromiter(self._open, np.int64, len(self._open)), [len(x) for x in self._open.values()])
+        places = [np.arange(len(x)) for x in self._open.values()]
+        columns = {"hyperedge_id": ids, "pos": np.concatenate(places), "vertex_id": np.fromiter(chain.from_iterable(self._open.values()), np.int64, len(ids))}
+        rows = self.spark.createDataFrame(pa.table({c: pa.array(x, pa.int64()) for c, x in columns.items()}), schema.INCIDENCE)
+        had = [i for i in self._open if i not in self._rowless]
+        self._open, self._rowless, self._n_open = {}, set(), 0
+        rest = self._incidence
+        if had:
+            rest = rest.join(F.broadcast(self.spark.createDataFrame([(i,) for i in had], "hyperedge_id long")), "hyperedge_id", "left_anti")
+        self._edited(rest.unionByName(rows))
+
     @property
     def vertex_frame(self) -> DataFrame:
         self._flush()
@@ -96,19 +156,22 @@ class Hypergraph:
 
     @property
     def incidence(self) -> DataFrame:
+        self._close_lists()
         return self._incidence
 
     @property
     def frames(self) -> Frames:
-        return Frames(self.vertex_frame, self.hyperedge_frame, self._incidence)
+        return Frames(self.vertex_frame, self.hyperedge_frame, self.incidence)
 
     @property
     def members(self) -> DataFrame:
-        return self._members if self._members is not None else frames.members_of(self._incidence)
+        self._close_lists()
+        return self._members if self._members is not None else frames.members_of(self.incidence)
 
     @property
     def pairs(self) -> DataFrame:
-        return self._pairs if self._pairs is not None else frames.pairs_of(self._incidence)
+        self._close_lists()
+        return self._pairs if self._pairs is not None else frames.pairs_of(self.incidence)
 
     @property
     def is_built(self) -> bool:
@@ -118,8 +181,8 @@ class Hypergraph:
 
     def build(self) -> None:
         """Stores the frames and those derived from them; idempotent, and cuts the lineage of the edits so far."""
-        self._incidence = stored(self._incidence, "incidence")
-        named = {"vertices": self.vertex_frame, "hyperedges": self.hyperedge_frame, "members": frames.members_of(self._incidence), "pairs": frames.pairs_of(self._incidence)}
+        incidence = self._incidence = stored(self.incidence, "incidence")
+        named = {"vertices": self.vertex_frame, "hyperedges": self.hyperedge_frame, "members": frames.members_of(incidence), "pairs": frames.pairs_of(incidence)}
         self._vertices, self._hyperedges, self._members, self._pairs = stored_all(named)
 
     def clear(self) -> None:
@@ -175,16 +238,22 @@ class Hypergraph:
         return [i for i in wanted if i not in found]
 
     def check_if_vertices_exist(self, ids: Sequence[int]) -> None:
-        pending = {r[0] for r in self._new_vertices}
-        rest = [i for i in ids if i not in pending]
+        rest = [i for i in ids if i not in self._known_vertices]
         if rest and (missing := self._missing(self._vertices, rest)):
             raise VertexNotFoundError(f"no vertices {missing}")
+        self._known_vertices.update(rest)
 
     def check_if_hyperedges_exist(self, ids: Sequence[int]) -> None:
-        pending = {r[0] for r in self._new_hyperedges}
-        rest = [i for i in ids if i not in pending]
+        rest = [i for i in ids if i not in self._known_hyperedges]
         if rest and (missing := self._missing(self._hyperedges, rest)):
             raise HyperedgeNotFoundError(f"no hyperedges {missing}")
+        self._known_hyperedges.update(rest)
+
+    def _forget(self) -> None:
+        """Before rows go: what was known of ids, and lists that are open."""
+        self._flush()
+        self._close_lists()
+        self._known_vertices, self._known_hyperedges = set(), set()
 
     def check_if_vertex_exists(self, vertex_id: int) -> None:
         self.check_if_vertices_exist([vertex_id])
@@ -202,7 +271,8 @@ class Hypergraph:
         for data in data_list:
             self._last_id += 1
             ids.append(self._last_id)
-            self._new_vertices.append((self._last_id, json.dumps(data if data is not None else {})))
+            self._new_vertices.append((self._last_id, data))
+            self._known_vertices.add(self._last_id)
         return ids
 
     def create_hyperedge(self, data: Any = None, weight: int = 1) -> int:
@@ -213,7 +283,10 @@ class Hypergraph:
         for k, data in enumerate(data_list):
             self._last_id += 1
             ids.append(self._last_id)
-            self._new_hyperedges.append((self._last_id, int(weights[k]) if weights else 1, json.dumps(data if data is not None else {})))
+            self._new_hyperedges.append((self._last_id, int(weights[k]) if weights else 1, data))
+            self._known_hyperedges.add(self._last_id)
+            self._open[self._last_id] = []
+            self._rowless.add(self._last_id)
         return ids
 
     create_vertex_assume_capacity, create_hyperedge_assume_capacity = create_vertex, create_hyperedge
@@ -232,12 +305,14 @@ class Hypergraph:
 
     def update_vertex(self, vertex_id: int, data: Any) -> None:
         self.check_if_vertex_exists(vertex_id)
-        self._vertices = self.vertex_frame.withColumn("data", F.when(F.col("id") == vertex_id, F.lit(json.dumps(data))).otherwise(F.col("data")))
+        frame = self.vertex_frame
+        self._vertices = frame.withColumn("data", F.when(F.col("id") == vertex_id, self._payload_column(frame, data)).otherwise(F.col("data")))
 
     def update_hyperedge(self, hyperedge_id: int, data: Any, weight: int | None = None) -> None:
         self.check_if_hyperedge_exists(hyperedge_id)
         here = F.col("id") == hyperedge_id
-        df = self.hyperedge_frame.withColumn("data", F.when(here, F.lit(json.dumps(data))).otherwise(F.col("data")))
+        df = self.hyperedge_frame
+        df = df.withColumn("data", F.when(here, self._payload_column(df, data)).otherwise(F.col("data")))
         self._hyperedges = df if weight is None else df.withColumn("weight", F.when(here, F.lit(weight)).otherwise(F.col("weight")).cast("long"))
 
     def count_vertices(self) -> int:
@@ -261,28 +336,37 @@ class Hypergraph:
             self._members, self._pairs = frames.members_of(incidence), frames.pairs_of(incidence)
 
     def _length(self, hyperedge_id: int) -> int:
+        if hyperedge_id in self._open:
+            return len(self._open[hyperedge_id])
         return self._incidence.where(F.col("hyperedge_id") == hyperedge_id).count()
 
+    def _inserted(self, hyperedge_id: int, vertex_ids: Sequence[int], index: int | None) -> None:
+        """``vertex_ids`` before position ``index``, or at the end."""
+        self.check_if_hyperedge_exists(hyperedge_id)
+        self.check_if_vertices_exist(vertex_ids)
+        members = self._opened(hyperedge_id)
+        n = len(members) if members is not None else self._length(hyperedge_id)
+        at = n if index is None else index
+        if not 0 <= at <= n:
+            raise IndexOutOfBoundsError(f"index {at}")
+        if members is None:
+            self._edited(edits.insert(self.incidence, hyperedge_id, vertex_ids, at))
+        else:
+            members[at:at] = vertex_ids
+            self._grown(len(vertex_ids))
+
     def append_vertices(self, hyperedge_id: int, vertex_ids: Sequence[int]) -> None:
         if vertex_ids:
-            self.check_if_hyperedge_exists(hyperedge_id)
-            self.check_if_vertices_exist(vertex_ids)
-            self._edited(edits.insert(self._incidence, hyperedge_id, vertex_ids, self._length(hyperedge_id)))
+            self._inserted(hyperedge_id, vertex_ids, None)
 
     def prepend_vertices(self, hyperedge_id: int, vertex_ids: Sequence[int]) -> None:
         if vertex_ids:
-            self.check_if_hyperedge_exists(hyperedge_id)
-            self.check_if_vertices_exist(vertex_ids)
-            self._edited(edits.insert(self._incidence, hyperedge_id, vertex_ids, 0))
+            self._inserted(hyperedge_id, vertex_ids, 0)
 
     def insert_vertices(self, hyperedge_id: int, vertex_ids: Sequence[int], index: int) -> None:
         if not vertex_ids:
             raise NotEnoughVerticesError("no vertices to insert")
-        self.check_if_hyperedge_exists(hyperedge_id)
-        self.check_if_vertices_exist(vertex_ids)
-        if not 0 <= index <= self._length(hyperedge_id):
-            raise IndexOutOfBoundsError(f"index {index}")
-        self._edited(edits.insert(self._incidence, hyperedge_id, vertex_ids, index))
+        self._inserted(hyperedge_id, vertex_ids, index)
 
     def append_vertex(self, hyperedge_id: int, vertex_id: int) -> None:
         self.append_vertices(hyperedge_id, [vertex_id])
@@ -298,45 +382,58 @@ class Hypergraph:
         self._need_build()
         self.check_if_hyperedge_exists(hyperedge_id)
         self.check_if_vertex_exists(vertex_id)
-        self._edited(edits.remove(self._incidence, (F.col("hyperedge_id") == hyperedge_id) & (F.col("vertex_id") == vertex_id)))
+        if (members := self._opened(hyperedge_id)) is not None:
+            members[:] = [v for v in members if v != vertex_id]
+        else:
+            self._edited(edits.remove(self.incidence, (F.col("hyperedge_id") == hyperedge_id) & (F.col("vertex_id") == vertex_id)))
 
     def delete_vertex_at_index(self, hyperedge_id: int, index: int) -> None:
         self._need_build()
         self.check_if_hyperedge_exists(hyperedge_id)
-        if not 0 <= index < self._length(hyperedge_id):
+        members = self._opened(hyperedge_id)
+        if not 0 <= index < (len(members) if members is not None else self._length(hyperedge_id)):
             raise IndexOutOfBoundsError(f"index {index}")
-        self._edited(edits.remove(self._incidence, (F.col("hyperedge_id") == hyperedge_id) & (F.col("pos") == index)))
+        if members is not None:
+            del members[index]
+        else:
+            self._edited(edits.remove(self.incidence, (F.col("hyperedge_id") == hyperedge_id) & (F.col("pos") == index)))
 
     def delete_hyperedge(self, hyperedge_id: int, *, drop_vertices: bool = False) -> None:
         """``drop_vertices`` deletes all its members too, shared ones among them, from everywhere."""
         self.check_if_hyperedge_exists(hyperedge_id)
+        self._forget()
         here = F.col("hyperedge_id") == hyperedge_id
         if drop_vertices:
-            gone = self._incidence.where(here).select("vertex_id").distinct()
+            gone = self.incidence.where(here).select("vertex_id").distinct()
             self._vertices = self.vertex_frame.join(gone.withColumnRenamed("vertex_id", "id"), "id", "left_anti")
             self._incidence = edits.without_vertices(self._incidence, gone)
         self._hyperedges = self.hyperedge_frame.where(F.col("id") != hyperedge_id)
-        self._edited(self._incidence.where(~here))
+        self._edited(self.incidence.where(~here))
 
     def delete_vertex(self, vertex_id: int) -> None:
         self._need_build()
         self.check_if_vertex_exists(vertex_id)
+        self._forget()
         self._vertices = self.vertex_frame.where(F.col("id") != vertex_id)
-        self._edited(edits.remove(self._incidence, F.col("vertex_id") == vertex_id))
+        self._edited(edits.remove(self.incidence, F.col("vertex_id") == vertex_id))
 
     def reverse_hyperedge(self, hyperedge_id: int) -> None:
         self.check_if_hyperedge_exists(hyperedge_id)
-        self._edited(edits.reverse(self._incidence, hyperedge_id, self._length(hyperedge_id)))
+        if (members := self._opened(hyperedge_id)) is not None:
+            members.reverse()
+        else:
+            self._edited(edits.reverse(self.incidence, hyperedge_id, self._length(hyperedge_id)))
 
     def merge_hyperedges(self, hyperedge_ids: Sequence[int]) -> None:
         """The first takes the positions of all others in turn, which are deleted."""
         if len(hyperedge_ids) < 2:
             raise NotEnoughHyperedgesError("two hyperedges at least")
         self.check_if_hyperedges_exist(hyperedge_ids)
+        self._forget()
         ids = list(dict.fromkeys(hyperedge_ids))
-        lengths = {r["hyperedge_id"]: r["count"] for r in self._incidence.where(F.col("hyperedge_id").isin(ids)).groupBy("hyperedge_id").count().collect()}
+        lengths = {r["hyperedge_id"]: r["count"] for r in self.incidence.where(F.col("hyperedge_id").isin(ids)).groupBy("hyperedge_id").count().collect()}
         self._hyperedges = self.hyperedge_frame.where(~F.col("id").isin(ids[1:]))
-        self._edited(edits.merge(self._incidence, ids, [lengths.get(i, 0) for i in ids]))
+        self._edited(edits.merge(self.incidence, ids, [lengths.get(i, 0) for i in ids]))
 
     def split_hyperedge(self, hyperedge_id: int, at: int, data: Any = None) -> int:
         """Positions from ``at`` on go to a new hyperedge, whose id is returned."""
@@ -345,7 +442,7 @@ class Hypergraph:
         if not 1 <= at < self._length(hyperedge_id):
             raise IndexOutOfBoundsError(f"index {at}")
         new = self.create_hyperedge(data)
-        self._edited(edits.split(self._incidence, hyperedge_id, at, new))
+        self._edited(edits.split(self.incidence, hyperedge_id, at, new))
         return new
 
     def contract_hyperedge(self, hyperedge_id: int) -> None:
@@ -355,10 +452,11 @@ class Hypergraph:
         n = self._length(hyperedge_id)
         if n == 0:
             raise IndexOutOfBoundsError("an empty hyperedge can't be contracted")
+        self._forget()
         here = F.col("hyperedge_id") == hyperedge_id
-        last = self._incidence.where(here & (F.col("pos") == n - 1)).first()["vertex_id"]
+        last = self.incidence.where(here & (F.col("pos") == n - 1)).first()["vertex_id"]
         self._hyperedges = self.hyperedge_frame.where(F.col("id") != hyperedge_id)
-        self._edited(edits.contract(self._incidence, self.pairs, hyperedge_id, last))
+        self._edited(edits.contract(self.incidence, self.pairs, hyperedge_id, last))
 
     def merge_vertices(self, vertex_ids: Sequence[int]) -> None:
         """The first stands for all others everywhere; runs of it that this makes become one; the others are deleted."""
@@ -366,9 +464,10 @@ class Hypergraph:
         if len(vertex_ids) < 2:
             raise NotEnoughVerticesError("two vertices at least")
         self.check_if_vertices_exist(vertex_ids)
+        self._forget()
         others = [v for v in dict.fromkeys(vertex_ids) if v != vertex_ids[0]]
         self._vertices = self.vertex_frame.where(~F.col("id").isin(others))
-        self._edited(edits.replace(self._incidence, F.col("vertex_id").isin(others), vertex_ids[0]))
+        self._edited(edits.replace(self.incidence, F.col("vertex_id").isin(others), vertex_ids[0]))
 
     def split_vertex(self, vertex_id: int, hyperedge_ids: Sequence[int], data: Any = None) -> int:
         """A new vertex, whose id is returned, takes all its places in the given hyperedges."""
@@ -379,13 +478,15 @@ class Hypergraph:
         self.check_if_hyperedges_exist(hyperedge_ids)
         new = self.create_vertex(data)
         here = F.col("hyperedge_id").isin(list(hyperedge_ids)) & (F.col("vertex_id") == vertex_id)
-        self._edited(self._incidence.withColumn("vertex_id", F.when(here, F.lit(new).cast("long")).otherwise(F.col("vertex_id"))))
+        self._edited(self.incidence.withColumn("vertex_id", F.when(here, F.lit(new).cast("long")).otherwise(F.col("vertex_id"))))
         return new
 
     # Point queries
 
     def get_hyperedge_vertices(self, hyperedge_id: int) -> list[int]:
         self.check_if_hyperedge_exists(hyperedge_id)
+        if hyperedge_id in self._open:
+            return list(self._open[hyperedge_id])
         return [r["vertex_id"] for r in self._incidence.where(F.col("hyperedge_id") == hyperedge_id).orderBy("pos").collect()]
 
     def get_vertex_hyperedges(self, vertex_id: int) -> list[int]:
@@ -437,20 +538,20 @@ class Hypergraph:
         return [r["hyperedge_id"] for r in measures.connecting(self.members, v1_id, v2_id).orderBy("hyperedge_id").collect()]
 
     def get_endpoints(self) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        rows = measures.endpoints(self._incidence).orderBy("hyperedge_id").collect()
+        rows = measures.endpoints(self.incidence).orderBy("hyperedge_id").collect()
         return [(r["hyperedge_id"], r["initial"]) for r in rows], [(r["hyperedge_id"], r["terminal"]) for r in rows]
 
     def get_orphan_hyperedges(self) -> list[int]:
-        return [r["hyperedge_id"] for r in measures.orphan_hyperedges(self.hyperedge_frame, self._incidence).orderBy("hyperedge_id").collect()]
+        return [r["hyperedge_id"] for r in measures.orphan_hyperedges(self.hyperedge_frame, self.incidence).orderBy("hyperedge_id").collect()]
 
     def get_orphan_vertices(self) -> list[int]:
         self._need_build()
-        return [r["vertex_id"] for r in measures.orphan_vertices(self.vertex_frame, self._incidence).orderBy("vertex_id").collect()]
+        return [r["vertex_id"] for r in measures.orphan_vertices(self.vertex_frame, self.incidence).orderBy("vertex_id").collect()]
 
     def is_k_uniform(self, k: int) -> bool:
         """Whether every hyperedge, empty ones included, has ``k`` positions."""
         self._need_build()
-        lengths = measures.size_counts(self.hyperedge_frame, frames.sizes_of(self._incidence))
+        lengths = measures.size_counts(self.hyperedge_frame, frames.sizes_of(self.incidence))
         return lengths.where(F.col("length") != k).isEmpty()
 
     # Traversal
@@ -592,7 +693,7 @@ class Hypergraph:
     def get_core(self, s: int, t: int) -> Hypergraph:
         self._need_build()
         v, h = structure.core(self.members, self.hyperedge_frame, self.vertex_frame, s, t)
-        kept = self._incidence.join(v, "vertex_id", "left_semi").join(h, "hyperedge_id", "left_semi")
+        kept = self.incidence.join(v, "vertex_id", "left_semi").join(h, "hyperedge_id", "left_semi")
         f = Frames(self.vertex_frame.join(v.withColumnRenamed("vertex_id", "id"), "id", "left_semi"), self.hyperedge_frame.join(h.withColumnRenamed("hyperedge_id", "id"), "id", "left_semi"), frames.reranked(kept))
         return self._derived(f)
 

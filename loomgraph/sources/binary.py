@@ -7,8 +7,10 @@ each). A payload, with the default codec: length of the JSON text (u64), the tex
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import TYPE_CHECKING
 
 import pyarrow as pa
@@ -63,12 +65,34 @@ def _as_text(df: DataFrame) -> DataFrame:
     return df if df.schema["data"].dataType == StringType() else df.withColumn("data", F.to_json("data"))
 
 
-def save(graph: Hypergraph, path: str, encode: Callable[[str | None, int], bytes] = json_payload) -> None:
+class RawCodec:
+    """Payloads without pointers as their bytes: the fields of one fixed layout, as ``struct`` writes it, and no more.
+
+    ``fields`` names the values of the layout in the payload; a field called ``weight`` is the weight, which is 1 without
+    one. As a codec: ``save(g, path, codec.encode, vertex_codec.encode)``.
+    """
+
+    def __init__(self, layout: str, fields: list[str]) -> None:
+        self.layout, self.fields = struct.Struct(layout), fields
+
+    def encode(self, data: str | None, weight: int) -> bytes:
+        values = json.loads(data or "{}")
+        return self.layout.pack(*(weight if f == "weight" else values[f] for f in self.fields))
+
+    def decode(self, raw: bytes) -> tuple[str, int]:
+        values = dict(zip(self.fields, self.layout.unpack(raw)))
+        weight = int(values.pop("weight", 1))
+        return json.dumps(values), weight
+
+
+def save(graph: Hypergraph, path: str, encode: Callable[[str | None, int], bytes] = json_payload, encode_vertex: Callable[[str | None, int], bytes] | None = None) -> None:
     """Streams the graph, by id, through the driver to one file at any path that Spark can write to.
 
     The format has one file and counts in front, so this is for exchange; Parquet is the format for large graphs. A
-    hyperedge's list must fit in a row. A custom codec turns (data, weight) into a payload.
+    hyperedge's list must fit in a row. A custom codec turns (data, weight) into a payload; vertices, whose weight is
+    1, may have one of their own.
     """
+    encode_vertex = encode_vertex or encode
     spark = graph.spark
     vertices = _as_text(graph.vertex_frame).select("id", "data").orderBy("id")
     edges = _as_text(graph.hyperedge_frame).join(arrays_of(graph.incidence), F.col("id") == F.col("hyperedge_id"), "left").select("id", "weight", "data", "members").orderBy("id")
@@ -76,7 +100,7 @@ def save(graph: Hypergraph, path: str, encode: Callable[[str | None, int], bytes
     def pieces() -> Iterator[bytes]:
         yield HEADER.pack(MAGIC, VERSION, graph._last_id, graph.count_vertices(), graph.count_hyperedges())
         for r in vertices.toLocalIterator():
-            payload = encode(r["data"], 1)
+            payload = encode_vertex(r["data"], 1)
             yield ITEM.pack(r["id"], len(payload)) + payload
         for r in edges.toLocalIterator():
             payload, members = encode(r["data"], r["weight"]), r["members"] or []
@@ -100,39 +124,41 @@ def save(graph: Hypergraph, path: str, encode: Callable[[str | None, int], bytes
         out.close()
 
 
-def read_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(kind, id, payload, members, last_id) of a file, parsed on an executor."""
+def read_rows(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[str, int]] = read_json_payload, decode_vertex: Callable[[bytes], tuple[str, int]] | None = None) -> DataFrame:
+    """(kind, id, data, weight, members, last_id) of a file, parsed on an executor."""
+    of_vertex = decode_vertex or decode
 
     def run(batches):
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.int64(), pa.list_(pa.int64()), pa.int64())
         for b in batches:
             for raw in b.column("content").to_pylist():
-                rows = list(parse(raw))
-                for k in range(0, len(rows), 10_000):
-                    columns = list(zip(*rows[k : k + 10_000]))
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int64()))], names=["kind", "id", "payload", "members", "last_id"])
+                rows = parse(raw)
+                while part := list(islice(rows, 10_000)):
+                    read = [(None, None) if r[0] == "header" else (of_vertex if r[0] == "vertex" else decode)(bytes(r[2])) for r in part]
+                    columns = zip(*((r[0], r[1], *x, r[3], r[4]) for r, x in zip(part, read)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "id", "data", "weight", "members", "last_id"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, ROWS)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "kind string, id long, data string, weight long, members array<long>, last_id long")
 
 
-def load(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[str, int]] = read_json_payload) -> Hypergraph:
-    """The graph of a file, not built. Its ids go on from the file's last one."""
+def load(spark: SparkSession, path: str, decode: Callable[[bytes], tuple[str, int]] = read_json_payload, decode_vertex: Callable[[bytes], tuple[str, int]] | None = None) -> Hypergraph:
+    """The graph of a file, not built. Its ids go on from the file's last one. Vertices may have a codec of their own."""
     from loomgraph.graph import Hypergraph
     from loomgraph.operators.projections import Frames
     from loomgraph.plans.tables import stored
 
-    decoded = F.udf(lambda kind, raw: None if kind == "header" else decode(bytes(raw)), "data string, weight long")
     try:
-        rows = stored(read_rows(spark, path).withColumn("p", decoded("kind", "payload")), "binary-file")
+        rows = stored(read_rows(spark, path, decode, decode_vertex), "binary-file")
         last_id = rows.where("kind = 'header'").first()["last_id"]
     except Exception as e:
         for kind in (InvalidMagicNumberError, UnsupportedVersionError):
             if kind.__name__ in str(e):
                 raise kind(path) from e
         raise HypergraphError(f"can't read {path}") from e
-    vertices = rows.where("kind = 'vertex'").select("id", "p.data")
+    vertices = rows.where("kind = 'vertex'").select("id", "data")
     edges = rows.where("kind = 'hyperedge'")
     incidence = edges.select(F.col("id").alias("hyperedge_id"), F.posexplode("members").alias("pos", "vertex_id")).select("hyperedge_id", F.col("pos").cast("long").alias("pos"), "vertex_id")
-    return Hypergraph(spark, Frames(vertices, edges.select("id", "p.weight", "p.data"), incidence), last_id=last_id)
+    return Hypergraph(spark, Frames(vertices, edges.select("id", "weight", "data"), incidence), last_id=last_id)
 
 
 def register(spark: SparkSession) -> None:
