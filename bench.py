@@ -52,7 +52,21 @@ def shapes(spark: SparkSession) -> dict:
     shared.build()
     from loomgraph.operators import measures
 
+    def filled(each) -> Hypergraph:
+        g = Hypergraph(spark)
+        vertices = g.create_vertices([None] * 1000)
+        for _ in range(1000):
+            each(g, g.create_hyperedge(), vertices)
+        return g
+
+    def one_by_one(g, h, vertices):
+        for v in vertices:
+            g.append_vertex(h, v)
+
     return {
+        "insert_per_vertex_1m": lambda: filled(one_by_one).incidence,
+        "insert_batch_append_1m": lambda: filled(lambda g, h, vertices: g.append_vertices(h, vertices)).incidence,
+        "build_reverse_index_1m": (lambda g: lambda: g.build())(Hypergraph.from_table(grid, "e", "v", [], pos="p")),
         "insert_build_1m": lambda: Hypergraph.from_table(grid, "e", "v", [], pos="p").build(),
         "degrees_100x1000": lambda: full(measures.degrees(shared.vertex_frame, shared.pairs)),
         "shortest_path_chain_1000": lambda: chain.find_shortest_path(1, 1000),

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, MapType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, LongType, StringType, StructField, StructType
 
 from loomgraph import schema
 from loomgraph.errors import HyperedgeNotFoundError, IndexOutOfBoundsError, NotBuiltError, NotEnoughHyperedgesError, NotEnoughVerticesError, VertexNotFoundError
@@ -101,18 +101,22 @@ class Hypergraph:
     def _payload_rows(self, frame: DataFrame, rows: list[tuple]) -> DataFrame:
         """Rows whose last value is a payload, in the frame's own type of payloads."""
         kind = frame.schema["data"].dataType
-        if isinstance(kind, StringType):
-            rows = [(*r[:-1], json.dumps(r[-1] if r[-1] is not None else {})) for r in rows]
-        return self.spark.createDataFrame(rows, StructType([StructField(c, kind if c == "data" else LongType(), c == "data") for c in frame.columns]))
+        text = isinstance(kind, StringType)
+        rows = [(*r[:-1], json.dumps({} if text and r[-1] is None else r[-1])) for r in rows]
+        new = self.spark.createDataFrame(rows, StructType([StructField(c, StringType() if c == "data" else LongType(), c == "data") for c in frame.columns]))
+        return new if text else new.withColumn("data", self._read_payload(F.col("data"), kind))
+
+    @staticmethod
+    def _read_payload(text: Column, kind: DataType) -> Column:
+        """A payload of another type than text from its JSON."""
+        inside = StructType([StructField("x", kind)])
+        return F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), inside)["x"]
 
     @staticmethod
     def _payload_column(frame: DataFrame, data: Any) -> Column:
         kind = frame.schema["data"].dataType
-        if isinstance(kind, StringType):
-            return F.lit(json.dumps(data))
-        if isinstance(kind, (StructType, ArrayType, MapType)):
-            return F.from_json(F.lit(json.dumps(data)), kind)
-        return F.lit(data).cast(kind)
+        text = F.lit(json.dumps(data))
+        return text if isinstance(kind, StringType) else Hypergraph._read_payload(text, kind)
 
     def _opened(self, hyperedge_id: int) -> list[int] | None:
         """A hyperedge's list, to be edited in place, or None if it is too long for the driver."""

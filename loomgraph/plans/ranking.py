@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import local
 from .local import LOCAL_ROWS, LOCAL_WORK
-from .tables import dropped, joined, largest_key, spread_join, stored
+from .tables import appended, dropped, joined, largest_key, spread_join, stored
 
 
 class PageRank(NamedTuple):
@@ -75,13 +75,13 @@ def centrality(vertices: DataFrame, pairs: DataFrame, sources: DataFrame | None
         reach, sums = local.brandes(known, here, known if sources is None else [int(r["vertex_id"]) for r in begin.collect()])
         return result(local.frame(ids, [(v, *x) for v, x in reach.items()], "vertex_id long, r long, total long"), local.frame(ids, list(sums.items()), "vertex_id long, b double"))
     levels = [stored(begin.select(F.col("vertex_id").alias("s"), F.col("vertex_id").alias("v"), F.lit(1.0).alias("sigma")), "level")]
-    seen = levels[0].select("s", "v", F.lit(0).alias("dist"), "sigma")
+    seen = stored(levels[0].select("s", "v", F.lit(0).alias("dist"), "sigma"), "distances")
     while True:
         step = levels[-1].join(edges, levels[-1]["v"] == edges["src"]).groupBy("s", F.col("dst").alias("v")).agg(F.sum(F.col("sigma") * F.col("m")).alias("sigma"))
         new = stored(step.join(seen.select("s", "v"), ["s", "v"], "left_anti"), "level")
         if new.isEmpty():
             break
-        seen = stored(seen.unionByName(new.select("s", "v", F.lit(len(levels)).alias("dist"), "sigma")), "distances")
+        seen = appended(seen, new.select("s", "v", F.lit(len(levels)).alias("dist"), "sigma"))
         levels.append(new)
     closeness = seen.where("dist > 0").groupBy(F.col("s").alias("vertex_id")).agg(F.count(F.lit(1)).alias("r"), F.sum("dist").alias("total"))
     between, below = None, None

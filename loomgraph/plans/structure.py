@@ -11,7 +11,7 @@ from loomgraph.errors import CycleDetectedError
 from . import local
 from .components import components
 from .local import LOCAL_ROWS
-from .tables import PLAIN_ROWS, dropped, joined, largest_key, placed, spread_join, stored
+from .tables import PLAIN_ROWS, appended, dropped, joined, largest_key, placed, spread_join, stored
 
 
 def connected_components(vertices: DataFrame, members: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -31,9 +31,9 @@ def connected_components(vertices: DataFrame, members: DataFrame, local_rows: in
     return every.join(found, "vertex_id", "left").withColumn("component", F.coalesce("component", "vertex_id"))
 
 
-def is_connected(vertices: DataFrame, members: DataFrame) -> bool:
+def is_connected(vertices: DataFrame, members: DataFrame, local_rows: int = LOCAL_ROWS) -> bool:
     """Whether there is one component at most."""
-    return connected_components(vertices, members).select("component").distinct().limit(2).count() <= 1
+    return connected_components(vertices, members, local_rows).select("component").distinct().limit(2).count() <= 1
 
 
 def topological_levels(vertices: DataFrame, pairs: DataFrame, *, ordered: bool = True, local_rows: int = LOCAL_ROWS) -> tuple[DataFrame, bool]:
@@ -60,24 +60,26 @@ def topological_levels(vertices: DataFrame, pairs: DataFrame, *, ordered: bool =
             rest = waiting.isEmpty()
             empty = last
             return (done if done is not None else empty), rest
-        done = last if done is None else stored(done.unionByName(last), "levels")
-        waiting = stored(waiting.join(last.select("vertex_id"), "vertex_id", "left_anti"), "waiting")
+        done = stored(last, "levels") if done is None else appended(done, last)
+        before, waiting = waiting, stored(waiting.join(last.select("vertex_id"), "vertex_id", "left_anti"), "waiting")
+        dropped(before)
         tagged = left.join(last.select(F.col("vertex_id").alias("src"), "place"), "src", "left")
         freed = stored(tagged.where("place is not null"), "pairs-freed")
-        left = stored(tagged.where("place is null").drop("place"), "pairs-left")
+        before, left = left, stored(tagged.where("place is null").drop("place"), "pairs-left")
+        dropped(before)
         level += 1
 
 
-def topological_order(vertices: DataFrame, pairs: DataFrame) -> DataFrame:
+def topological_order(vertices: DataFrame, pairs: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(vertex_id, level, place), or an error if there is a cycle."""
-    order, all_of_them = topological_levels(vertices, pairs)
+    order, all_of_them = topological_levels(vertices, pairs, local_rows=local_rows)
     if not all_of_them:
         raise CycleDetectedError("the hypergraph has a cycle")
     return order
 
 
-def has_cycle(vertices: DataFrame, pairs: DataFrame) -> bool:
-    return not topological_levels(vertices, pairs, ordered=False)[1]
+def has_cycle(vertices: DataFrame, pairs: DataFrame, local_rows: int = LOCAL_ROWS) -> bool:
+    return not topological_levels(vertices, pairs, ordered=False, local_rows=local_rows)[1]
 
 
 def core(members: DataFrame, hyperedges: DataFrame, vertices: DataFrame, s: int, t: int) -> tuple[DataFrame, DataFrame]:
@@ -136,16 +138,17 @@ def cut_vertices(members: DataFrame, local_rows: int = LOCAL_ROWS) -> DataFrame:
 
 def _forest(both: DataFrame, labels: DataFrame) -> DataFrame:
     """(v, parent, level): a breadth-first tree of each component from its smallest node."""
-    seen = frontier = stored(labels.where("v = component").select("v", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level")), "forest")
-    level = 0
+    roots = labels.where("v = component").select("v", F.lit(None).cast("long").alias("parent"), F.lit(0).alias("level"))
+    seen, frontier, level = stored(roots, "forest"), stored(roots, "forest-level"), 0
     while True:
         level += 1
         met = spread_join(both.withColumnRenamed("a", "v"), frontier.select("v"), "v", ["b"]).groupBy("b").agg(F.min("v").alias("parent"))
         new = met.select(F.col("b").alias("v"), "parent", F.lit(level).alias("level")).join(seen.select("v"), "v", "left_anti")
-        frontier = stored(new, "forest-level")
+        last, frontier = frontier, stored(new, "forest-level")
+        dropped(last)
         if frontier.isEmpty():
             return seen
-        seen = stored(seen.unionByName(frontier), "forest")
+        seen = appended(seen, frontier)
 
 
 def _preorder(tree: DataFrame) -> DataFrame:

@@ -60,6 +60,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def appended(table: DataFrame, rows: DataFrame) -> DataFrame:
+    """A stored table with more rows, which go to its folder; frames that refer to ``table`` keep what they had."""
+    path, spark = table.loomgraph_path, table.sparkSession
+    rows.select(*table.columns).write.mode("append").parquet(path)
+    more = spark.read.schema(table.schema).parquet(path)
+    more.loomgraph_path = path
+    return more
+
+
 def dropped(table: DataFrame) -> None:
     """Deletes a stored table that no frame refers to any more, such as that of the round before."""
     if path := getattr(table, "loomgraph_path", None):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import local
 from .local import LOCAL_ROWS, LOCAL_WORK
-from .tables import placed, spread_join, stored
+from .tables import appended, dropped, placed, spread_join, stored
 
 
 def _ids(df: DataFrame, ids: list[int], name: str) -> DataFrame:
@@ -29,16 +29,19 @@ def bfs(pairs: DataFrame, start: int, local_rows: int = LOCAL_ROWS) -> DataFrame
     edges = stored(pairs.select("hyperedge_id", "pos", "src", "dst"), "pairs")
     if (here := local.fetched(edges, local_rows)) is not None:
         return local.frame(edges, local.bfs(here, int(start)), "vertex_id long, level int, place long")
-    seen = stored(_ids(pairs, [start], "vertex_id").withColumn("level", F.lit(0)).withColumn("place", F.lit(0).cast("long")), "bfs")
-    frontier, level = seen, 0
+    first = _ids(pairs, [start], "vertex_id").withColumn("level", F.lit(0)).withColumn("place", F.lit(0).cast("long"))
+    seen, last, level = stored(first, "bfs"), stored(first, "frontier"), 0
+    frontier = last
     while True:
         level += 1
         found = spread_join(edges.withColumnRenamed("src", "vertex_id"), frontier.select("vertex_id", "place"), "vertex_id", ["hyperedge_id", "pos"])
         new = found.groupBy(F.col("dst").alias("vertex_id")).agg(F.min(F.struct("place", "hyperedge_id", "pos")).alias("key")).join(seen.select("vertex_id"), "vertex_id", "left_anti")
-        frontier = placed(new, "key").select("vertex_id", F.lit(level).alias("level"), "place")
+        new = placed(new, "key")
+        dropped(last)
+        last, frontier = new, new.select("vertex_id", F.lit(level).alias("level"), "place")
         if frontier.isEmpty():
             return seen
-        seen = stored(seen.unionByName(frontier), "bfs")
+        seen = appended(seen, frontier)
 
 
 def reachable(pairs: DataFrame, sources: DataFrame, until: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -48,17 +51,18 @@ def reachable(pairs: DataFrame, sources: DataFrame, until: int | None = None, lo
     starts = stored(sources.select("vertex_id").distinct(), "sources")
     if (here := local.fetched(edges, local_rows)) is not None and (begin := local.fetched(starts, local_rows)) is not None:
         return local.frame(edges, sorted(local.hops(here, [int(v) for v in begin["vertex_id"]]).items()), "vertex_id long, hops int")
-    seen = frontier = stored(sources.select("vertex_id").distinct().withColumn("hops", F.lit(0)), "reached")
-    hops = 0
+    first = starts.withColumn("hops", F.lit(0))
+    seen, frontier, hops = stored(first, "reached"), stored(first, "frontier"), 0
     while True:
         hops += 1
         if until is not None and not frontier.where(F.col("vertex_id") == until).isEmpty():
             return seen
         new = edges.join(frontier.select(F.col("vertex_id").alias("src")), "src", "left_semi").select(F.col("dst").alias("vertex_id")).distinct()
-        frontier = stored(new.join(seen.select("vertex_id"), "vertex_id", "left_anti").withColumn("hops", F.lit(hops)), "frontier")
+        last, frontier = frontier, stored(new.join(seen.select("vertex_id"), "vertex_id", "left_anti").withColumn("hops", F.lit(hops)), "frontier")
+        dropped(last)
         if frontier.isEmpty():
             return seen
-        seen = stored(seen.unionByName(frontier), "reached")
+        seen = appended(seen, frontier)
 
 
 def shortest_paths(pairs: DataFrame, start: int, target: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
@@ -100,7 +104,7 @@ def all_paths(pairs: DataFrame, start: int, target: int) -> DataFrame:
     while not open_paths.isEmpty():
         step = open_paths.join(edges, "at").where("not array_contains(path, dst)")
         step = stored(step.select(F.col("dst").alias("at"), F.concat("path", F.array("dst")).alias("path"), F.concat("keys", F.array("key")).alias("keys")), "steps")
-        done = stored(done.unionByName(step.where(F.col("at") == target)), "all-paths")
+        done = appended(done, step.where(F.col("at") == target))
         open_paths = step.where(F.col("at") != target)
     return done.select("path", "keys")
 
@@ -111,16 +115,17 @@ def transitive_closure(pairs: DataFrame) -> DataFrame:
     Paths double in length each round: what is new is joined with all that is known.
     """
     known = stored(pairs.select("src", "dst").distinct(), "closure")
-    delta = known
+    delta = stored(known, "closure-delta")
     while True:
         a = delta.select("src", F.col("dst").alias("via"))
         b = known.select(F.col("src").alias("via"), "dst")
         c = known.select("src", F.col("dst").alias("via")).join(delta.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst")
         found = a.join(b, "via").select("src", "dst").unionByName(c).distinct()
-        delta = stored(found.join(known, ["src", "dst"], "left_anti"), "closure-delta")
+        last, delta = delta, stored(found.join(known, ["src", "dst"], "left_anti"), "closure-delta")
+        dropped(last)
         if delta.isEmpty():
             return known
-        known = stored(known.unionByName(delta), "closure")
+        known = appended(known, delta)
 
 
 def random_walks(members: DataFrame, weights: DataFrame, starts: DataFrame, steps: int, seed: int) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from loomgraph.functions import frames
 from loomgraph.operators.projections import Frames
 from loomgraph.plans import ranking, structure, traversal
+from loomgraph.plans.tables import numbered
 
-from .inputs import customers, nations, orders, sizes, with_sql
+from .inputs import chains, customers, nations, orders, sizes, with_sql
 
 
 def _first(g: Frames) -> int:
@@ -137,7 +138,8 @@ def pagerank_k(spark, sf_dir):
 def pagerank(spark, sf_dir):
     """Scores once a sweep changes less than the tolerance."""
     g = orders(spark, sf_dir)
-    return ranking.page_rank(g.vertices, g.hyperedges, frames.members_of(g.incidence)).scores
+    got = ranking.page_rank(g.vertices, g.hyperedges, frames.members_of(g.incidence), tolerance=1e-11)
+    return got.scores.withColumn("score", F.round("score", 9))
 
 
 def centrality(spark, sf_dir):
@@ -147,21 +149,119 @@ def centrality(spark, sf_dir):
     return out.select("vertex_id", *(F.round(c, 6).alias(c) for c in ("degree", "closeness", "betweenness")))
 
 
-QUERIES = {f.__name__: f for f in (bfs_level, dfs_order, reachable, shortest_cost, shortest_path, all_paths, closure, closure_nations, random_walk, components, is_connected, has_cycle, topological_level, core, cut_vertices, cut_vertices_orders, pagerank_k, pagerank, centrality)}
+def bfs_order(spark, sf_dir):
+    """Place of every vertex in the breadth-first order of the chains from the first nation."""
+    g = chains(spark, sf_dir)
+    found = traversal.bfs(frames.pairs_of(g.incidence), _first(g))
+    return _dense(found)
+
+
+def topological_place(spark, sf_dir):
+    """Places of the chains' vertices in a topological order, as levels, and how many of the pairs it turns around."""
+    g = chains(spark, sf_dir)
+    pairs = frames.pairs_of(g.incidence)
+    order = numbered(structure.topological_order(g.vertices, pairs), "level", "place")
+    at = order.select("vertex_id", "level", "number")
+    turned = pairs.join(at.select(F.col("vertex_id").alias("src"), F.col("number").alias("a")), "src").join(at.select(F.col("vertex_id").alias("dst"), F.col("number").alias("b")), "dst")
+    wrong = turned.groupBy(F.col("src").alias("vertex_id")).agg(F.sum((F.col("a") >= F.col("b")).cast("long")).alias("turned"))
+    return at.join(wrong, "vertex_id", "left").select("vertex_id", F.col("level").cast("long").alias("level"), F.coalesce("turned", F.lit(0)).cast("long").alias("turned"))
+
+
+def _dense(found):
+    return numbered(found, "level", "place").select("vertex_id", F.col("level").cast("long").alias("level"), F.col("number").cast("long").alias("number"))
+
+
+# The same in rounds, which larger graphs take at any rate, on graphs that grow with the tables
+
+def bfs_level_rounds(spark, sf_dir):
+    g = orders(spark, sf_dir)
+    return traversal.bfs(frames.pairs_of(g.incidence), _first(g), local_rows=0).select("vertex_id", F.col("level").cast("long").alias("level"))
+
+
+def bfs_order_rounds(spark, sf_dir):
+    g = chains(spark, sf_dir)
+    return _dense(traversal.bfs(frames.pairs_of(g.incidence), _first(g), local_rows=0))
+
+
+def reachable_rounds(spark, sf_dir):
+    """Fewest hops from the first nation along the chains."""
+    g = chains(spark, sf_dir)
+    start = g.vertices.agg(F.min("id").alias("vertex_id"))
+    return traversal.reachable(frames.pairs_of(g.incidence), start, local_rows=0).select("vertex_id", F.col("hops").cast("long").alias("hops"))
+
+
+def shortest_cost_rounds(spark, sf_dir):
+    g = orders(spark, sf_dir)
+    pairs = frames.pairs_of(g.incidence).join(g.hyperedges.select(F.col("id").alias("hyperedge_id"), "weight"), "hyperedge_id")
+    return traversal.shortest_paths(pairs, _first(g), local_rows=0).select("vertex_id", "cost")
+
+
+def shortest_path_rounds(spark, sf_dir):
+    """The least path from the first nation to every vertex of the chains, by hops and then ids."""
+    g = chains(spark, sf_dir)
+    pairs = frames.pairs_of(g.incidence).withColumn("weight", F.lit(1).cast("long"))
+    found = traversal.shortest_paths(pairs, _first(g), local_rows=0)
+    return found.select("vertex_id", "hops", F.array_join(F.transform("path", lambda x: F.lpad(x.cast("string"), 12, "0")), ",").alias("path"))
+
+
+def closure_chains(spark, sf_dir):
+    """Which parts and suppliers each customer's orders lead to, and all other pairs that a path joins."""
+    return traversal.transitive_closure(frames.pairs_of(chains(spark, sf_dir).incidence))
+
+
+def components_rounds(spark, sf_dir):
+    g = orders(spark, sf_dir)
+    return structure.connected_components(g.vertices, frames.members_of(g.incidence), local_rows=0)
+
+
+def is_connected_rounds(spark, sf_dir):
+    out = []
+    for name, make in (("orders", orders), ("nations", nations)):
+        g = make(spark, sf_dir)
+        out.append((name, structure.is_connected(g.vertices, frames.members_of(g.incidence), local_rows=0)))
+    return spark.createDataFrame(out, "graph string, connected boolean")
+
+
+def has_cycle_rounds(spark, sf_dir):
+    out = []
+    for name, make in (("chains", chains), ("orders", orders)):
+        g = make(spark, sf_dir)
+        out.append((name, structure.has_cycle(g.vertices, frames.pairs_of(g.incidence), local_rows=0)))
+    return spark.createDataFrame(out, "graph string, cycle boolean")
+
+
+def topological_level_rounds(spark, sf_dir):
+    """Longest path that ends at each vertex of the chains."""
+    g = chains(spark, sf_dir)
+    return structure.topological_order(g.vertices, frames.pairs_of(g.incidence), local_rows=0).select("vertex_id", F.col("level").cast("long").alias("level"))
+
+
+def cut_vertices_rounds(spark, sf_dir):
+    return structure.cut_vertices(frames.members_of(customers(spark, sf_dir).incidence), local_rows=0)
+
+
+def centrality_rounds(spark, sf_dir):
+    g = sizes(spark, sf_dir)
+    out = ranking.centrality(g.vertices, frames.pairs_of(g.incidence), local_rows=0)
+    return out.select("vertex_id", *(F.round(c, 6).alias(c) for c in ("degree", "closeness", "betweenness")))
+
+
+ROUNDS = (bfs_order, topological_place, bfs_level_rounds, bfs_order_rounds, reachable_rounds, shortest_cost_rounds, shortest_path_rounds, closure_chains, components_rounds, is_connected_rounds, has_cycle_rounds, topological_level_rounds, cut_vertices_rounds, centrality_rounds)
+QUERIES = {f.__name__: f for f in (bfs_level, dfs_order, reachable, shortest_cost, shortest_path, all_paths, closure, closure_nations, random_walk, components, is_connected, has_cycle, topological_level, core, cut_vertices, cut_vertices_orders, pagerank_k, pagerank, centrality, *ROUNDS)}
 
 
-def _pagerank_sql() -> str:
+def _pagerank_sql(sweeps: int) -> str:
     steps = """
 wt AS MATERIALIZED (SELECT h, v, w FROM mem JOIN edges USING (h)),
 dv AS MATERIALIZED (SELECT v, coalesce(sum(w), 0)::DOUBLE AS d FROM verts LEFT JOIN wt USING (v) GROUP BY v),
 sh AS MATERIALIZED (SELECT h, max(w) / count(*) AS share FROM wt GROUP BY h),
 n AS (SELECT count(*)::DOUBLE AS n FROM verts),
 r0 AS MATERIALIZED (SELECT v, 1 / n AS r FROM verts, n)"""
-    for k in range(1, SWEEPS + 1):
+    for k in range(1, sweeps + 1):
         steps += f""",
 f{k} AS MATERIALIZED (SELECT h, sum(r / d) * max(share) AS y FROM wt JOIN r{k - 1} USING (v) JOIN dv USING (v) JOIN sh USING (h) GROUP BY h),
 r{k} AS MATERIALIZED (SELECT v, 0.15::DOUBLE / n + 0.85::DOUBLE * (SELECT coalesce(sum(r), 0) FROM r{k - 1} JOIN dv USING (v) WHERE d <= 0) / n + 0.85::DOUBLE * coalesce(x, 0) AS r FROM verts LEFT JOIN (SELECT v, sum(y) AS x FROM wt JOIN f{k} USING (h) GROUP BY v) USING (v), n)"""
-    return with_sql("orders", steps + f"\nSELECT v AS vertex_id, round(r, 9) AS score FROM r{SWEEPS}")
+    return with_sql("orders", steps + f"\nSELECT v AS vertex_id, round(r, 9) AS score FROM r{sweeps}")
 
 
 def _core_sql(rounds: int = 40) -> str:
@@ -215,7 +315,8 @@ near AS (SELECT DISTINCT a.v AS gone, b.v FROM mem a JOIN mem b USING (h) WHERE
 SELECT DISTINCT n.gone AS vertex_id FROM near n ANTI JOIN (SELECT gone, v FROM r WHERE v IS NOT NULL) x ON x.gone = n.gone AND x.v = n.v""", recursive=True),
     "is_connected": "SELECT 'orders' AS graph, count(DISTINCT component) <= 1 AS connected FROM (" + with_sql("orders", _LABELS + "SELECT l AS component FROM c", recursive=True) + ") UNION ALL SELECT 'nations', count(DISTINCT component) <= 1 FROM (" + with_sql("nations", _LABELS + "SELECT l AS component FROM c", recursive=True) + ")",
     "has_cycle": "SELECT 'sizes' AS graph, (SELECT count(*) FROM (" + with_sql("sizes", _REACH + "SELECT src FROM c WHERE src = dst", recursive=True) + ")) > 0 AS cycle UNION ALL SELECT 'orders', (SELECT count(*) FROM (" + with_sql("orders", _REACH + "SELECT src FROM c WHERE src = dst", recursive=True) + ")) > 0",
-    "pagerank_k": _pagerank_sql(),
+    "pagerank_k": _pagerank_sql(SWEEPS),
+    "pagerank": _pagerank_sql(40),  # no score changes by 1e-11 any more
     "centrality": with_sql("sizes", """
 e AS MATERIALIZED (SELECT src, dst, count(*)::DOUBLE AS m FROM prs GROUP BY ALL),
 r(s, v, d) AS (SELECT v, v, 0 FROM verts UNION SELECT r.s, e.dst, d + 1 FROM r JOIN e ON e.src = r.v),
@@ -230,3 +331,34 @@ cl AS (SELECT s AS v, count(*)::DOUBLE AS r, sum(d) AS t FROM dist WHERE d > 0 G
 SELECT v AS vertex_id, round(coalesce(k, 0) / (2 * (n - 1)), 6) AS degree, round(coalesce(r * r / ((n - 1) * t), 0), 6) AS closeness, round(coalesce(x, 0) / ((n - 1) * (n - 2)), 6) AS betweenness
 FROM verts LEFT JOIN ends USING (v) LEFT JOIN cl USING (v) LEFT JOIN b USING (v), n""", recursive=True),
 }
+
+_BFS_PLACES = with_sql("chains", """
+e AS MATERIALIZED (SELECT src, dst, min((h, pos)) AS k FROM prs GROUP BY ALL),
+l0 AS (SELECT min(v) AS v, 0::BIGINT AS n FROM verts),
+""" + ",\n".join(f"l{k} AS MATERIALIZED (SELECT dst AS v, row_number() OVER (ORDER BY min((n, e.k))) AS n FROM e JOIN l{k - 1} ON src = v GROUP BY dst)" for k in range(1, 5)) + """
+SELECT v AS vertex_id, level::BIGINT AS level, row_number() OVER (ORDER BY level, n) - 1 AS number FROM (""" + " UNION ALL ".join(f"SELECT v, n, {k} AS level FROM l{k}" for k in range(5)) + ")")
+_CHAIN_LEVELS = with_sql("chains", """
+r(v, level) AS (SELECT v, 0::BIGINT FROM verts WHERE v NOT IN (SELECT dst FROM prs) UNION SELECT p.dst, level + 1 FROM r JOIN prs p ON p.src = r.v)
+SELECT v AS vertex_id, max(level) AS level FROM r GROUP BY v""", recursive=True)
+ORACLE_SQL |= {
+    "bfs_order": _BFS_PLACES,
+    "bfs_order_rounds": _BFS_PLACES,
+    "topological_place": f"SELECT vertex_id, level, 0::BIGINT AS turned FROM ({_CHAIN_LEVELS})",
+    "topological_level_rounds": _CHAIN_LEVELS,
+    "bfs_level_rounds": ORACLE_SQL["bfs_level"],
+    "reachable_rounds": with_sql("chains", """
+r(v, hops) AS (SELECT min(v), 0::BIGINT FROM verts UNION SELECT p.dst, hops + 1 FROM r JOIN prs p ON p.src = r.v)
+SELECT v AS vertex_id, min(hops) AS hops FROM r GROUP BY v""", recursive=True),
+    "shortest_cost_rounds": ORACLE_SQL["shortest_cost"],
+    "shortest_path_rounds": with_sql("chains", """
+e AS MATERIALIZED (SELECT DISTINCT src, dst FROM prs),
+r(v, hops, path) USING KEY (v) AS (SELECT min(v), 0::BIGINT, lpad(min(v)::VARCHAR, 12, '0') FROM verts UNION
+  SELECT e.dst, min(r.hops + 1), min(r.path || ',' || lpad(e.dst::VARCHAR, 12, '0')) FROM r JOIN e ON e.src = r.v LEFT JOIN recurring.r o ON o.v = e.dst WHERE o.v IS NULL GROUP BY e.dst)
+SELECT v AS vertex_id, hops, path FROM r""", recursive=True),
+    "closure_chains": with_sql("chains", _REACH + "SELECT src, dst FROM c", recursive=True),
+    "components_rounds": ORACLE_SQL["components"],
+    "is_connected_rounds": ORACLE_SQL["is_connected"],
+    "has_cycle_rounds": "SELECT 'chains' AS graph, (SELECT count(*) FROM (" + with_sql("chains", "SELECT 1 FROM prs WHERE src % 8 >= dst % 8") + ")) > 0 AS cycle UNION ALL SELECT 'orders', (SELECT count(*) FROM (" + with_sql("orders", _REACH + "SELECT src FROM c WHERE src = dst", recursive=True) + ")) > 0",
+    "cut_vertices_rounds": ORACLE_SQL["cut_vertices"],
+    "centrality_rounds": ORACLE_SQL["centrality"],
+}

@@ -3,6 +3,7 @@
 orders: an order is a hyperedge, its parts are the vertices, by line; all parts and orders, weight by priority.
 sizes: a brand is a hyperedge, the distinct sizes of its parts its vertices, rising, so there is no cycle.
 customers: see the function.
+chains: a hyperedge for each line, from nation to supplier; grows with the tables and has no cycle.
 nations: a region's nations are a hyperedge, and so are those of each five successive keys; weight 1.
 """
 
@@ -35,6 +36,20 @@ def sizes(spark: SparkSession, sf_dir: str) -> Frames:
     return _unweighted(rows)
 
 
+def chains(spark: SparkSession, sf_dir: str) -> Frames:
+    """A hyperedge for each line number of an order: the customer's nation, the customer, the order, the least part and
+    the least supplier. Ids are keys times eight and the kind, so pairs lead from kind to kind and there is no cycle."""
+    line = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey"), F.min("l_suppkey").alias("l_suppkey"))
+    order = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
+    whole = line.join(order, "l_orderkey").join(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey")
+    kinds = ("c_nationkey", "c_custkey", "l_orderkey", "l_partkey", "l_suppkey")
+    places = F.posexplode(F.array(*(F.col(c).cast("long") * 8 + k for k, c in enumerate(kinds))))
+    rows = whole.select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("h"), places.alias("pos", "v"))
+    none = F.lit(None).cast("string").alias("data")
+    hyperedges = rows.select(F.col("h").alias("id")).distinct().select("id", F.lit(1).cast("long").alias("weight"), none)
+    return Frames(rows.select(F.col("v").alias("id")).distinct().select("id", none), hyperedges, incidence_from_table(rows, "h", "v", [], pos="pos"))
+
+
 def nations(spark: SparkSession, sf_dir: str) -> Frames:
     rows = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("v"), F.explode(F.array((F.col("n_regionkey") + 1).cast("long"), F.expr("100 + n_nationkey div 5"))).alias("h"))
     return _unweighted(rows)
@@ -71,6 +86,11 @@ inc AS MATERIALIZED (SELECT h, row_number() OVER (PARTITION BY h ORDER BY v) - 1
   SELECT min(c_custkey), any_value(n_regionkey)::BIGINT + 1000 FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey)),
 verts AS (SELECT DISTINCT v FROM inc),
 edges AS (SELECT DISTINCT h, 1::BIGINT AS w FROM inc)"""
+CHAINS_SQL = """
+inc AS MATERIALIZED (SELECT l_orderkey * 8 + l_linenumber AS h, unnest([0, 1, 2, 3, 4]) AS pos, unnest([c_nationkey::BIGINT * 8, c_custkey * 8 + 1, l_orderkey * 8 + 2, l_partkey * 8 + 3, l_suppkey * 8 + 4]) AS v
+  FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY ALL) JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey),
+verts AS (SELECT DISTINCT v FROM inc),
+edges AS (SELECT DISTINCT h, 1::BIGINT AS w FROM inc)"""
 DERIVED_SQL = """,
 mem AS MATERIALIZED (SELECT h, v, min(pos) AS first_pos, count(*) AS times FROM inc GROUP BY h, v),
 prs AS MATERIALIZED (SELECT * FROM (SELECT h, pos, v AS src, lead(v) OVER (PARTITION BY h ORDER BY pos) AS dst FROM inc) WHERE dst IS NOT NULL)"""
@@ -78,7 +98,7 @@ prs AS MATERIALIZED (SELECT * FROM (SELECT h, pos, v AS src, lead(v) OVER (PARTI
 
 def with_sql(graph: str, body: str, *, recursive: bool = False) -> str:
     """A statement over inc, verts, edges, mem and prs of a graph; ``body`` may begin with further expressions."""
-    base = {"orders": ORDERS_SQL, "sizes": SIZES_SQL, "nations": NATIONS_SQL, "customers": CUSTOMERS_SQL}[graph]
+    base = {"orders": ORDERS_SQL, "sizes": SIZES_SQL, "nations": NATIONS_SQL, "customers": CUSTOMERS_SQL, "chains": CHAINS_SQL}[graph]
     body = body.strip()
     more = "" if body.upper().startswith("SELECT") else ","
     return f"WITH {'RECURSIVE' if recursive else ''} {base}{DERIVED_SQL}{more}\n{body}"

@@ -73,14 +73,14 @@ class RawCodec:
     """
 
     def __init__(self, layout: str, fields: list[str]) -> None:
-        self.layout, self.fields = struct.Struct(layout), fields
+        self.layout, self.fields = layout, fields
 
     def encode(self, data: str | None, weight: int) -> bytes:
         values = json.loads(data or "{}")
-        return self.layout.pack(*(weight if f == "weight" else values[f] for f in self.fields))
+        return struct.pack(self.layout, *(weight if f == "weight" else values[f] for f in self.fields))
 
     def decode(self, raw: bytes) -> tuple[str, int]:
-        values = dict(zip(self.fields, self.layout.unpack(raw)))
+        values = dict(zip(self.fields, struct.unpack(self.layout, raw)))
         weight = int(values.pop("weight", 1))
         return json.dumps(values), weight
 

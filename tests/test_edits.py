@@ -130,3 +130,23 @@ def test_fluent(base):
     assert q.where("get_json_object(data, '$.n') > 2").where(lambda d: d["n"] < 5).data() == [{"n": 3}, {"n": 4}]
     assert q.neighbors().ids() == [A, B, C, D, E] and q.limit(0).ids() == []
     assert base.hyperedges().containing(C).ids() == [HA, HC] and base.hyperedges().containing(C).containing(E).limit(1).ids() == [HA]
+
+
+def test_lists_too_long_for_the_driver(g, monkeypatch):
+    """Edits as plans give what edits of opened lists give."""
+    from loomgraph import graph
+
+    def edit(x):
+        x.append_vertices(HB, [C, D])
+        x.prepend_vertex(HB, B)
+        x.insert_vertex(HB, E, 1)
+        x.delete_vertex_at_index(HB, 0)
+        x.reverse_hyperedge(HB)
+        x.delete_vertex_from_hyperedge(HB, C)
+        return lists(x)
+
+    other = Hypergraph(g.spark, g.frames)
+    other._members, other._pairs = g._members, g._pairs
+    want = edit(g)
+    monkeypatch.setattr(graph, "OPEN_POSITIONS", 0)
+    assert edit(other) == want

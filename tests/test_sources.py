@@ -83,3 +83,17 @@ def test_json_lines(spark, tmp_path):
     g = Hypergraph.from_json(spark, str(tmp_path / "v.json"), str(tmp_path / "h.json"))
     assert g.get_hyperedge_vertices(4) == [3, 1, 3] and g.get_hyperedge_vertices(5) == [2]
     assert g.get_vertex(2) == {"n": "b"} and [r["weight"] for r in g.hyperedge_frame.orderBy("id").collect()] == [4, 1]
+
+
+def test_raw_codecs_apart(spark, tmp_path):
+    """Payloads as the bytes of a layout, vertices and hyperedges each by its own."""
+    g = Hypergraph(spark)
+    a, b = g.create_vertices([{"age": 3}, {"age": 4}])
+    h = g.create_hyperedge({"size": 2.5}, 7)
+    g.append_vertices(h, [a, b, a])
+    edge, vertex = binary.RawCodec("<dq", ["size", "weight"]), binary.RawCodec("<i", ["age"])
+    path = str(tmp_path / "raw.bin")
+    binary.save(g, path, edge.encode, vertex.encode)
+    back = binary.load(spark, path, edge.decode, vertex.decode)
+    assert [back.get_vertex(v) for v in (a, b)] == [{"age": 3}, {"age": 4}] and back.get_hyperedge(h) == {"size": 2.5}
+    assert back.get_hyperedge_vertices(h) == [a, b, a] and back.hyperedge_frame.first()["weight"] == 7
