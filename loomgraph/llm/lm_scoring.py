@@ -204,14 +204,14 @@ def scores(docs: DataFrame) -> DataFrame:
     def read(batches):
         lexicon, net = shared.value
         base = TaskContext.get().partitionId() << 32
-        for b in slices(batches):
-            ids, texts, flags = (b.column(i).to_pylist() for i in range(3))
-            n = len(ids)
+        for b in batches:
+            n = b.num_rows
+            ids, flags = b.column(0), b.column(2)
             symbols, known, size, logs, tail = [], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             rare_row, rare_h, rare_n = [], [], []
-            for i, text in enumerate(texts):
+            for i, text in enumerate(x for part in slices([b]) for x in part.column(1).to_pylist()):
                 s, c, h = lexicon.read(words(text))
-                symbols.append(s)
+                symbols.append(s.astype(np.int16))
                 frequent, in_bucket = c >= 0, (s >= lexicon.first_bucket) & (s < lexicon.end)
                 log_c = np.log10(np.maximum(c, 0) + 1.0)
                 known[i], size[i], logs[i] = (c > 0).sum(), len(s), log_c.sum()
@@ -220,6 +220,7 @@ def scores(docs: DataFrame) -> DataFrame:
                 rare_row.append(np.full(len(hh), base + i))
                 rare_h.append(hh)
                 rare_n.append(nn)
+            # a whole batch at a time, so that long texts are scored side by side
             model = net.score(symbols) / np.log(10) + tail
             yield _rows(row=base + np.arange(n), doc_id=ids, held_out=flags, n_tokens=size, n_known=known, logs=logs, model=model)
             yield _rows(row=np.concatenate(rare_row), h=np.concatenate(rare_h).view(np.int64), times=np.concatenate(rare_n).astype(np.int64))
@@ -241,4 +242,4 @@ _SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", p
 
 def _rows(**given) -> pa.RecordBatch:
     n = len(given["row"])
-    return pa.RecordBatch.from_arrays([pa.array(given[f.name], f.type) if f.name in given else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
+    return pa.RecordBatch.from_arrays([(x if isinstance(x := given[f.name], pa.Array) else pa.array(x, f.type)) if f.name in given else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)

@@ -174,3 +174,31 @@ def test_scale_is_calibrated():
     for low in np.arange(0, 1, 0.1):
         here = (got >= low) & (got < low + 0.1)
         assert label[here].mean() == pytest.approx(got[here].mean(), abs=0.04)
+
+
+def test_shares_of_the_whole_vocabulary_sum_to_one():
+    """Over every word that was seen and one that wasn't, symbols and shares of buckets, as scores add them up."""
+    r = random.Random(8)
+    seen = Counter({f"w{i}".encode(): r.randint(1, 9) for i in range(400)})
+    h = lambda w: int(lm_scoring._hashes([w])[:1].view(np.int64)[0])
+    tail = Counter()
+    for w, c in seen.items():
+        tail[lm_scoring.bucket(w)] += c + 1
+    size, lm_scoring.SYMBOLS = lm_scoring.SYMBOLS, 50
+    try:
+        lexicon = lm_scoring.Lexicon([*((h(w), lm_scoring.bucket(w), c) for w, c in seen.items()), (0, -1, 30)], tail, sum(seen.values()) + 30, 401, 30)
+    finally:
+        lm_scoring.SYMBOLS = size
+    net = gru.Network.fresh(lexicon.counts, 6)
+    net.to_class += np.random.default_rng(4).standard_normal(net.to_class.shape).astype(np.float32)
+    state = np.random.default_rng(5).standard_normal((1, 6)).astype(np.float32)
+    p = [math.exp(net.log_prob(state, np.array([s]))[0]) for s in range(len(lexicon.counts))]
+    assert sum(p) == pytest.approx(1, abs=1e-5)
+    shares = Counter()
+    for w, c in seen.items():
+        s, count, _ = lexicon.read([w])
+        assert count[0] == c
+        if s[0] >= lexicon.first_bucket:
+            shares[s[0]] += (c + 1) / 10 ** lexicon.log_mass[s[0] - lexicon.first_bucket]
+    for b in range(lm_scoring.BUCKETS):  # what is left is an unseen word's
+        assert shares[lexicon.first_bucket + b] + 1 / 10 ** lexicon.log_mass[b] == pytest.approx(1)
