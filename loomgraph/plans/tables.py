@@ -102,9 +102,11 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, spread_by: list[s
     """
     if fits_broadcast(per_key):
         return rows.join(F.broadcast(per_key), key, how)
-    dealt = rows.withColumn("_bucket", F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
-    pairs = dealt.select(key, "_bucket").groupBy(key, "_bucket").agg(F.lit(1).alias("_one")).drop("_one")
-    return dealt.join(pairs.join(per_key, key), [key, "_bucket"], how).drop("_bucket")
+    taken = {c.lower() for c in (*rows.columns, *per_key.columns)}
+    bucket = next(f"_bucket{k}" for k in range(len(taken) + 1) if f"_bucket{k}" not in taken)
+    dealt = rows.withColumn(bucket, F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
+    pairs = dealt.select(key, bucket).distinct()
+    return dealt.join(pairs.join(per_key, key), [key, bucket], how).drop(bucket)
 
 
 #: Rows of one key that a plain join may bring into one task.
