@@ -20,11 +20,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural log probabilities of the wanted columns, and exponentials with their sums; overwrites ``logits``."""
-    logits -= logits.max(axis=1, keepdims=True)
-    wanted = logits[np.arange(len(at)), at]
+    """Of columns of logits: natural log probabilities of the wanted rows, and exponentials with their sums; overwrites
+    ``logits``."""
+    logits -= logits.max(axis=0)
+    wanted = logits[at, np.arange(len(at))]
     np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
+    total = logits.sum(axis=0)
     return wanted - np.log(total), logits, total
 
 
@@ -37,7 +38,8 @@ def _by_class(classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Network:
     """``given``: (symbols + 1) x 3h inputs, the last row for the start of a text; ``state``: h x 3h; the output goes to
-    classes (h x c) and then to the members of one class (c x h x m, members beyond a class's size masked)."""
+    classes (h x c) and then to the members of one class (c x h x m, members beyond a class's size masked). Within, states
+    are columns: each gate of all lanes is then one stretch of memory."""
 
     given: np.ndarray
     state: np.ndarray
@@ -77,26 +79,37 @@ class Network:
         return len(self.given) - 1
 
     def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
-        n, a, u = self.hidden, self.given[x], h @ self.state
-        gates = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
-        z, r = gates[:, :n], gates[:, n:]
-        new = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
-        return new + z * (h - new)
-
-    def log_prob(self, h: np.ndarray, y: np.ndarray, at_once: int = 8192) -> np.ndarray:
-        """Natural log probabilities of symbols ``y`` in states ``h``."""
+        """The states (rows) after inputs ``x`` in states ``h``."""
+        return self._step(self.given[x].T, h.T, self.state.T).T
+
+    def _step(self, a: np.ndarray, h: np.ndarray, back: np.ndarray) -> np.ndarray:
+        n, u = self.hidden, back @ h
+        gates = _sigmoid(a[: 2 * n] + u[: 2 * n])
+        new = gates[n:] * u[2 * n :]
+        new += a[2 * n :]
+        np.tanh(new, out=new)
+        out = h - new
+        out *= gates[:n]
+        out += new
+        return out
+
+    def log_prob(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of symbols ``y`` in states ``h`` (rows)."""
+        return self._log_prob(h.T, y)
+
+    def _log_prob(self, h: np.ndarray, y: np.ndarray, at_once: int = 8192) -> np.ndarray:
         classes, members = self.class_of[y].astype(np.int32), self.member_of[y]
         out = np.empty(len(y))
         for k in range(0, len(y), at_once):
-            logits = h[k : k + at_once] @ self.to_class
-            logits += self.class_bias
+            logits = self.to_class.T @ h[:, k : k + at_once]
+            logits += self.class_bias[:, None]
             out[k : k + at_once] = _softmax(logits, classes[k : k + at_once])[0]
         order, bounds = _by_class(classes, len(self.class_bias))
-        h, members, more = h[order], members[order], np.empty(len(y))
+        h, members, more = h.take(order, axis=1), members[order], np.empty(len(y))
         for c in np.flatnonzero(np.diff(bounds)):
             a, b = bounds[c], bounds[c + 1]
-            logits = h[a:b] @ self.to_member[c]
-            logits += self.member_bias[c]
+            logits = self.to_member[c].T @ h[:, a:b]
+            logits += self.member_bias[c][:, None]
             more[a:b] = _softmax(logits, members[a:b])[0]
         out[order] += more
         return out
@@ -104,16 +117,17 @@ class Network:
     def score(self, texts: list[np.ndarray], rows_at_once: int = 1024, buffered: int = 1 << 16) -> np.ndarray:
         """Natural log probability of each symbol sequence; the state is carried through all of it."""
         out, order = np.zeros(len(texts)), np.argsort([-len(t) for t in texts], kind="stable")
+        given, back = np.ascontiguousarray(self.given.T), np.ascontiguousarray(self.state.T)
         for begin in range(0, len(order), rows_at_once):
             group = order[begin : begin + rows_at_once]
             lengths = np.array([len(texts[i]) for i in group])
             flat, starts = np.concatenate([texts[i] for i in group]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            h, x = np.zeros((len(group), self.hidden), F32), np.full(len(group), self.start)
+            h, x = np.zeros((self.hidden, len(group)), F32), np.full(len(group), self.start)
             states, targets, owners, held = [], [], [], 0
             alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left") if len(lengths) else []
             for t in range(int(lengths[0]) if len(lengths) else 0):
                 n = int(alive[t])
-                h = self.step(x[:n], h[:n])
+                h = self._step(given.take(x[:n], axis=1), h[:, :n], back)
                 x = flat[starts[:n] + t]
                 states.append(h)
                 targets.append(x)
@@ -121,7 +135,7 @@ class Network:
                 held += n
                 if held >= buffered or t + 1 == lengths[0]:
                     who = np.concatenate([np.arange(n) for n in owners])
-                    out[group] += np.bincount(who, weights=self.log_prob(np.concatenate(states), np.concatenate(targets)), minlength=len(group))
+                    out[group] += np.bincount(who, weights=self._log_prob(np.concatenate(states, axis=1), np.concatenate(targets)), minlength=len(group))
                     states, targets, owners, held = [], [], [], 0
         return out
 
@@ -152,43 +166,49 @@ class Adam:
     def update(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
         """One window: inputs and targets by lane and place, states before; returns the states after and the mean loss."""
         net, n, (lanes, window) = self.net, self.net.hidden, x.shape
-        x = np.ascontiguousarray(x.T)
-        begins, given, kept = (x == net.start)[:, :, None], net.given[x], []
-        outs = np.empty((window, lanes, n), F32)
+        x, y, h = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T).ravel(), np.ascontiguousarray(h.T)
+        begins, flat, kept = x == net.start, x.ravel(), []
+        given = np.ascontiguousarray(net.given.T).take(flat, axis=1).reshape(3 * n, window, lanes)
+        outs, to = np.empty((n, window, lanes), F32), np.ascontiguousarray(net.state.T)
         for t in range(window):
             if begins[t].any():
                 h = np.where(begins[t], F32(0), h)
-            a, u = given[t], h @ net.state
-            gates = _sigmoid(a[:, : 2 * n] + u[:, : 2 * n])
-            z, r = gates[:, :n], gates[:, n:]
-            new = np.tanh(a[:, 2 * n :] + r * u[:, 2 * n :])
-            kept.append((h, z, r, new, u[:, 2 * n :]))
-            h = outs[t]
+            a, u = given[:, t], to @ h
+            gates = _sigmoid(a[: 2 * n] + u[: 2 * n])
+            z, r = gates[:n], gates[n:]
+            new = r * u[2 * n :]
+            new += a[2 * n :]
+            np.tanh(new, out=new)
+            kept.append((h, z, r, new, u[2 * n :]))
+            h = outs[:, t]
             np.subtract(kept[t][0], new, out=h)
             h *= z
             h += new
         grads = [np.zeros_like(p) for p in self.params]
-        d_out, loss = _output_gradients(net, outs.reshape(-1, n), np.ascontiguousarray(y.T).reshape(-1), grads)
-        d_out, d_given = d_out.reshape(window, lanes, n), np.empty((window, lanes, 3 * n), F32)
-        d_h, back = np.zeros((lanes, n), F32), np.ascontiguousarray(net.state.T)
+        d_out, loss = _output_gradients(net, outs.reshape(n, -1), y, grads)
+        d_out, d_given = d_out.reshape(n, window, lanes), np.empty((3 * n, window, lanes), F32)
+        d_h, d_u = np.zeros((n, lanes), F32), np.empty((3 * n, lanes), F32)
         for t in reversed(range(window)):
             before, z, r, new, u_new = kept[t]
-            d_h = d_h + d_out[t]
-            d, d_new = d_given[t], d_h * (1 - z)
+            d_h += d_out[:, t]
+            rest = 1 - z
+            d_new = d_h * rest
             d_new *= 1 - new * new
-            d[:, :n] = d_h * (before - new) * z * (1 - z)
-            d[:, n : 2 * n] = d_new * u_new * r * (1 - r)
-            d[:, 2 * n :] = d_new
-            d_u = d.copy()
-            d_u[:, 2 * n :] *= r
-            grads[1] += before.T @ d_u
+            rest *= z
+            rest *= d_h
+            np.multiply(rest, before - new, out=d_u[:n])
+            np.multiply(d_new, r, out=d_u[2 * n :])
+            np.multiply(d_u[2 * n :], u_new, out=d_u[n : 2 * n])
+            d_u[n : 2 * n] *= 1 - r
+            d_given[: 2 * n, t], d_given[2 * n :, t] = d_u[: 2 * n], d_new
+            grads[1] += before @ d_u.T
             d_h *= z
-            d_h += d_u @ back
+            d_h += net.state @ d_u
             if begins[t].any():
                 d_h = np.where(begins[t], F32(0), d_h)
-        order, flat = np.argsort(x, axis=None, kind="stable"), x.ravel()
+        order = np.argsort(flat, kind="stable")
         firsts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads[0][flat[order][firsts]] = np.add.reduceat(d_given.reshape(-1, 3 * n)[order], firsts, axis=0)
+        grads[0][flat[order][firsts]] = np.add.reduceat(d_given.reshape(3 * n, -1).take(order, axis=1), firsts, axis=1).T
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         scale, self.updates = min(1.0, 5.0 / (norm + 1e-9)), self.updates + 1
         for p, g, m, v in zip(self.params, grads, self.first, self.second):
@@ -196,34 +216,35 @@ class Adam:
             m += F32(0.1) * (g - m)
             v += F32(0.01) * (g * g - v)
             p -= F32(rate / (1 - 0.9**self.updates)) * m / (np.sqrt(v / F32(1 - 0.99**self.updates)) + F32(1e-6))
-        return h, loss
+        return h.T, loss
 
 
 def _output_gradients(net: Network, out: np.ndarray, y: np.ndarray, grads: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """Adds the output layer's gradients of the mean log loss to ``grads[2:]``; returns those of the states, and the loss."""
+    """Adds the output layer's gradients of the mean log loss to ``grads[2:]``; returns those of the states (columns, as
+    ``out``), and the loss."""
     n, classes = len(y), net.class_of[y].astype(np.int32)
     order, bounds = _by_class(classes, len(net.class_bias))
-    out, classes, members = out[order], classes[order], net.member_of[y][order]
-    logits = out @ net.to_class
-    logits += net.class_bias
+    out, classes, members = out.take(order, axis=1), classes[order], net.member_of[y][order]
+    logits = net.to_class.T @ out
+    logits += net.class_bias[:, None]
     logs, p, total = _softmax(logits, classes)
     loss = -float(logs.sum())
-    p *= (F32(1 / n) / total)[:, None]
-    p[np.arange(n), classes] -= F32(1 / n)
-    grads[2] += out.T @ p
-    grads[3] += p.sum(axis=0)
-    d = p @ net.to_class.T
+    p *= F32(1 / n) / total
+    p[classes, np.arange(n)] -= F32(1 / n)
+    grads[2] += out @ p.T
+    grads[3] += p.sum(axis=1)
+    d = net.to_class @ p
     for c in np.flatnonzero(np.diff(bounds)):
         a, b = bounds[c], bounds[c + 1]
-        logits = out[a:b] @ net.to_member[c]
-        logits += net.member_bias[c]
+        logits = net.to_member[c].T @ out[:, a:b]
+        logits += net.member_bias[c][:, None]
         logs, q, total = _softmax(logits, members[a:b])
         loss -= float(logs.sum())
-        q *= (F32(1 / n) / total)[:, None]
-        q[np.arange(b - a), members[a:b]] -= F32(1 / n)
-        grads[4][c] += out[a:b].T @ q
-        grads[5][c] += q.sum(axis=0)
-        d[a:b] += q @ net.to_member[c].T
+        q *= F32(1 / n) / total
+        q[members[a:b], np.arange(b - a)] -= F32(1 / n)
+        grads[4][c] += out[:, a:b] @ q.T
+        grads[5][c] += q.sum(axis=1)
+        d[:, a:b] += net.to_member[c] @ q
     back = np.empty_like(d)
-    back[order] = d
+    back[:, order] = d
     return back, loss / n
