@@ -14,6 +14,8 @@ the corpus aren't sent to the executors; their counts are joined.
 from __future__ import annotations
 
 import copy
+from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,8 @@ ROUNDS, RATE, LEAST_SYMBOLS = 6, 0.006, 2_000_000
 #: Symbols that a partition trains on at a time, weights to a row on their way to the average, and groups of partitions
 #: that are averaged before all are.
 SYMBOLS_AT_ONCE, WEIGHTS_AT_ONCE, GROUPS = 1 << 20, 2048, 64
-COUNT_AT_ONCE = 2_000_000
+#: Distinct words that a task counts before it passes them on, and that it holds looked up.
+COUNT_AT_ONCE, READ_AT_ONCE = 500_000, 300_000
 END = np.uint64(0)
 
 
@@ -61,30 +64,34 @@ def word_counts(texts: DataFrame) -> DataFrame:
     """(h, bucket, c) of every token of ``texts`` (text); the end has bucket -1."""
 
     def count(batches):
-        held, tokens, n = [], [], 0
+        seen, ends = Counter(), 0
 
         def flush():
-            all_hashes = np.concatenate(held)
-            h, first, c = np.unique(all_hashes, return_index=True, return_counts=True)
-            buckets = [-1 if t is None else bucket(t) for t in (tokens[i] for i in first)]
-            return pa.RecordBatch.from_pydict({"h": pa.array(h.view(np.int64)), "bucket": pa.array(buckets, pa.int32()), "c": pa.array(c.astype(np.int64))})
+            distinct = list(seen)
+            c = np.fromiter(seen.values(), np.int64, len(seen))
+            return pa.RecordBatch.from_pydict({"h": pa.array(_hashes(distinct).view(np.int64)), "bucket": pa.array([*map(bucket, distinct), -1], pa.int32()), "c": pa.array(np.append(c, ends))})
 
         for b in slices(batches):
             for text in b.column(0).to_pylist():
-                own = words(text)
-                held.append(_hashes(own))
-                tokens.extend(own)
-                tokens.append(None)
-                n += len(own) + 1
-                if n >= COUNT_AT_ONCE:
+                seen.update(words(text))
+                ends += 1
+                if len(seen) >= COUNT_AT_ONCE:
                     yield flush()
-                    held, tokens, n = [], [], 0
-        if n:
+                    seen, ends = Counter(), 0
+        if ends:
             yield flush()
 
     return texts.mapInArrow(count, "h long, bucket int, c long").groupBy("h", "bucket").agg(F.sum("c").alias("c"))
 
 
+class _Numbers(dict):
+    """Numbers what it is asked for, from 0 on."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Lexicon:
     """Frequent words by hash: count and symbol. Symbols: words by falling count, then the buckets, the end last."""
 
@@ -119,6 +126,31 @@ class Lexicon:
         return symbol, c, h
 
 
+class Reader:
+    """``Lexicon.read`` of many texts, in which a distinct word is looked up once until ``READ_AT_ONCE`` words are held."""
+
+    def __init__(self, lexicon: Lexicon) -> None:
+        self.lexicon = lexicon
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers, self.known = _Numbers({None: 0}), self.lexicon.read([])
+
+    def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        if len(self.numbers) > READ_AT_ONCE:
+            self._forget()
+        places, before = [], len(self.numbers)
+        for text in texts:
+            own = words(text)
+            at = np.zeros(len(own) + 1, np.int32)
+            at[:-1] = np.fromiter(map(self.numbers.__getitem__, own), np.int32, len(own))
+            places.append(at)
+        new = self.lexicon.read(list(islice(self.numbers, before, None)))
+        self.known = tuple(np.concatenate([a, b[:-1]]) for a, b in zip(self.known, new))
+        symbol, c, h = self.known
+        return [(symbol[at], c[at], h[at]) for at in places]
+
+
 def fit(docs: DataFrame, counts: DataFrame) -> tuple[Lexicon, Network]:
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(sums["n"] or 0), int(sums["v"])
@@ -145,11 +177,11 @@ def _trained_by_all(texts: DataFrame, lexicon, net: Network, rate: float, repeat
     before = texts.sparkSession.sparkContext.broadcast(net)
 
     def learn(batches):
-        own, known, done, loss = copy.deepcopy(before.value), lexicon.value, 0, 0.0
+        own, reader, done, loss = copy.deepcopy(before.value), Reader(lexicon.value), 0, 0.0
         adam, targets, inputs, held = Adam(own), [], [], 0
         for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                y = known.read(words(text))[0].astype(np.int32)
+            for y, _, _ in reader.read(b.column(0).to_pylist()):
+                y = y.astype(np.int32)
                 targets.append(y)
                 inputs.append(np.concatenate([[own.start], y[:-1]]).astype(np.int32))
                 held += len(y)
@@ -203,14 +235,13 @@ def scores(docs: DataFrame) -> DataFrame:
 
     def read(batches):
         lexicon, net = shared.value
-        base = TaskContext.get().partitionId() << 32
+        base, reader = TaskContext.get().partitionId() << 32, Reader(lexicon)
         for b in batches:
             n = b.num_rows
             ids, flags = b.column(0), b.column(2)
             symbols, known, size, logs, tail = [], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
             rare_row, rare_h, rare_n = [], [], []
-            for i, text in enumerate(x for part in slices([b]) for x in part.column(1).to_pylist()):
-                s, c, h = lexicon.read(words(text))
+            for i, (s, c, h) in enumerate(x for part in slices([b]) for x in reader.read(part.column(1).to_pylist())):
                 symbols.append(s.astype(np.int16))
                 frequent, in_bucket = c >= 0, (s >= lexicon.first_bucket) & (s < lexicon.end)
                 log_c = np.log10(np.maximum(c, 0) + 1.0)
