@@ -34,7 +34,7 @@ HOT_WORDS = 1 << 20
 #: Words that are symbols, buckets of the others, size of the state.
 SYMBOLS, BUCKETS, HIDDEN = 1200, 96, 16
 #: Rounds of training, the first one's rate, and the symbols that all rounds see at least, in repeated passes if need be.
-ROUNDS, RATE, LEAST_SYMBOLS = 6, 0.006, 2_000_000
+ROUNDS, RATE, LEAST_SYMBOLS = 6, 0.009, 2_000_000
 #: Symbols that a partition trains on at a time, weights to a row on their way to the average, and groups of partitions
 #: that are averaged before all are.
 SYMBOLS_AT_ONCE, WEIGHTS_AT_ONCE, GROUPS = 1 << 20, 2048, 64
