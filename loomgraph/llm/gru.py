@@ -8,7 +8,7 @@ import numpy as np
 
 F32 = np.float32
 #: Symbols of a lane at least when a run of symbols is cut into lanes.
-LANE = 512
+LANE = 1024
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
