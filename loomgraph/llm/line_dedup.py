@@ -71,20 +71,38 @@ def _of_lines(text: Column, f) -> Column:
     return F.element_at(F.transform(F.array(F.split(text, "\n")), f), 1)
 
 
-def repeated_windows(docs: DataFrame, least_lines: int = 2) -> DataFrame:
-    """(doc_id, text_key, start) of all windows of ``least_lines`` lines but the first occurrence, by doc_id and place."""
+def _windows(lines: Column, least_lines: int) -> Column:
+    """array<struct<start, lines>> of all windows of ``least_lines`` lines; ``lines`` is null for blank ones."""
+
+    def window(i: Column) -> Column:
+        joined = F.array_join(F.slice(lines, i + 1, least_lines), "\n")
+        return F.struct(i.alias("start"), F.when(F.trim(F.translate(joined, "\n", " ")) != "", joined).alias("lines"))
+
+    return F.when(F.size(lines) >= least_lines, F.transform(F.sequence(F.lit(0), F.size(lines) - least_lines), window)).otherwise(F.array().cast("array<struct<start:int,lines:string>>"))
+
+
+def repeated_windows(docs: DataFrame, least_lines: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key) of the rows whose whole text an earlier row has, and (doc_id, text_key, start) of all windows
+    of ``least_lines`` lines of the other rows but the first occurrence, by doc_id and place.
+
+    A copy's windows all occur in its first row, so no window of a copy needs to be compared.
+    """
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
-    window = lambda lines, i: F.struct(i.alias("start"), F.array_join(F.slice(lines, i + 1, least_lines), "\n").alias("lines"))
-    every = lambda lines: F.when(F.size(lines) >= least_lines, F.transform(F.sequence(F.lit(0), F.size(lines) - least_lines), lambda i: window(lines, i)))
-    exploded = rows.select("doc_id", "text_key", F.explode(_of_lines(F.col("text"), every)).alias("w")).where(F.trim(F.translate("w.lines", "\n", " ")) != "")
-    narrow = stored(exploded.select("doc_id", "text_key", "w.start", F.xxhash64("w.lines").alias("h")), "line-windows")
+    hashes = F.transform(_of_lines(F.col("text"), lambda lines: _windows(lines, least_lines)), lambda w: F.when(w["lines"].isNotNull(), F.xxhash64(w["lines"])))
+    hashed = stored(rows.select("doc_id", "text_key", F.unhex(F.sha2("text", 256)).alias("text_sha"), hashes.alias("hs")), "line-hashes")
+    row, place = F.struct("doc_id", "text_key"), F.struct("doc_id", "text_key", "start")
+    of_copies = hashed.groupBy("text_sha").agg(F.min(row).alias("first"), F.max(row).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("text_sha", "first")
+    copies = stored(spread_join(hashed.select("doc_id", "text_key", "text_sha"), of_copies, "text_sha", ["doc_id"]).where(~row.eqNullSafe(F.col("first"))).select("doc_id", "text_key").distinct(), "line-copies")
+    once = hashed.groupBy("text_sha").agg(F.min(F.struct("doc_id", "text_key", "hs")).alias("r")).select("r.doc_id", "r.text_key", F.posexplode("r.hs").alias("start", "h"))
+    narrow = stored(once.where("h is not null"), "line-windows")
     often = narrow.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
     per_doc = spread_join(narrow, often, "h", ["doc_id", "start"]).groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts"))
-    hit = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["text_key"] == per_doc["text_key"])).select(rows["doc_id"], rows["text_key"], _of_lines(F.col("text"), lambda lines: F.transform("starts", lambda i: window(lines, i))).alias("ws"))
+    hit = rows.join(per_doc, rows["doc_id"].eqNullSafe(per_doc["doc_id"]) & (rows["text_key"] == per_doc["text_key"])).select(
+        rows["doc_id"], rows["text_key"], _of_lines(F.col("text"), lambda lines: F.transform("starts", lambda i: F.struct(i.alias("start"), F.array_join(F.slice(lines, i + 1, least_lines), "\n").alias("lines")))).alias("ws")
+    )
     texts = stored(hit.select("doc_id", "text_key", F.explode("ws").alias("w")).select("doc_id", "text_key", "w.start", "w.lines"), "window-suspects")
-    place = F.struct("doc_id", "text_key", "start")
     firsts = texts.groupBy("lines").agg(F.min(place).alias("first"), F.max(place).alias("last")).where(~F.col("first").eqNullSafe(F.col("last"))).select("lines", "first")
-    return spread_join(texts, firsts, "lines", ["doc_id", "start"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_key", "start").distinct()
+    return copies, spread_join(texts, firsts, "lines", ["doc_id", "start"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_key", "start").distinct()
 
 
 def without_repeated_runs(docs: DataFrame, least_lines: int = 2) -> DataFrame:
@@ -95,9 +113,18 @@ def without_repeated_runs(docs: DataFrame, least_lines: int = 2) -> DataFrame:
     repeated rows count as in ``deduplicated``. An empty table gives no rows; other columns aren't read.
     """
     rows = docs.select("doc_id", "text").withColumn("text_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    covered = F.explode(F.sequence("start", F.col("start") + least_lines - 1))
-    gone = repeated_windows(docs, least_lines).select("doc_id", "text_key", covered.alias("line")).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone")).withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
-    both = rows.join(gone, rows["doc_id"].eqNullSafe(gone["_id"]) & (rows["text_key"] == gone["_key"]), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    left = lambda lines: F.struct(F.size(lines).alias("n"), F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone"), lambda i: F.element_at(lines, i + 1)), "\n").alias("text"))
+    cover = lambda start: F.sequence(start, start + least_lines - 1)
+    copies, windows = repeated_windows(docs, least_lines)
+    lines_gone = windows.select("doc_id", "text_key", F.explode(cover(F.col("start"))).alias("line")).groupBy("doc_id", "text_key").agg(F.collect_set("line").alias("gone"))
+    marks = lines_gone.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "text_key", F.array().cast("array<int>").alias("gone"), F.lit(True).alias("copy")))
+    marks = marks.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"})
+    both = rows.join(marks, rows["doc_id"].eqNullSafe(marks["_id"]) & (rows["text_key"] == marks["_key"]), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+
+    def left(lines: Column) -> Column:
+        filled = F.filter(_windows(lines, least_lines), lambda w: w["lines"].isNotNull())
+        gone = F.when(F.col("copy"), F.array_distinct(F.flatten(F.transform(filled, lambda w: cover(w["start"]))))).otherwise(F.col("gone"))
+        kept = lambda g: F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), g), lambda i: F.element_at(lines, i + 1))
+        return F.element_at(F.transform(F.array(gone), lambda g: F.struct(F.size(lines).alias("n"), F.size(g).alias("n_gone"), F.array_join(kept(g), "\n").alias("text"))), 1)
+
     cut = both.withColumn("left", _of_lines(F.coalesce("text", F.lit("")), left))
-    return cut.select("doc_id", F.when(F.col("text").isNotNull(), F.col("left.text")).alias("text"), F.col("left.n").cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_lines_removed"))
+    return cut.select("doc_id", F.when(F.col("text").isNotNull(), F.col("left.text")).alias("text"), F.col("left.n").cast("long").alias("n_lines"), F.col("left.n_gone").cast("long").alias("n_lines_removed"))

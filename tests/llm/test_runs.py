@@ -2,21 +2,22 @@
 
 import random
 
+import pytest
 from texts import ODD, frame
 
 from loomgraph.llm import line_dedup
 
 
-def plain_runs(rows):
-    """Texts without the lines of any run of two or more that occurs earlier."""
+def plain_runs(rows, least=2):
+    """Texts without the lines of any run of ``least`` or more that occurs earlier."""
     seen, out = set(), {}
     for i, t in rows:
         lines, gone = t.split("\n"), set()
-        for k in range(len(lines) - 1):
-            pair = (lines[k], lines[k + 1])
-            if "".join(pair).strip(" "):
-                gone |= {k, k + 1} if pair in seen else set()
-                seen.add(pair)
+        for k in range(len(lines) - least + 1):
+            run = tuple(lines[k : k + least])
+            if "".join(run).strip(" "):
+                gone |= set(range(k, k + least)) if run in seen else set()
+                seen.add(run)
         out[i] = ("\n".join(x for k, x in enumerate(lines) if k not in gone), len(gone))
     return out
 
@@ -38,6 +39,18 @@ def test_repeated_runs_go_whole(spark):
     assert sorted(left) == sorted({x for p in passages for x in p if x in left}) and len(chunked) > 2 * len(left)
 
 
+@pytest.mark.parametrize("least", [2, 3])
+def test_copies_of_whole_texts(spark, least):
+    """Copies keep what no window holds; the first row stands for them, nulls first, repeated rows as one."""
+    r = random.Random(9)
+    pool = ["\n".join(r.choice(["", " ", "a", "b", "c", f"own {k}"]) for _ in range(r.randint(1, 9))) for k in range(40)]
+    rows = [(i, r.choice(pool)) for i in range(300)]
+    want = plain_runs([(None, pool[0]), *rows], least)
+    docs = frame(spark, rows + rows[:20] + [(None, pool[0])] * 3)
+    assert {x["doc_id"]: (x["text"], x["n_lines_removed"]) for x in line_dedup.without_repeated_runs(docs, least).collect()} == want
+    assert line_dedup.without_repeated_runs(docs, least).count() == 323
+
+
 def test_odd_rows(spark):
     out = line_dedup.without_repeated_runs(frame(spark, ODD, extra=True)).collect()
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out) == sorted((i is None, i or 0) for i, _ in ODD)
