@@ -80,15 +80,15 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The states (rows) after inputs ``x`` in states ``h``."""
-        return self._step(self.given[x].T, h.T, self.state.T).T
+        return self._step(self.given[x].T, h.T, self.state.T, np.empty(h.shape[::-1], F32)).T
 
-    def _step(self, a: np.ndarray, h: np.ndarray, back: np.ndarray) -> np.ndarray:
+    def _step(self, a: np.ndarray, h: np.ndarray, back: np.ndarray, out: np.ndarray) -> np.ndarray:
         n, u = self.hidden, back @ h
         gates = _sigmoid(a[: 2 * n] + u[: 2 * n])
         new = gates[n:] * u[2 * n :]
         new += a[2 * n :]
         np.tanh(new, out=new)
-        out = h - new
+        np.subtract(h, new, out=out)
         out *= gates[:n]
         out += new
         return out
@@ -98,19 +98,25 @@ class Network:
         return self._log_prob(h.T, y)
 
     def _log_prob(self, h: np.ndarray, y: np.ndarray, at_once: int = 8192) -> np.ndarray:
-        classes, members = self.class_of[y].astype(np.int32), self.member_of[y]
-        out = np.empty(len(y))
-        for k in range(0, len(y), at_once):
-            logits = self.to_class.T @ h[:, k : k + at_once]
-            logits += self.class_bias[:, None]
-            out[k : k + at_once] = _softmax(logits, classes[k : k + at_once])[0]
+        """As ``log_prob``, of the first columns of ``h``."""
+        n, classes, members = len(y), self.class_of[y].astype(np.int32), self.member_of[y]
+        out, more = np.empty(n), np.empty(n)
+        room = np.empty(max(len(self.class_bias), self.member_bias.shape[1]) * min(at_once, n), F32)
+
+        def logs(to: np.ndarray, bias: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+            logits = np.matmul(to.T, h, out=room[: len(bias) * len(at)].reshape(len(bias), -1))
+            logits += bias[:, None]
+            return _softmax(logits, at)[0]
+
+        for a in range(0, n, at_once):
+            b = min(a + at_once, n)
+            out[a:b] = logs(self.to_class, self.class_bias, h[:, a:b], classes[a:b])
         order, bounds = _by_class(classes, len(self.class_bias))
-        h, members, more = h.take(order, axis=1), members[order], np.empty(len(y))
+        h, members = h.take(order, axis=1), members[order]
         for c in np.flatnonzero(np.diff(bounds)):
-            a, b = bounds[c], bounds[c + 1]
-            logits = self.to_member[c].T @ h[:, a:b]
-            logits += self.member_bias[c][:, None]
-            more[a:b] = _softmax(logits, members[a:b])[0]
+            for a in range(bounds[c], bounds[c + 1], at_once):
+                b = min(a + at_once, bounds[c + 1])
+                more[a:b] = logs(self.to_member[c], self.member_bias[c], h[:, a:b], members[a:b])
         out[order] += more
         return out
 
@@ -118,25 +124,26 @@ class Network:
         """Natural log probability of each symbol sequence; the state is carried through all of it."""
         out, order = np.zeros(len(texts)), np.argsort([-len(t) for t in texts], kind="stable")
         given, back = np.ascontiguousarray(self.given.T), np.ascontiguousarray(self.state.T)
+        room = min(buffered, sum(map(len, texts))) + min(rows_at_once, len(texts))
+        states, targets = np.empty((self.hidden, room), F32), np.empty(room, np.int64)
         for begin in range(0, len(order), rows_at_once):
             group = order[begin : begin + rows_at_once]
             lengths = np.array([len(texts[i]) for i in group])
             flat, starts = np.concatenate([texts[i] for i in group]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
             h, x = np.zeros((self.hidden, len(group)), F32), np.full(len(group), self.start)
-            states, targets, owners, held = [], [], [], 0
-            alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left") if len(lengths) else []
-            for t in range(int(lengths[0]) if len(lengths) else 0):
+            owners, held = [], 0
+            alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
+            for t in range(int(lengths[0])):
                 n = int(alive[t])
-                h = self._step(given.take(x[:n], axis=1), h[:, :n], back)
-                x = flat[starts[:n] + t]
-                states.append(h)
-                targets.append(x)
+                h = self._step(given.take(x[:n], axis=1), h[:, :n], back, states[:, held : held + n])
+                x = targets[held : held + n]
+                x[...] = flat[starts[:n] + t]
                 owners.append(n)
                 held += n
                 if held >= buffered or t + 1 == lengths[0]:
                     who = np.concatenate([np.arange(n) for n in owners])
-                    out[group] += np.bincount(who, weights=self._log_prob(np.concatenate(states, axis=1), np.concatenate(targets)), minlength=len(group))
-                    states, targets, owners, held = [], [], [], 0
+                    out[group] += np.bincount(who, weights=self._log_prob(states, targets[:held]), minlength=len(group))
+                    h, x, owners, held = h.copy(), x.copy(), [], 0
         return out
 
 
@@ -156,59 +163,87 @@ def train_through(adam: "Adam", targets: np.ndarray, inputs: np.ndarray, rate: f
     return loss
 
 
+class _Room:
+    """Arrays that every window of a shape is computed in: memory that is asked for anew costs page faults."""
+
+    def __init__(self, net: Network, lanes: int, window: int) -> None:
+        n, size, (classes, _, width) = net.hidden, lanes * window, net.to_member.shape
+        self.shape = lanes, window
+        self.inputs = np.empty((3 * n, len(net.given)), F32)
+        self.before, self.outs = np.empty((n, window, lanes), F32), np.empty((n, window, lanes), F32)
+        self.u, self.new = np.empty((window, 3 * n, lanes), F32), np.empty((window, n, lanes), F32)
+        # what is given to both gates, nothing, and what is given to the new state; then the gradients of the gates, of
+        # the new state's part from the state before, and of all of it
+        self.d = np.empty((4 * n, window, lanes), F32)
+        self.sorted_out, self.sorted_d, self.d_out = (np.empty((n, size), F32) for _ in range(3))
+        self.class_logits, self.member_logits = np.empty((classes, size), F32), np.empty(width * size, F32)
+        self.grads = [np.empty_like(p) for p in net.params]
+
+
 class Adam:
     """Steps of truncated backpropagation on a network's weights, in place."""
 
     def __init__(self, net: Network) -> None:
-        self.net, self.params, self.updates = net, net.params, 0
+        self.net, self.params, self.updates, self._room = net, net.params, 0, None
         self.first, self.second = [np.zeros_like(p) for p in self.params], [np.zeros_like(p) for p in self.params]
 
     def update(self, x: np.ndarray, y: np.ndarray, h: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
         """One window: inputs and targets by lane and place, states before; returns the states after and the mean loss."""
         net, n, (lanes, window) = self.net, self.net.hidden, x.shape
-        x, y, h = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T).ravel(), np.ascontiguousarray(h.T)
-        begins, flat, kept = x == net.start, x.ravel(), []
-        given = np.ascontiguousarray(net.given.T).take(flat, axis=1).reshape(3 * n, window, lanes)
-        outs, to = np.empty((n, window, lanes), F32), np.ascontiguousarray(net.state.T)
+        if self._room is None or self._room.shape != x.shape:
+            self._room = _Room(net, lanes, window)
+        room = self._room
+        x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T).ravel()
+        begins, flat, d, outs = x == net.start, x.ravel().astype(np.int64), room.d, room.outs
+        room.inputs[...] = net.given.T
+        np.take(room.inputs[: 2 * n], flat, axis=1, out=d[: 2 * n].reshape(2 * n, -1), mode="clip")
+        np.take(room.inputs[2 * n :], flat, axis=1, out=d[3 * n :].reshape(n, -1), mode="clip")
+        to, h = np.ascontiguousarray(net.state.T), h.T
         for t in range(window):
+            before, u, gates, new = room.before[:, t], room.u[t], room.u[t, : 2 * n], room.new[t]
+            before[...] = h
             if begins[t].any():
-                h = np.where(begins[t], F32(0), h)
-            a, u = given[:, t], to @ h
-            gates = _sigmoid(a[: 2 * n] + u[: 2 * n])
-            z, r = gates[:n], gates[n:]
-            new = r * u[2 * n :]
-            new += a[2 * n :]
+                before[:, begins[t]] = 0
+            np.matmul(to, before, out=u)
+            gates += d[: 2 * n, t]
+            _sigmoid(gates)
+            np.multiply(gates[n:], u[2 * n :], out=new)
+            new += d[3 * n :, t]
             np.tanh(new, out=new)
-            kept.append((h, z, r, new, u[2 * n :]))
             h = outs[:, t]
-            np.subtract(kept[t][0], new, out=h)
-            h *= z
+            np.subtract(before, new, out=h)
+            h *= gates[:n]
             h += new
-        grads = [np.zeros_like(p) for p in self.params]
-        d_out, loss = _output_gradients(net, outs.reshape(n, -1), y, grads)
-        d_out, d_given = d_out.reshape(n, window, lanes), np.empty((3 * n, window, lanes), F32)
-        d_h, d_u = np.zeros((n, lanes), F32), np.empty((3 * n, lanes), F32)
+        for g in room.grads:
+            g.fill(0)
+        loss = _output_gradients(net, room, y)
+        d_out = room.d_out.reshape(n, window, lanes)
+        d_h, rest = np.zeros((n, lanes), F32), np.empty((n, lanes), F32)
         for t in reversed(range(window)):
-            before, z, r, new, u_new = kept[t]
+            before, new = room.before[:, t], room.new[t]
+            z, r, d_z, d_r, d_back, d_new = room.u[t, :n], room.u[t, n : 2 * n], d[:n, t], d[n : 2 * n, t], d[2 * n : 3 * n, t], d[3 * n :, t]
             d_h += d_out[:, t]
-            rest = 1 - z
-            d_new = d_h * rest
-            d_new *= 1 - new * new
+            np.subtract(F32(1), z, out=rest)
+            np.multiply(new, new, out=d_new)
+            np.subtract(F32(1), d_new, out=d_new)
+            d_new *= rest
+            d_new *= d_h
             rest *= z
             rest *= d_h
-            np.multiply(rest, before - new, out=d_u[:n])
-            np.multiply(d_new, r, out=d_u[2 * n :])
-            np.multiply(d_u[2 * n :], u_new, out=d_u[n : 2 * n])
-            d_u[n : 2 * n] *= 1 - r
-            d_given[: 2 * n, t], d_given[2 * n :, t] = d_u[: 2 * n], d_new
-            grads[1] += before @ d_u.T
+            np.subtract(before, new, out=d_z)
+            d_z *= rest
+            np.multiply(d_new, r, out=d_back)
+            np.subtract(F32(1), r, out=d_r)
+            d_r *= d_back
+            d_r *= room.u[t, 2 * n :]
             d_h *= z
-            d_h += net.state @ d_u
+            d_h += np.matmul(net.state, d[: 3 * n, t])
             if begins[t].any():
-                d_h = np.where(begins[t], F32(0), d_h)
-        order = np.argsort(flat, kind="stable")
-        firsts = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads[0][flat[order][firsts]] = np.add.reduceat(d_given.reshape(3 * n, -1).take(order, axis=1), firsts, axis=1).T
+                d_h[:, begins[t]] = 0
+        grads, d = room.grads, d.reshape(4 * n, -1)
+        grads[1] += (d[: 3 * n] @ room.before.reshape(n, -1).T).T
+        for i, row in enumerate((*d[: 2 * n], *d[3 * n :])):
+            grads[0][:, i] = np.bincount(flat, weights=row, minlength=len(net.given))
         norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
         scale, self.updates = min(1.0, 5.0 / (norm + 1e-9)), self.updates + 1
         for p, g, m, v in zip(self.params, grads, self.first, self.second):
@@ -216,16 +251,17 @@ class Adam:
             m += F32(0.1) * (g - m)
             v += F32(0.01) * (g * g - v)
             p -= F32(rate / (1 - 0.9**self.updates)) * m / (np.sqrt(v / F32(1 - 0.99**self.updates)) + F32(1e-6))
-        return h.T, loss
+        return outs[:, -1].T.copy(), loss
 
 
-def _output_gradients(net: Network, out: np.ndarray, y: np.ndarray, grads: list[np.ndarray]) -> tuple[np.ndarray, float]:
-    """Adds the output layer's gradients of the mean log loss to ``grads[2:]``; returns those of the states (columns, as
-    ``out``), and the loss."""
-    n, classes = len(y), net.class_of[y].astype(np.int32)
+def _output_gradients(net: Network, room: _Room, y: np.ndarray) -> float:
+    """Adds the output layer's gradients of the mean log loss to ``room.grads[2:]`` and sets ``room.d_out``, those of the
+    states ``room.outs``; returns the loss."""
+    n, classes, grads = len(y), net.class_of[y].astype(np.int32), room.grads
     order, bounds = _by_class(classes, len(net.class_bias))
-    out, classes, members = out.take(order, axis=1), classes[order], net.member_of[y][order]
-    logits = net.to_class.T @ out
+    out, classes, members = room.sorted_out, classes[order], net.member_of[y][order]
+    np.take(room.outs.reshape(len(out), -1), order, axis=1, out=out, mode="clip")
+    logits = np.matmul(net.to_class.T, out, out=room.class_logits)
     logits += net.class_bias[:, None]
     logs, p, total = _softmax(logits, classes)
     loss = -float(logs.sum())
@@ -233,18 +269,20 @@ def _output_gradients(net: Network, out: np.ndarray, y: np.ndarray, grads: list[
     p[classes, np.arange(n)] -= F32(1 / n)
     grads[2] += out @ p.T
     grads[3] += p.sum(axis=1)
-    d = net.to_class @ p
+    d = np.matmul(net.to_class, p, out=room.sorted_d)
     for c in np.flatnonzero(np.diff(bounds)):
         a, b = bounds[c], bounds[c + 1]
-        logits = net.to_member[c].T @ out[:, a:b]
-        logits += net.member_bias[c][:, None]
+        to, bias = net.to_member[c], net.member_bias[c][:, None]
+        logits = np.matmul(to.T, out[:, a:b], out=room.member_logits[: len(bias) * (b - a)].reshape(len(bias), -1))
+        logits += bias
         logs, q, total = _softmax(logits, members[a:b])
         loss -= float(logs.sum())
         q *= F32(1 / n) / total
         q[members[a:b], np.arange(b - a)] -= F32(1 / n)
         grads[4][c] += out[:, a:b] @ q.T
         grads[5][c] += q.sum(axis=1)
-        d[:, a:b] += net.to_member[c] @ q
-    back = np.empty_like(d)
-    back[:, order] = d
-    return back, loss / n
+        d[:, a:b] += to @ q
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    np.take(d, back, axis=1, out=room.d_out, mode="clip")
+    return loss / n

@@ -8,7 +8,8 @@ that a large corpus is gone through once; a small one is gone through until enou
 class-factored softmax gives each symbol's probability in the state that the whole text so far has left. A word that is
 no symbol itself has its bucket's probability times its share of the bucket, (count + 1) / (sum of the bucket's counts
 and words + 1), so that an unseen word has a share too and all shares sum to one. Words of a count below a fixed part of
-the corpus aren't sent to the executors; their counts are joined.
+the corpus aren't sent to the executors; their counts are joined. Texts are read twice, once for the counts and once for
+their symbols, which are stored; training and scoring go over those.
 """
 
 from __future__ import annotations
@@ -127,60 +128,96 @@ class Lexicon:
 
 
 class Reader:
-    """``Lexicon.read`` of many texts, in which a distinct word is looked up once until ``READ_AT_ONCE`` words are held."""
+    """What ``Lexicon.read`` says of many texts, in which a distinct word is looked up once until ``READ_AT_ONCE`` words
+    are held."""
 
     def __init__(self, lexicon: Lexicon) -> None:
         self.lexicon = lexicon
         self._forget()
 
     def _forget(self) -> None:
-        self.numbers, self.known = _Numbers({None: 0}), self.lexicon.read([])
-
-    def read(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        self.numbers, self.known = _Numbers({None: 0}), self._of(self.lexicon.read([]))
+
+    def _of(self, read: tuple[np.ndarray, np.ndarray, np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Of words: symbol, whether it is known and frequent, log10(count + 1), what a symbol's probability is to be
+        multiplied with (log10), hash."""
+        (symbol, c, h), first = read, self.lexicon.first_bucket
+        log_c, in_bucket = np.log10(np.maximum(c, 0) + 1.0), (symbol >= first) & (symbol < self.lexicon.end)
+        tail = np.zeros(len(symbol))
+        tail[in_bucket] = log_c[in_bucket] - self.lexicon.log_mass[symbol[in_bucket] - first]
+        return symbol.astype(np.int16), (c > 0).astype(np.int64), c >= 0, log_c, tail, h
+
+    def read(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths of the texts, and the places of their tokens in ``known``, one text after the other, each with its end."""
         if len(self.numbers) > READ_AT_ONCE:
             self._forget()
         places, before = [], len(self.numbers)
         for text in texts:
             own = words(text)
-            at = np.zeros(len(own) + 1, np.int32)
-            at[:-1] = np.fromiter(map(self.numbers.__getitem__, own), np.int32, len(own))
-            places.append(at)
+            own.append(None)
+            places.append(np.fromiter(map(self.numbers.__getitem__, own), np.int32, len(own)))
         new = self.lexicon.read(list(islice(self.numbers, before, None)))
-        self.known = tuple(np.concatenate([a, b[:-1]]) for a, b in zip(self.known, new))
-        symbol, c, h = self.known
-        return [(symbol[at], c[at], h[at]) for at in places]
+        self.known = tuple(np.concatenate([a, b[:-1]]) for a, b in zip(self.known, self._of(new)))
+        return np.fromiter(map(len, places), np.int64, len(places)), np.concatenate(places)
 
 
-def fit(docs: DataFrame, counts: DataFrame) -> tuple[Lexicon, Network]:
+def read_lexicon(counts: DataFrame) -> Lexicon:
     sums = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = int(sums["n"] or 0), int(sums["v"])
     tail = {r["bucket"]: float(r["m"]) for r in counts.groupBy("bucket").agg(F.sum(F.col("c") + 1).alias("m")).collect()}
     least = max(1, -(-total // HOT_WORDS))
     hot = [(r["h"], r["bucket"], r["c"]) for r in counts.where(F.col("c") >= least).collect()]  # at most HOT_WORDS rows
     ends = next((r["c"] for r in counts.where("bucket = -1").collect()), 0)
-    lexicon = Lexicon(hot, tail, total, distinct, ends)
-    net = Network.fresh(lexicon.counts, HIDDEN)
-    trained = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    passes = -(-LEAST_SYMBOLS // max(total, 1)) if total else 0
-    shares = max(1, ROUNDS // max(passes, 1))
-    repeats = -(-max(passes, 1) * shares // ROUNDS)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    for k in range(ROUNDS if total else 0):
-        share = trained.where(F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == k % shares)
-        net = _trained_by_all(share.select("text"), shared, net, RATE * (1 - 0.9 * k / ROUNDS), repeats)
-    return lexicon, net
+    return Lexicon(hot, tail, total, distinct, ends)
 
 
-def _trained_by_all(texts: DataFrame, lexicon, net: Network, rate: float, repeats: int) -> Network:
-    """The mean of the networks that the partitions of ``texts`` make of ``net``, weighted by their symbols; the mean
+_READ = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("share", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("tail", pa.float64()), ("symbols", pa.binary()), ("rare", pa.map_(pa.int64(), pa.int64()))])
+_READ_DDL = "row long, doc_id long, held_out boolean, share long, n_tokens long, n_known long, logs double, tail double, symbols binary, rare map<long,long>"
+
+
+def symbols_of(rows: DataFrame, lexicon) -> DataFrame:
+    """One row per row of ``rows`` (doc_id, text, held_out, share): its symbols as 16-bit integers, and of its tokens: the
+    number, that of known frequent ones, the sum of log10(count + 1) of frequent ones, the log10 factor of the model's
+    probability that the frequent ones' shares of buckets make, and the times of the others by hash."""
+
+    def read(batches):
+        row, reader = TaskContext.get().partitionId() << 32, Reader(lexicon.value)
+        for b in slices(batches):
+            n = b.num_rows
+            size, at = reader.read(b.column(1).to_pylist())
+            symbol, known, frequent, log_c, tail, h = reader.known
+            starts = np.concatenate([[0], np.cumsum(size)])
+            held, sums = symbol[at].tobytes(), lambda x: np.add.reduceat(x[at], starts[:-1], dtype=x.dtype)
+            rare = np.flatnonzero(~frequent[at])
+            owners, hashes = np.repeat(np.arange(n), size)[rare], h[at[rare]].view(np.int64)
+            order = np.lexsort((hashes, owners))
+            owners, hashes = owners[order], hashes[order]
+            firsts = np.flatnonzero(np.concatenate([[True], (owners[1:] != owners[:-1]) | (hashes[1:] != hashes[:-1])])[: len(owners)])
+            times = np.diff(firsts, append=len(owners))
+            columns = (
+                row + np.arange(n), b.column(0), b.column(2), b.column(3), size, sums(known), sums(log_c), sums(tail), [held[2 * i : 2 * j] for i, j in zip(starts, starts[1:])],
+                pa.MapArray.from_arrays(np.searchsorted(owners[firsts], np.arange(n + 1)).astype(np.int32), hashes[firsts], times),
+            )
+            yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, _READ)], schema=_READ)
+            row += n
+
+    return rows.select("doc_id", "text", "held_out", "share").mapInArrow(read, _READ_DDL)
+
+
+def _symbols(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int16) for x in column.to_pylist()]
+
+
+def _trained_by_all(symbols: DataFrame, net: Network, rate: float, repeats: int) -> Network:
+    """The mean of the networks that the partitions of ``symbols`` make of ``net``, weighted by their symbols; the mean
     loss of a symbol before its update is added to ``losses``."""
-    before = texts.sparkSession.sparkContext.broadcast(net)
+    before = symbols.sparkSession.sparkContext.broadcast(net)
 
     def learn(batches):
-        own, reader, done, loss = copy.deepcopy(before.value), Reader(lexicon.value), 0, 0.0
+        own, done, loss = copy.deepcopy(before.value), 0, 0.0
         adam, targets, inputs, held = Adam(own), [], [], 0
         for b in slices(batches):
-            for y, _, _ in reader.read(b.column(0).to_pylist()):
+            for y in _symbols(b.column(0)):
                 y = y.astype(np.int32)
                 targets.append(y)
                 inputs.append(np.concatenate([[own.start], y[:-1]]).astype(np.int32))
@@ -208,7 +245,7 @@ def _trained_by_all(texts: DataFrame, lexicon, net: Network, rate: float, repeat
         return pd.DataFrame({"piece": [pdf["piece"].iloc[0]], "part": [pdf["part"].iloc[0]], "n": [n], "loss": [pdf["loss"].sum()], "weights": [(total / n).astype(np.float32).tobytes()]})
 
     ddl = "piece int, part int, n long, loss double, weights binary"
-    grouped = texts.mapInArrow(learn, ddl).groupBy("piece", F.pmod("part", F.lit(GROUPS))).applyInPandas(mean, ddl)
+    grouped = symbols.mapInArrow(learn, ddl).groupBy("piece", F.pmod("part", F.lit(GROUPS))).applyInPandas(mean, ddl)
     rows = sorted(grouped.groupBy("piece").applyInPandas(mean, ddl).collect(), key=lambda r: r["piece"])  # one network
     if not rows:
         return net
@@ -227,39 +264,31 @@ def scores(docs: DataFrame) -> DataFrame:
     modulo 7 are held out; a null doc_id isn't. Without training documents every word is unseen. Repeated rows count
     as often as they occur and score alike. An empty table gives no rows; other columns aren't read.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
-    counts = stored(word_counts(rows.where("not held_out").select("text")), "word-counts")
-    lexicon, net = fit(docs, counts)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out"))
+    counts = stored(word_counts(texts.where("not held_out").select("text")), "word-counts")
+    lexicon = read_lexicon(counts)
     total, distinct = lexicon.total, lexicon.distinct
-    shared = docs.sparkSession.sparkContext.broadcast((lexicon, net))
+    passes = -(-LEAST_SYMBOLS // max(total, 1)) if total else 0
+    shares = max(1, ROUNDS // max(passes, 1))
+    repeats = -(-max(passes, 1) * shares // ROUNDS)
+    context = docs.sparkSession.sparkContext
+    share = F.when(F.col("held_out"), -1).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(shares))).cast("long")
+    rows = texts.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "held_out", share.alias("share"))
+    seen = stored(symbols_of(rows, context.broadcast(lexicon)), "lm-symbols")
+    net = Network.fresh(lexicon.counts, HIDDEN)
+    for k in range(ROUNDS if total else 0):
+        net = _trained_by_all(seen.where(F.col("share") == k % shares).select("symbols"), net, RATE * (1 - 0.9 * k / ROUNDS), repeats)
+    shared = context.broadcast(net)
 
-    def read(batches):
-        lexicon, net = shared.value
-        base, reader = TaskContext.get().partitionId() << 32, Reader(lexicon)
+    def score(batches):
+        # a whole batch at a time, so that long texts are scored side by side
         for b in batches:
-            n = b.num_rows
-            ids, flags = b.column(0), b.column(2)
-            symbols, known, size, logs, tail = [], np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
-            rare_row, rare_h, rare_n = [], [], []
-            for i, (s, c, h) in enumerate(x for part in slices([b]) for x in reader.read(part.column(1).to_pylist())):
-                symbols.append(s.astype(np.int16))
-                frequent, in_bucket = c >= 0, (s >= lexicon.first_bucket) & (s < lexicon.end)
-                log_c = np.log10(np.maximum(c, 0) + 1.0)
-                known[i], size[i], logs[i] = (c > 0).sum(), len(s), log_c.sum()
-                tail[i] = log_c[in_bucket].sum() - lexicon.log_mass[s[in_bucket] - lexicon.first_bucket].sum()
-                hh, nn = np.unique(h[~frequent], return_counts=True)
-                rare_row.append(np.full(len(hh), base + i))
-                rare_h.append(hh)
-                rare_n.append(nn)
-            # a whole batch at a time, so that long texts are scored side by side
-            model = net.score(symbols) / np.log(10) + tail
-            yield _rows(row=base + np.arange(n), doc_id=ids, held_out=flags, n_tokens=size, n_known=known, logs=logs, model=model)
-            yield _rows(row=np.concatenate(rare_row), h=np.concatenate(rare_h).view(np.int64), times=np.concatenate(rare_n).astype(np.int64))
-            base += n
-
-    seen = stored(rows.select("doc_id", "text", "held_out").mapInArrow(read, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double, h long, times long"), "lm-rows")
-    per_row = seen.where("h is null").drop("h", "times")
-    rare = spread_join(seen.where("h is not null").select("row", "h", "times"), counts.select("h", "c"), "h", ["row"], buckets=16)
+            model = shared.value.score(_symbols(b.column(len(_SCORED) - 1))) / np.log(10) + b.column(len(_SCORED) - 2).to_numpy()
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(model)], names=[*_SCORED[:-2], "model"])
+
+    ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double"
+    per_row = stored(seen.select(*_SCORED).mapInArrow(score, ddl), "lm-rows")
+    rare = spread_join(seen.select("row", F.explode("rare").alias("h", "times")), counts.select("h", "c"), "h", ["row"], buckets=16)
     more = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("log_c"))
     both = per_row.join(more, "row", "left").withColumn("log_c", F.coalesce("log_c", F.lit(0.0)))
     return both.select(
@@ -268,9 +297,4 @@ def scores(docs: DataFrame) -> DataFrame:
     )
 
 
-_SCHEMA = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("model", pa.float64()), ("h", pa.int64()), ("times", pa.int64())])
-
-
-def _rows(**given) -> pa.RecordBatch:
-    n = len(given["row"])
-    return pa.RecordBatch.from_arrays([(x if isinstance(x := given[f.name], pa.Array) else pa.array(x, f.type)) if f.name in given else pa.nulls(n, f.type) for f in _SCHEMA], schema=_SCHEMA)
+_SCORED = ["row", "doc_id", "held_out", "n_tokens", "n_known", "logs", "tail", "symbols"]
