@@ -32,6 +32,11 @@ from loomgraph.plans.tables import stored, stored_all
 OPEN_POSITIONS = 1_000_000
 
 
+def _sorted_ids(df: DataFrame) -> list[int]:
+    """Ids as one column of longs, sorted here: rows would take ten times the driver's memory."""
+    return np.sort(df.select("id").toArrow()["id"].to_numpy()).tolist()
+
+
 class Hypergraph:
     """A directed hypergraph: each hyperedge an ordered list of vertices, repeats allowed.
 
@@ -326,10 +331,11 @@ class Hypergraph:
         return self.hyperedge_frame.count()
 
     def get_all_vertex_ids(self) -> list[int]:
-        return [r["id"] for r in self.vertex_frame.select("id").orderBy("id").collect()]
+        """All of them, on the driver; ``vertices().limit(n).ids()`` are the first ones only."""
+        return _sorted_ids(self.vertex_frame)
 
     def get_all_hyperedge_ids(self) -> list[int]:
-        return [r["id"] for r in self.hyperedge_frame.select("id").orderBy("id").collect()]
+        return _sorted_ids(self.hyperedge_frame)
 
     # Edits of relations
 

@@ -125,7 +125,7 @@ def connecting_pair(spark, sf_dir):
 def point_reads(spark, sf_dir):
     """Counts, payloads and lists of the first part and the first order, by the graph's own calls."""
     g = _built(spark, sf_dir)
-    v, h = g.get_all_vertex_ids()[0], g.get_all_hyperedge_ids()[0]
+    v, h = g.vertices().limit(1).ids()[0], g.hyperedges().limit(1).ids()[0]
     row = (g.count_vertices(), g.count_hyperedges(), g.get_vertex(v)["p_brand"], g.get_hyperedge(h)["o_orderstatus"], ",".join(map(str, g.get_hyperedge_vertices(h))), ",".join(map(str, g.get_vertex_hyperedges(v))), g.get_vertex_indegree(v), g.get_vertex_outdegree(v))
     return spark.createDataFrame([row], "vertices long, hyperedges long, brand string, status string, places string, orders string, indegree long, outdegree long")
 

@@ -150,3 +150,16 @@ def test_lists_too_long_for_the_driver(g, monkeypatch):
     want = edit(g)
     monkeypatch.setattr(graph, "OPEN_POSITIONS", 0)
     assert edit(other) == want
+
+
+def test_first_ids_are_not_all_fetched(spark, monkeypatch):
+    """The query of point reads finds the first part and order without every id on the driver."""
+    from loomgraph.graph import Hypergraph
+    from loomgraph.queries import QUERIES
+
+    def all_ids(g):
+        raise AssertionError("every id went to the driver")
+
+    monkeypatch.setattr(Hypergraph, "get_all_vertex_ids", all_ids)
+    monkeypatch.setattr(Hypergraph, "get_all_hyperedge_ids", all_ids)
+    assert QUERIES["point_reads"](spark, "/root/testdata/sf0.001").count() == 1
