@@ -52,10 +52,7 @@ def orphan_vertices(spark, sf_dir):
 
 def intersections(spark, sf_dir):
     """Vertices that are in both of two orders, for all pairs of orders that share one."""
-    members = frames.members_of(orders(spark, sf_dir).incidence)
-    a = members.select(F.col("hyperedge_id").alias("a"), "vertex_id")
-    b = members.select(F.col("hyperedge_id").alias("b"), "vertex_id")
-    return a.join(b, "vertex_id").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return measures.intersections(frames.members_of(orders(spark, sf_dir).incidence))
 
 
 def connecting(spark, sf_dir):
