@@ -50,3 +50,30 @@ def test_parts_grow_with_the_tables(spark, tmp_path):
     spark.range(2_000_000).write.parquet(str(tmp_path / "t"))
     df = spark.read.parquet(str(tmp_path / "t"))
     assert tables.parts_of(df, mb=0.5) > tables.parts_of(df, mb=10**6) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_binary_file_by_pieces(spark, tmp_path, monkeypatch):
+    """Many chunks and pieces give the same file's items, in order, and no row of the graph goes to the driver."""
+    from pyspark.sql import DataFrame
+
+    from loomgraph.graph import Hypergraph
+    from loomgraph.sources import binary
+
+    lists = random_lists(13, n=40, m=300)
+    g, ids = make(spark, lists)
+    g.update_vertex(1, {"n": "\n" * 3 + "é" * 700_000})  # longer than a chunk, and with what ends a line
+
+    def rows_to_driver(df, *_):
+        raise AssertionError("rows went to the driver")
+
+    with monkeypatch.context() as m:
+        m.setattr(DataFrame, "toLocalIterator", rows_to_driver)
+        g.save(str(tmp_path / "g.bin"))
+    raw = (tmp_path / "g.bin").read_bytes()
+    items = list(binary.parse(raw))[1:]
+    assert [x[1] for x in items] == [*range(1, 41), *ids] and [x[3] for x in items[40:]] == lists
+    assert len(raw) == binary.HEADER.size + sum(8 + len(x[2]) for x in items) + sum(4 + 4 * len(x) for x in lists)
+    back = Hypergraph.load(str(tmp_path / "g.bin"), spark)
+    assert sorted(map(tuple, back.incidence.collect())) == sorted(map(tuple, g.incidence.collect()))
+    assert back.get_vertex(1) == g.get_vertex(1) and back.vertex_frame.count() == 40
+    assert sum(x[0] == "hyperedge" for x in binary.pieces(open(tmp_path / "g.bin", "rb"), 100)) > 10
