@@ -77,3 +77,25 @@ def test_binary_file_by_pieces(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, back.incidence.collect())) == sorted(map(tuple, g.incidence.collect()))
     assert back.get_vertex(1) == g.get_vertex(1) and back.vertex_frame.count() == 40
     assert sum(x[0] == "hyperedge" for x in binary.pieces(open(tmp_path / "g.bin", "rb"), 100)) > 10
+
+
+def test_closure_is_kept_in_words(spark):
+    """A start, a hundred middles and a hundred ends, all joined: 10 300 pairs lie in words, and plain pairs with cycles too."""
+    from loomgraph.plans import tables as t
+    from loomgraph.plans import traversal
+
+    pairs = [(0, k) for k in range(1, 101)] + [(k, 1000 + e) for k in range(1, 101) for e in (k, k % 100 + 1)] + [(1000 + k, 2000 + k) for k in range(1, 101)] + [(3000, 3001), (3001, 3000), (3001, 3001)]
+    edges = set(pairs)
+    while new := {(a, d) for a, b in edges for c, d in edges if b == c} - edges:
+        edges |= new
+    rows = []
+    plain, t_stored = t.appended, traversal.stored
+    try:
+        traversal.appended = lambda table, more: rows.append(more.count()) or plain(table, more)
+        traversal.stored = lambda df, what, *x: (rows.append((kept := t_stored(df, what, *x)).count()) or kept) if what == "closure" else t_stored(df, what, *x)
+        found = traversal.transitive_closure(spark.createDataFrame(pairs, "src long, dst long")).collect()
+    finally:
+        traversal.appended, traversal.stored = plain, t_stored
+    assert sorted(map(tuple, found)) == sorted(edges)
+    assert sum(rows) < len(edges)
+    assert traversal.transitive_closure(spark.createDataFrame([], "src long, dst long")).count() == 0
