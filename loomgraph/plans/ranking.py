@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from . import local
 from .local import LOCAL_ROWS, LOCAL_WORK
-from .tables import appended, dropped, joined, largest_key, spread_join, stored
+from .tables import PLAIN_ROWS, appended, dropped, joined, largest_key, spread_join, stored
+from .walk_blocks import WalkBlocks
 
 
 class PageRank(NamedTuple):
@@ -22,16 +23,37 @@ class PageRank(NamedTuple):
 
 def page_rank(vertices: DataFrame, hyperedges: DataFrame, members: DataFrame, *, damping: float = 0.85, tolerance: float = 1e-6, max_iterations: int = 100) -> PageRank:
     """The walk takes an incident hyperedge by weight, then any distinct member. What vertices without weight hold is
-    spread evenly. A sweep sums each hyperedge's inflow and then each vertex's, so cost follows the incidences."""
+    spread evenly. A sweep sums each hyperedge's inflow and then each vertex's, in blocks of hyperedges that stay where
+    they are, so that only vertices' numbers move."""
     ids = vertices.select(F.col("id").alias("vertex_id"))
     n = ids.count()
     if n == 0:
         return PageRank(ids.withColumn("score", F.lit(0.0)), 0, True)
     weighted = members.select("hyperedge_id", "vertex_id").join(hyperedges.select(F.col("id").alias("hyperedge_id"), "weight"), "hyperedge_id")
+    weighted = stored(weighted, "flows")
+    most = largest_key(weighted, "hyperedge_id")
+    if most > PLAIN_ROWS:
+        return _page_rank_joins(ids, n, weighted, max(most, largest_key(weighted, "vertex_id")), damping, tolerance, max_iterations)
+    blocks = WalkBlocks(ids, weighted, n, weighted.count())
+    dropped(weighted)
+    state = blocks.first()
+    dangling = float(state.agg(F.sum("dangling")).first()[0] or 0)
+    for sweep in range(1, max_iterations + 1):
+        new = blocks.swept(state, (1 - damping) / n + damping * dangling / n, damping)
+        sums = new.agg(F.sum("change").alias("change"), F.sum("dangling").alias("dangling")).first()
+        dropped(state)
+        state, dangling = new, float(sums["dangling"] or 0)
+        if sums["change"] < tolerance:
+            break
+    blocks.close()
+    return PageRank(blocks.scores(state), sweep if max_iterations > 0 else 0, max_iterations > 0 and sums["change"] < tolerance)
+
+
+def _page_rank_joins(ids: DataFrame, n: int, weighted: DataFrame, most: int, damping: float, tolerance: float, max_iterations: int) -> PageRank:
+    """The same by joins, where a hyperedge is too large for a block."""
     degree = weighted.groupBy("vertex_id").agg(F.sum("weight").alias("d"))
     size = weighted.groupBy("hyperedge_id").agg((F.max("weight") / F.count(F.lit(1))).alias("share"))
     flows = stored(spread_join(weighted.select("hyperedge_id", "vertex_id"), size, "hyperedge_id", ["vertex_id"]), "flows")
-    most = largest_key(flows, "vertex_id", "hyperedge_id")
     degree = stored(ids.join(degree, "vertex_id", "left").withColumn("d", F.coalesce("d", F.lit(0)).cast("double")), "weights")
     scores = stored(degree.withColumn("score", F.lit(1.0 / n)), "page-rank")
     last = scores

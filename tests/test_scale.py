@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from graphs import make, random_lists
 
-from loomgraph.plans import local, structure, tables
+from loomgraph.plans import local, ranking, structure, tables, walk_blocks
 
 
 def plain_cut_vertices(lists):
@@ -39,3 +39,27 @@ def test_cut_vertices_are_thinned(spark, monkeypatch):
     assert kept.count() < 40
     monkeypatch.setattr(structure, "PLAIN_ROWS", 3)  # some hyperedges pass by the ranges
     assert [x[0] for x in structure.cut_vertices(g.members, 0).orderBy("vertex_id").collect()] == plain_cut_vertices(lists)
+
+
+def test_page_rank_in_blocks(spark, monkeypatch):
+    """Many blocks and ranges give what joins do, with vertices outside, no weight and no hyperedge; incidences don't move."""
+    lists = random_lists(21, n=60, m=50, longest=6)
+    g, ids = make(spark, lists, n=70, weights=[k % 4 for k in range(50)])
+    vertices = g.vertex_frame.where("id not in (1, 2, 30, 60)")
+    monkeypatch.setattr(walk_blocks.WalkBlocks.__init__, "__defaults__", (20, 9))
+    run = lambda: ranking.page_rank(vertices, g.hyperedge_frame, g.members, tolerance=0.0, max_iterations=5)
+    blocks = {r[0]: r[1] for r in run().scores.collect()}
+    monkeypatch.setattr(ranking, "PLAIN_ROWS", 1)  # hyperedges too large for blocks
+    joins = {r[0]: r[1] for r in run().scores.collect()}
+    assert blocks.keys() == joins.keys() and len(blocks) == 66
+    assert all(blocks[v] == pytest.approx(joins[v], abs=1e-12) for v in joins)
+
+
+def test_page_rank_moves_no_incidences(spark, monkeypatch):
+    lists = random_lists(22, n=60, m=50, longest=6)
+    g, _ = make(spark, lists)
+    plans, plain = [], walk_blocks.stored
+    monkeypatch.setattr(walk_blocks, "stored", lambda df, what: plans.append((what, df._jdf.queryExecution().executedPlan().toString())) or plain(df, what))
+    ranking.page_rank(g.vertex_frame, g.hyperedge_frame, g.members, tolerance=0.0, max_iterations=2)
+    sweeps = [p for what, p in plans if what == "page-rank"][1:]
+    assert len(sweeps) == 2 and all("InMemoryTableScan" in p and "hyperedge_id" not in p for p in sweeps)
