@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 from graphs import make, random_lists
 
+from loomgraph.operators import subsets
 from loomgraph.plans import local, ranking, structure, tables, walk_blocks
 
 
@@ -63,3 +64,17 @@ def test_page_rank_moves_no_incidences(spark, monkeypatch):
     ranking.page_rank(g.vertex_frame, g.hyperedge_frame, g.members, tolerance=0.0, max_iterations=2)
     sweeps = [p for what, p in plans if what == "page-rank"][1:]
     assert len(sweeps) == 2 and all("InMemoryTableScan" in p and "hyperedge_id" not in p for p in sweeps)
+
+
+@pytest.mark.parametrize("plain_rows", [10**6, 1])
+def test_inclusions_by_words(spark, monkeypatch, plain_rows):
+    """Pairs are told apart by words of bits, so few are counted; hot members too."""
+    lists = [*random_lists(23, n=90, m=80, longest=6), [1], [1, 2], [1, 2, 3], [3, 2, 1], [1, 2, 3, 4], [5, 5], list(range(1, 91))]
+    g, ids = make(spark, lists)
+    monkeypatch.setattr(tables, "PLAIN_ROWS", plain_rows)
+    kept, plain = {}, subsets.stored
+    monkeypatch.setattr(subsets, "stored", lambda df, what: kept.setdefault(what, plain(df, what)))
+    sets = {h: set(x) for h, x in zip(ids, lists)}
+    want = sorted((a, b) for a in sets for b in sets if sets[a] < sets[b])
+    assert sorted(map(tuple, subsets.inclusions(g.members).collect())) == want
+    assert kept["candidates"].count() < 1.2 * len(want)
