@@ -7,7 +7,8 @@ import pandas as pd
 import pytest
 from graphs import make, random_lists
 
-from loomgraph.operators import subsets
+from loomgraph.functions import frames
+from loomgraph.operators import matrices, subsets
 from loomgraph.plans import local, ranking, structure, tables, walk_blocks
 
 
@@ -78,3 +79,57 @@ def test_inclusions_by_words(spark, monkeypatch, plain_rows):
     want = sorted((a, b) for a in sets for b in sets if sets[a] < sets[b])
     assert sorted(map(tuple, subsets.inclusions(g.members).collect())) == want
     assert kept["candidates"].count() < 1.2 * len(want)
+
+
+def test_levels_free_pairs_without_storing_the_rest(spark, monkeypatch):
+    """Parallel pairs go once, and no round stores pairs anew; a cycle, hot sources and ordered places too."""
+    lists = random_lists(24, n=30, m=60, longest=5, acyclic=True)
+    g, _ = make(spark, lists, n=32)
+    order = lambda local_rows: [(r["vertex_id"], r["level"]) for r in structure.topological_levels(g.vertex_frame, g.pairs, local_rows=local_rows)[0].orderBy("level", "place").collect()]
+    names, plain = [], structure.stored
+    monkeypatch.setattr(structure, "stored", lambda df, what: names.append(what) or plain(df, what))
+    want, got = order(10**6), order(0)
+    assert want == got and len(want) == 32 and names.count("pairs") == 2 and not {"pairs-left", "pairs-freed"} & set(names)
+    monkeypatch.setattr(structure, "PLAIN_ROWS", 1)
+    assert order(0) == want
+    cyclic, _ = make(spark, [[1, 2, 3], [3, 2], [4, 1]])
+    assert structure.has_cycle(cyclic.vertex_frame, cyclic.pairs, local_rows=0) and not structure.has_cycle(g.vertex_frame, g.pairs, local_rows=0)
+
+
+def test_pairs_from_arrays(spark):
+    df = spark.createDataFrame([(1, [5, 6, 5]), (2, [7]), (3, []), (4, [8, 8])], "id long, members array<long>")
+    want = sorted(map(tuple, frames.pairs_of(frames.incidence_from_arrays(df)).collect()))
+    assert sorted(map(tuple, frames.pairs_from_arrays(df).collect())) == want
+    assert "Exchange" not in frames.pairs_from_arrays(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_are_thinned(spark, monkeypatch):
+    lists = [[k, k + 1] for k in range(1, 60) if k % 17] + random_lists(25, n=60, m=5, longest=2) + [[61, 62, 63]] * 40
+    g, _ = make(spark, lists, n=64)
+    monkeypatch.setattr(tables, "THINNED_ROWS", 10)
+    a, b = ({r[0]: r[1] for r in structure.connected_components(g.vertex_frame, g.members, n).collect()} for n in (0, 10**6))
+    assert a == b and len(a) == 64
+    r = random.Random(1)
+    x, y = (np.array([r.randint(1, 40) for _ in range(200)]) for _ in range(2))
+    assert len(local.forest(x, y)[0]) < 40
+
+
+def test_laplacian_joins_no_pairs(spark):
+    """Pairs are shuffled once, half of them, in partitions that follow the tables."""
+    g, _ = make(spark, random_lists(26, n=12, m=15), n=14, weights=[k % 3 for k in range(15)])
+    for normalized in (True, False):
+        got = matrices.laplacian(g.vertex_frame, g.hyperedge_frame, g.members, normalized=normalized)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and "col_id" in line]
+        assert len(joins) == 1 and "<= col_id" in joins[0] and "= col_id" not in joins[0].replace("<= col_id", "")
+        cells = {(r["row_id"], r["col_id"]): r["value"] for r in got.collect()}
+        assert len(cells) == got.count() and all(cells[b, a] == v for (a, b), v in cells.items()) and all((v, v) in cells for v in range(1, 15))
+        if not normalized:
+            assert all(abs(sum(v for (a, _), v in cells.items() if a == x)) < 1e-9 for x in range(1, 15))
+
+
+def test_places_follow_the_tables_size(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(tables, "parts_of", lambda df, mb=2.0: asked.append(mb) or 7)
+    rows = tables.numbered(spark.range(100).withColumnRenamed("id", "v"), "v").collect()
+    assert asked and sorted((r["v"], r["number"]) for r in rows) == [(k, k) for k in range(100)]
