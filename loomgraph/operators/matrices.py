@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.plans.tables import numbered
@@ -34,14 +34,22 @@ def laplacian(vertices: DataFrame, hyperedges: DataFrame, members: DataFrame, *,
     weighted = members.select("hyperedge_id", "vertex_id").join(share, "hyperedge_id")
     sums = weighted.groupBy("vertex_id").agg(F.sum("weight").alias("d"))
     degree = vertices.select(F.col("id").alias("vertex_id")).join(sums, "vertex_id", "left").withColumn("d", F.coalesce("d", F.lit(0)).cast("double"))
-    a = weighted.select("hyperedge_id", F.col("vertex_id").alias("row_id"), "share")
-    b = weighted.select("hyperedge_id", F.col("vertex_id").alias("col_id"))
-    both = a.join(b, "hyperedge_id").groupBy("row_id", "col_id").agg(F.sum("share").alias("s"))
-    if normalized:
-        inverse = degree.where("d > 0").select("vertex_id", (1 / F.sqrt("d")).alias("i"))
-        both = both.join(inverse.select(F.col("vertex_id").alias("row_id"), F.col("i").alias("x")), "row_id").join(inverse.select(F.col("vertex_id").alias("col_id"), F.col("i").alias("y")), "col_id").select("row_id", "col_id", (F.col("s") * F.col("x") * F.col("y")).alias("s"))
-        diagonal = degree.select(F.col("vertex_id").alias("row_id"), F.col("vertex_id").alias("col_id"), F.lit(1.0).alias("value"))
-    else:
-        diagonal = degree.select(F.col("vertex_id").alias("row_id"), F.col("vertex_id").alias("col_id"), F.col("d").alias("value"))
-    parts = diagonal.unionByName(both.select("row_id", "col_id", (-F.col("s")).alias("value")))
-    return parts.groupBy("row_id", "col_id").agg(F.sum("value").alias("value"))
+    # each member brings its factor, so that no pair is joined with it
+    inverse = degree.where("d > 0").select("vertex_id", (1 / F.sqrt("d")).alias("i"))
+    named = weighted.join(inverse, "vertex_id") if normalized else weighted.withColumn("i", F.lit(1.0))
+    a = named.select("hyperedge_id", F.col("vertex_id").alias("row_id"), "share", F.col("i").alias("p"))
+    b = named.select("hyperedge_id", F.col("vertex_id").alias("col_id"), F.col("i").alias("q"))
+    # both matrices are symmetric: pairs go once, and are turned as they are read
+    none = F.lit(None).cast("double")
+    both = a.join(b, "hyperedge_id").where("row_id <= col_id").select("row_id", "col_id", "share", "p", "q", none.alias("own"))
+    diagonal = degree.select(F.col("vertex_id").alias("row_id"), F.col("vertex_id").alias("col_id"), none.alias("share"), none.alias("p"), none.alias("q"), (F.lit(1.0) if normalized else F.col("d")).alias("own"))
+    sums = diagonal.unionByName(both).groupBy("row_id", "col_id")
+    half = sums.agg(F.sum("share").alias("s"), F.max("p").alias("p"), F.max("q").alias("q"), F.sum("own").alias("own"))
+
+    def entry(row: str, col: str, p: str, q: str) -> Column:
+        over = F.coalesce(F.col("s") * F.col(p) * F.col(q) if normalized else F.col("s"), F.lit(0.0))
+        return F.struct(F.col(row).alias("row_id"), F.col(col).alias("col_id"), (F.coalesce("own", F.lit(0.0)) - over).alias("value"))
+
+    one = entry("row_id", "col_id", "p", "q")
+    ways = F.when(F.col("row_id") < F.col("col_id"), F.array(one, entry("col_id", "row_id", "q", "p"))).otherwise(F.array(one))
+    return half.select(F.explode(ways).alias("at")).select("at.*")
