@@ -28,3 +28,17 @@ def random_lists(seed, n=12, m=9, longest=5, acyclic=False):
     r = random.Random(seed)
     lists = [[r.randint(1, n) for _ in range(r.randint(1, longest))] for _ in range(m)]
     return [sorted(set(x)) for x in lists] if acyclic else lists
+
+
+def plain_core(lists: list[list[int]], ids: list[int], s: int, t: int) -> tuple[set[int], set[int]]:
+    """Vertices and hyperedges with members in the core, peeled one by one."""
+    left = {h: set(x) for h, x in zip(ids, lists)}
+    while True:
+        degree = {}
+        for x in left.values():
+            for v in x:
+                degree[v] = degree.get(v, 0) + 1
+        new = {h: {v for v in x if degree[v] >= s} for h, x in left.items() if len(x) >= t}
+        if new == left:
+            return set().union(*left.values()), {h for h, x in left.items() if x}
+        left = new

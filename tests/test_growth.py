@@ -107,3 +107,31 @@ def test_pairs_are_dealt_by_the_tables_size(spark, monkeypatch):
     monkeypatch.setattr(tables, "parts_of", lambda *_: 7)
     for df, keys in ((measures.pair_counts(g.members), 2), (measures.neighborhood_sizes(g.vertex_frame, g.members), 2)):
         assert any(x.split("hashpartitioning(")[1].split(")")[0].count(",") == keys and ", 7)" in x for x in exchanges(df))
+
+
+def test_core_turns_move_what_fell(spark, monkeypatch):
+    """A chain that falls from its end, a place a turn, beside a part that stays: turns store only what falls."""
+    from graphs import plain_core
+
+    from loomgraph.plans import structure
+
+    lists = [[k, k + 1] for k in range(1, 9)] + [[20 + a, 20 + b, 20 + c] for a, b, c in combinations(range(6), 3)]
+    g, ids = make(spark, lists, n=30)
+    rows, t_stored, t_appended = [], structure.stored, structure.appended
+
+    def appended(table, more):
+        rows.append(more.count())
+        return t_appended(table, more)
+
+    monkeypatch.setattr(structure, "stored", lambda df, what, *x: (rows.append((kept := t_stored(df, what, *x)).count()) or kept))
+    monkeypatch.setattr(structure, "appended", appended)
+    v, h = structure.core(g.members, g.hyperedge_frame, g.vertex_frame, 2, 2)
+    want = plain_core(lists, ids, 2, 2)
+    assert ({r[0] for r in v.collect()}, {r[0] for r in h.collect()}) == want and want[0] == set(range(20, 26))
+    members = sum(len(set(x)) for x in lists)
+    assert sum(rows) < 4 * members  # a round for each place would store them all
+    for s, t in ((0, 3), (11, 0), (3, 4), (0, 0), (1, 2)):
+        v, h = structure.core(g.members, g.hyperedge_frame, g.vertex_frame, s, t)
+        want = plain_core(lists, ids, s, t)
+        got = {r[0] for r in v.collect()}, {r[0] for r in h.collect()}
+        assert (got[0] if s > 0 else set(), got[1] if t > 0 else set()) == (want[0] if s > 0 else set(), want[1] if t > 0 else set())
