@@ -122,8 +122,10 @@ class Lexicon:
         at[at == len(self.h)] = 0
         known = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
         symbol, c = (np.where(known, self.symbol[at], -1), np.where(known, self.c[at], -1)) if len(self.h) else (np.full(len(h), -1), np.full(len(h), -1))
-        for i in np.flatnonzero(symbol < 0):
-            symbol[i] = self.first_bucket + bucket(tokens[i]) if i < len(tokens) else self.end
+        unread = np.flatnonzero(symbol[:-1] < 0)
+        symbol[unread] = np.fromiter((bucket(tokens[i]) for i in unread.tolist()), np.int64, len(unread)) + self.first_bucket
+        if symbol[-1] < 0:
+            symbol[-1] = self.end
         return symbol, c, h
 
 
@@ -288,7 +290,9 @@ def scores(docs: DataFrame) -> DataFrame:
 
     ddl = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, model double"
     per_row = stored(seen.select(*_SCORED).mapInArrow(score, ddl), "lm-rows")
-    rare = spread_join(seen.select("row", F.explode("rare").alias("h", "times")), counts.select("h", "c"), "h", ["row"], buckets=16)
+    # in training rows no such word is frequent, so those need no buckets against hot keys
+    rare_of = lambda held: seen.where(F.col("held_out") == held).select("row", F.explode("rare").alias("h", "times"))
+    rare = rare_of(False).join(counts.select("h", "c"), "h").unionByName(spread_join(rare_of(True), counts.select("h", "c"), "h", ["row"], buckets=16))
     more = rare.groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + F.lit(1.0))).alias("log_c"))
     both = per_row.join(more, "row", "left").withColumn("log_c", F.coalesce("log_c", F.lit(0.0)))
     return both.select(
