@@ -9,6 +9,10 @@ import numpy as np
 F32 = np.float32
 #: Symbols of a lane at least when a run of symbols is cut into lanes.
 LANE = 1024
+#: Numbers between the rows of an array, and logits that are exponentiated without their maximum taken away.
+PAD, LARGEST = 16, 60.0
+#: Columns of logits in training that are computed at once, so that they stay in the cache.
+AT_ONCE = 4096
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -19,10 +23,23 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _padded(*shape: int) -> np.ndarray:
+    """An array whose rows don't begin at multiples of a power of two, which would share few places of the cache."""
+    return np.empty((shape[0], int(np.prod(shape[1:])) + PAD), F32)[:, :-PAD].reshape(shape)
+
+
+def _moderate(to: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether columns of ``to.T @ h + bias``, h within -1 and 1, can be exponentiated as they are: no sum of theirs
+    overflows, and none vanishes."""
+    reach = np.abs(to).sum(axis=0)
+    return bool((bias + reach).max() < LARGEST and (bias - reach).max() > -LARGEST)
+
+
+def _softmax(logits: np.ndarray, at: np.ndarray, moderate: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of columns of logits: natural log probabilities of the wanted rows, and exponentials with their sums; overwrites
     ``logits``."""
-    logits -= logits.max(axis=0)
+    if not moderate:
+        logits -= logits.max(axis=0)
     wanted = logits[at, np.arange(len(at))]
     np.exp(logits, out=logits)
     total = logits.sum(axis=0)
@@ -31,7 +48,7 @@ def _softmax(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _by_class(classes: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts by class, and where each class begins and ends in it."""
-    order = np.argsort(classes, kind="stable")
+    order = np.argsort(classes, kind="stable")  # of 16-bit integers: by digits
     return order, np.searchsorted(classes[order], np.arange(n + 1))
 
 
@@ -99,51 +116,61 @@ class Network:
 
     def _log_prob(self, h: np.ndarray, y: np.ndarray, at_once: int = 8192) -> np.ndarray:
         """As ``log_prob``, of the first columns of ``h``."""
-        n, classes, members = len(y), self.class_of[y].astype(np.int32), self.member_of[y]
+        n, classes, members = len(y), self.class_of[y].astype(np.int16), self.member_of[y]
         out, more = np.empty(n), np.empty(n)
         room = np.empty(max(len(self.class_bias), self.member_bias.shape[1]) * min(at_once, n), F32)
 
-        def logs(to: np.ndarray, bias: np.ndarray, h: np.ndarray, at: np.ndarray) -> np.ndarray:
+        def logs(to: np.ndarray, bias: np.ndarray, h: np.ndarray, at: np.ndarray, moderate: bool) -> np.ndarray:
             logits = np.matmul(to.T, h, out=room[: len(bias) * len(at)].reshape(len(bias), -1))
             logits += bias[:, None]
-            return _softmax(logits, at)[0]
+            return _softmax(logits, at, moderate)[0]
 
+        moderate = _moderate(self.to_class, self.class_bias)
         for a in range(0, n, at_once):
             b = min(a + at_once, n)
-            out[a:b] = logs(self.to_class, self.class_bias, h[:, a:b], classes[a:b])
+            out[a:b] = logs(self.to_class, self.class_bias, h[:, a:b], classes[a:b], moderate)
         order, bounds = _by_class(classes, len(self.class_bias))
         h, members = h.take(order, axis=1), members[order]
         for c in np.flatnonzero(np.diff(bounds)):
+            moderate = _moderate(self.to_member[c], self.member_bias[c])
             for a in range(bounds[c], bounds[c + 1], at_once):
                 b = min(a + at_once, bounds[c + 1])
-                more[a:b] = logs(self.to_member[c], self.member_bias[c], h[:, a:b], members[a:b])
+                more[a:b] = logs(self.to_member[c], self.member_bias[c], h[:, a:b], members[a:b], moderate)
         out[order] += more
         return out
 
     def score(self, texts: list[np.ndarray], rows_at_once: int = 1024, buffered: int = 1 << 16) -> np.ndarray:
-        """Natural log probability of each symbol sequence; the state is carried through all of it."""
-        out, order = np.zeros(len(texts)), np.argsort([-len(t) for t in texts], kind="stable")
+        """Natural log probability of each symbol sequence; the state is carried through all of it.
+
+        Texts advance side by side, longest first. What is given to a stretch of steps is known before, and looked up
+        at once.
+        """
+        out, order, n = np.zeros(len(texts)), np.argsort([-len(t) for t in texts], kind="stable"), self.hidden
         given, back = np.ascontiguousarray(self.given.T), np.ascontiguousarray(self.state.T)
         room = min(buffered, sum(map(len, texts))) + min(rows_at_once, len(texts))
-        states, targets = np.empty((self.hidden, room), F32), np.empty(room, np.int64)
+        states, inputs = _padded(n, room), np.empty(3 * n * room, F32)
         for begin in range(0, len(order), rows_at_once):
             group = order[begin : begin + rows_at_once]
             lengths = np.array([len(texts[i]) for i in group])
             flat, starts = np.concatenate([texts[i] for i in group]), np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            h, x = np.zeros((self.hidden, len(group)), F32), np.full(len(group), self.start)
-            owners, held = [], 0
             alive = np.searchsorted(-lengths, -np.arange(lengths[0]), side="left")
-            for t in range(int(lengths[0])):
-                n = int(alive[t])
-                h = self._step(given.take(x[:n], axis=1), h[:, :n], back, states[:, held : held + n])
-                x = targets[held : held + n]
-                x[...] = flat[starts[:n] + t]
-                owners.append(n)
-                held += n
-                if held >= buffered or t + 1 == lengths[0]:
-                    who = np.concatenate([np.arange(n) for n in owners])
-                    out[group] += np.bincount(who, weights=self._log_prob(states, targets[:held]), minlength=len(group))
-                    h, x, owners, held = h.copy(), x.copy(), [], 0
+            ends, h, t = np.cumsum(alive), np.zeros((n, len(group)), F32), 0
+            while t < len(alive):
+                done = int(ends[t - 1]) if t else 0
+                until = min(int(np.searchsorted(ends, done + buffered)) + 1, len(alive))
+                own = alive[t:until]
+                bounds = np.concatenate([[0], np.cumsum(own)])
+                who = np.arange(bounds[-1]) - np.repeat(bounds[:-1], own)
+                place = starts[who] + np.repeat(np.arange(t, until), own)
+                x = flat[place - 1]
+                if t == 0:
+                    x[: own[0]] = self.start
+                a = np.take(given, x, axis=1, out=inputs[: 3 * n * len(x)].reshape(3 * n, -1), mode="clip")
+                bounds = bounds.tolist()
+                for i, j in zip(bounds, bounds[1:]):
+                    h = self._step(a[:, i:j], h[:, : j - i], back, states[:, i:j])
+                out[group] += np.bincount(who, weights=self._log_prob(states, flat[place]), minlength=len(group))
+                h, t = h.copy(), until
         return out
 
 
@@ -170,13 +197,13 @@ class _Room:
         n, size, (classes, _, width) = net.hidden, lanes * window, net.to_member.shape
         self.shape = lanes, window
         self.inputs = np.empty((3 * n, len(net.given)), F32)
-        self.before, self.outs = np.empty((n, window, lanes), F32), np.empty((n, window, lanes), F32)
-        self.u, self.new = np.empty((window, 3 * n, lanes), F32), np.empty((window, n, lanes), F32)
+        self.before, self.outs = _padded(n, window, lanes), _padded(n, window, lanes)
+        self.u, self.new = _padded(window * 3 * n, lanes).reshape(window, 3 * n, lanes), _padded(window * n, lanes).reshape(window, n, lanes)
         # what is given to both gates, nothing, and what is given to the new state; then the gradients of the gates, of
         # the new state's part from the state before, and of all of it
-        self.d = np.empty((4 * n, window, lanes), F32)
+        self.d = _padded(4 * n, window, lanes)
         self.sorted_out, self.sorted_d, self.d_out = (np.empty((n, size), F32) for _ in range(3))
-        self.class_logits, self.member_logits = np.empty((classes, size), F32), np.empty(width * size, F32)
+        self.logits = np.empty(max(classes, width) * min(AT_ONCE, size), F32)
         self.grads = [np.empty_like(p) for p in net.params]
 
 
@@ -196,8 +223,9 @@ class Adam:
         x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T).ravel()
         begins, flat, d, outs = x == net.start, x.ravel().astype(np.int64), room.d, room.outs
         room.inputs[...] = net.given.T
-        np.take(room.inputs[: 2 * n], flat, axis=1, out=d[: 2 * n].reshape(2 * n, -1), mode="clip")
-        np.take(room.inputs[2 * n :], flat, axis=1, out=d[3 * n :].reshape(n, -1), mode="clip")
+        rows = d.reshape(4 * n, -1)
+        for given, row in zip(room.inputs, (*rows[: 2 * n], *rows[3 * n :])):
+            np.take(given, flat, out=row, mode="clip")
         to, h = np.ascontiguousarray(net.state.T), h.T
         for t in range(window):
             before, u, gates, new = room.before[:, t], room.u[t], room.u[t, : 2 * n], room.new[t]
@@ -257,31 +285,34 @@ class Adam:
 def _output_gradients(net: Network, room: _Room, y: np.ndarray) -> float:
     """Adds the output layer's gradients of the mean log loss to ``room.grads[2:]`` and sets ``room.d_out``, those of the
     states ``room.outs``; returns the loss."""
-    n, classes, grads = len(y), net.class_of[y].astype(np.int32), room.grads
+    n, classes, grads = len(y), net.class_of[y].astype(np.int16), room.grads
     order, bounds = _by_class(classes, len(net.class_bias))
     out, classes, members = room.sorted_out, classes[order], net.member_of[y][order]
     np.take(room.outs.reshape(len(out), -1), order, axis=1, out=out, mode="clip")
-    logits = np.matmul(net.to_class.T, out, out=room.class_logits)
-    logits += net.class_bias[:, None]
-    logs, p, total = _softmax(logits, classes)
-    loss = -float(logs.sum())
-    p *= F32(1 / n) / total
-    p[classes, np.arange(n)] -= F32(1 / n)
-    grads[2] += out @ p.T
-    grads[3] += p.sum(axis=1)
-    d = np.matmul(net.to_class, p, out=room.sorted_d)
-    for c in np.flatnonzero(np.diff(bounds)):
-        a, b = bounds[c], bounds[c + 1]
-        to, bias = net.to_member[c], net.member_bias[c][:, None]
-        logits = np.matmul(to.T, out[:, a:b], out=room.member_logits[: len(bias) * (b - a)].reshape(len(bias), -1))
-        logits += bias
-        logs, q, total = _softmax(logits, members[a:b])
+    d, loss, part = room.sorted_d, 0.0, F32(1 / n)
+
+    def add(to: np.ndarray, bias: np.ndarray, d_to: np.ndarray, d_bias: np.ndarray, a: int, b: int, at: np.ndarray, moderate: bool) -> np.ndarray:
+        """Adds the gradients of columns a to b, whose rows ``at`` are wanted; returns the states'."""
+        nonlocal loss
+        logits = np.matmul(to.T, out[:, a:b], out=room.logits[: len(bias) * (b - a)].reshape(len(bias), -1))
+        logits += bias[:, None]
+        logs, p, total = _softmax(logits, at, moderate)
         loss -= float(logs.sum())
-        q *= F32(1 / n) / total
-        q[members[a:b], np.arange(b - a)] -= F32(1 / n)
-        grads[4][c] += out[:, a:b] @ q.T
-        grads[5][c] += q.sum(axis=1)
-        d[:, a:b] += to @ q
+        p *= part / total
+        p[at, np.arange(b - a)] -= part
+        d_to += out[:, a:b] @ p.T
+        d_bias += p.sum(axis=1)
+        return to @ p
+
+    moderate = _moderate(net.to_class, net.class_bias)
+    for a in range(0, n, AT_ONCE):
+        b = min(a + AT_ONCE, n)
+        d[:, a:b] = add(net.to_class, net.class_bias, grads[2], grads[3], a, b, classes[a:b], moderate)
+    for c in np.flatnonzero(np.diff(bounds)):
+        moderate = _moderate(net.to_member[c], net.member_bias[c])
+        for a in range(bounds[c], bounds[c + 1], AT_ONCE):
+            b = min(a + AT_ONCE, bounds[c + 1])
+            d[:, a:b] += add(net.to_member[c], net.member_bias[c], grads[4][c], grads[5][c], a, b, members[a:b], moderate)
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
     np.take(d, back, axis=1, out=room.d_out, mode="clip")

@@ -52,6 +52,13 @@ def bucket(word: bytes) -> int:
     return (word[-1] * 31 + (word[-2] if len(word) > 1 else 0) * 17 + min(len(word), 12) // 4 * 5) % BUCKETS
 
 
+def buckets(tokens: list[bytes]) -> np.ndarray:
+    """``bucket`` of each word; no word is empty."""
+    size, text = np.fromiter(map(len, tokens), np.int64, len(tokens)), np.frombuffer(b"".join(tokens), np.uint8).astype(np.int64)
+    last = np.cumsum(size) - 1
+    return (text[last] * 31 + np.where(size > 1, text[last - 1], 0) * 17 + np.minimum(size, 12) // 4 * 5) % BUCKETS
+
+
 def _hashes(tokens: list[bytes]) -> np.ndarray:
     """A 64-bit hash of each word, none of which is the end's, and then the end."""
     out = np.empty(len(tokens) + 1, np.uint64)
@@ -70,7 +77,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         def flush():
             distinct = list(seen)
             c = np.fromiter(seen.values(), np.int64, len(seen))
-            return pa.RecordBatch.from_pydict({"h": pa.array(_hashes(distinct).view(np.int64)), "bucket": pa.array([*map(bucket, distinct), -1], pa.int32()), "c": pa.array(np.append(c, ends))})
+            return pa.RecordBatch.from_pydict({"h": pa.array(_hashes(distinct).view(np.int64)), "bucket": pa.array(np.append(buckets(distinct), -1).astype(np.int32)), "c": pa.array(np.append(c, ends))})
 
         for b in slices(batches):
             for text in b.column(0).to_pylist():
@@ -123,7 +130,7 @@ class Lexicon:
         known = self.h[at] == h if len(self.h) else np.zeros(len(h), bool)
         symbol, c = (np.where(known, self.symbol[at], -1), np.where(known, self.c[at], -1)) if len(self.h) else (np.full(len(h), -1), np.full(len(h), -1))
         unread = np.flatnonzero(symbol[:-1] < 0)
-        symbol[unread] = np.fromiter((bucket(tokens[i]) for i in unread.tolist()), np.int64, len(unread)) + self.first_bucket
+        symbol[unread] = buckets([tokens[i] for i in unread.tolist()]) + self.first_bucket
         if symbol[-1] < 0:
             symbol[-1] = self.end
         return symbol, c, h
