@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import local
 from .local import LOCAL_ROWS, LOCAL_WORK
-from .tables import appended, dropped, joined, largest_key, numbered, placed, spread_join, stored
+from .tables import appended, dropped, fits_broadcast, joined, largest_key, numbered, placed, screened, spread_join, stored
 
 
 def _ids(df: DataFrame, ids: list[int], name: str) -> DataFrame:
@@ -65,11 +65,18 @@ def reachable(pairs: DataFrame, sources: DataFrame, until: int | None = None, lo
         seen = appended(seen, frontier)
 
 
-def shortest_paths(pairs: DataFrame, start: int, target: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
+def shortest_paths(pairs: DataFrame, start: int | None, target: int | None = None, local_rows: int = LOCAL_ROWS) -> DataFrame:
     """(vertex_id, cost, hops, path) of the least path from ``start`` to every vertex, or those no dearer than
     ``target``: by cost, then hops, then the path's ids. ``pairs`` has a weight that isn't negative, which a step costs.
+    Without ``start`` it is the least vertex that a pair has.
+
+    Pairs are stored as they come, parallel ones too, since the least path to a vertex is chosen among all steps to it
+    anyway. A round moves those at most that begin where the round before ended, but for few. Paths are appended to one
+    table, and that is only written anew after a round that found a better path to a vertex found before.
     """
-    edges = stored(pairs.groupBy("src", "dst").agg(F.min("weight").cast("long").alias("w")), "edges")
+    edges = stored(pairs.select("src", "dst", F.col("weight").cast("long").alias("w")), "edges")
+    if start is None:
+        start = edges.agg(F.min(F.least("src", "dst"))).first()[0]
     if (here := local.fetched(edges, local_rows)) is not None:
         best, previous = local.shortest(here, int(start))
         wanted = best if target is None else [v for v in (int(target),) if v in best]
@@ -77,20 +84,31 @@ def shortest_paths(pairs: DataFrame, start: int, target: int | None = None, loca
             return local.frame(edges, [(v, *best[v], local.path_to(v, previous)) for v in wanted], "vertex_id long, cost long, hops long, path array<long>")
     zero = F.lit(0).cast("long")
     best = frontier = stored(_ids(pairs, [start], "vertex_id").select("vertex_id", zero.alias("cost"), zero.alias("hops"), F.array("vertex_id").alias("path")), "paths")
+    ahead, last, n = edges.withColumnRenamed("src", "vertex_id"), None, 1
     while True:
         if target is not None:
             known = best.where(F.col("vertex_id") == target).select("cost").first()
             if known is not None:
                 frontier = frontier.where(F.col("cost") <= known["cost"])
-        step = frontier.join(edges.withColumnRenamed("src", "vertex_id"), "vertex_id")
+        near = ahead if fits_broadcast(frontier) else screened(ahead, "vertex_id", frontier.select("vertex_id"), n)
+        step = frontier.join(near, "vertex_id")
         keyed = step.select(F.col("dst").alias("vertex_id"), F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.concat("path", F.array("dst")).alias("path")).alias("k"))
         new = keyed.groupBy("vertex_id").agg(F.min("k").alias("k"))
         old = best.select("vertex_id", F.struct("cost", "hops", "path").alias("was"))
-        better = stored(new.join(old, "vertex_id", "left").where("was is null or k < was").select("vertex_id", "k.cost", "k.hops", "k.path"), "frontier")
-        if better.isEmpty():
+        better = new.join(old, "vertex_id", "left").where("was is null or k < was").select("vertex_id", "k.cost", "k.hops", "k.path", F.expr("was is not null").alias("again"))
+        better = stored(better, "frontier")
+        found = better.agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).first()
+        if not found["n"]:
             return best
-        best = stored(best.join(better.select("vertex_id"), "vertex_id", "left_anti").unionByName(better), "paths")
-        frontier = better
+        frontier, n = better.drop("again"), found["n"]
+        if found["again"]:
+            before, best = best, stored(best.join(better.select("vertex_id"), "vertex_id", "left_anti").unionByName(frontier), "paths")
+            dropped(before)
+        else:
+            best = appended(best, frontier)
+        if last is not None:
+            dropped(last)
+        last = better
 
 
 def all_paths(pairs: DataFrame, start: int, target: int) -> DataFrame:

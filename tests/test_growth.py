@@ -135,3 +135,40 @@ def test_core_turns_move_what_fell(spark, monkeypatch):
         want = plain_core(lists, ids, s, t)
         got = {r[0] for r in v.collect()}, {r[0] for r in h.collect()}
         assert (got[0] if s > 0 else set(), got[1] if t > 0 else set()) == (want[0] if s > 0 else set(), want[1] if t > 0 else set())
+
+
+def test_shortest_paths_move_and_store_little(spark, monkeypatch):
+    """Pairs are stored without being grouped, each path once, and only pairs ahead of a round's paths are joined."""
+    from loomgraph.plans import local, traversal
+
+    pairs = [(k, k + 1, 1) for k in range(1, 30)] * 3 + [(k, 100 + k, 5) for k in range(1, 30)] + [(k, k + 1, 1) for k in range(1000, 1900)]
+    df = spark.createDataFrame(pairs, "src long, dst long, weight long")
+    edges, paths, seen = [], [], []
+    t_stored, t_appended, t_screened = traversal.stored, traversal.appended, traversal.screened
+
+    def stored(df, what, *x):
+        (edges if what == "edges" else []).extend(exchanges(df))
+        table = t_stored(df, what, *x)
+        (paths if what == "paths" else []).append(table.count())
+        return table
+
+    def appended(table, more):
+        paths.append(more.count())
+        return t_appended(table, more)
+
+    def screened(rows, key, keys, n, **more):
+        kept = t_screened(rows, key, keys, n, **more)
+        seen.append(kept.count())
+        ahead = rows.join(keys, key, "left_semi")
+        assert ahead.exceptAll(kept).isEmpty() and kept.exceptAll(rows).isEmpty()
+        return kept
+
+    for name, f in (("stored", stored), ("appended", appended), ("screened", screened)):
+        monkeypatch.setattr(traversal, name, f)
+    monkeypatch.setattr(traversal, "fits_broadcast", lambda _: False)
+    found = sorted(map(tuple, traversal.shortest_paths(df, None, local_rows=0).collect()))
+    best, previous = local.shortest(df.selectExpr("src", "dst", "weight as w").toPandas(), 1)
+    assert found == sorted((v, *x, local.path_to(v, previous)) for v, x in best.items())
+    assert not edges and sum(paths) == len(found) == 59
+    assert seen and max(seen) < 10
+    assert tables.screened(df, "src", df.select("src"), 1000, words=4) is df  # too many to tell apart
