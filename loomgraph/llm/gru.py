@@ -15,9 +15,8 @@ PAD, LARGEST = 16, 60.0
 AT_ONCE = 4096
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """In place."""
-    np.negative(x, out=x)
+def _turned_sigmoid(x: np.ndarray) -> np.ndarray:
+    """The sigmoid of -x, in place."""
     np.exp(x, out=x)
     x += F32(1)
     return np.reciprocal(x, out=x)
@@ -97,12 +96,22 @@ class Network:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> np.ndarray:
         """The states (rows) after inputs ``x`` in states ``h``."""
-        return self._step(self.given[x].T, h.T, self.state.T, np.empty(h.shape[::-1], F32)).T
+        given, back = self._columns()
+        return self._step(given[:, x], h.T, back, np.empty((len(back), len(h)), F32), np.empty(h.shape[::-1], F32)).T
 
-    def _step(self, a: np.ndarray, h: np.ndarray, back: np.ndarray, out: np.ndarray) -> np.ndarray:
-        n, u = self.hidden, back @ h
-        gates = _sigmoid(a[: 2 * n] + u[: 2 * n])
-        new = gates[n:] * u[2 * n :]
+    def _columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the inputs and of the state as columns, those of gates negated."""
+        given, back = np.ascontiguousarray(self.given.T), np.ascontiguousarray(self.state.T)
+        for x in (given, back):
+            np.negative(x[: 2 * self.hidden], out=x[: 2 * self.hidden])
+        return given, back
+
+    def _step(self, a: np.ndarray, h: np.ndarray, back: np.ndarray, u: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """``out``, the states after ``h`` where ``a`` is given, computed in ``u``."""
+        n = self.hidden
+        np.matmul(back, h, out=u)
+        gates, new = _turned_sigmoid(np.add(u[: 2 * n], a[: 2 * n], out=u[: 2 * n])), u[2 * n :]
+        new *= gates[n:]
         new += a[2 * n :]
         np.tanh(new, out=new)
         np.subtract(h, new, out=out)
@@ -146,9 +155,9 @@ class Network:
         at once.
         """
         out, order, n = np.zeros(len(texts)), np.argsort([-len(t) for t in texts], kind="stable"), self.hidden
-        given, back = np.ascontiguousarray(self.given.T), np.ascontiguousarray(self.state.T)
+        given, back = self._columns()
         room = min(buffered, sum(map(len, texts))) + min(rows_at_once, len(texts))
-        states, inputs = _padded(n, room), np.empty(3 * n * room, F32)
+        states, inputs, u = _padded(n, room), np.empty(3 * n * room, F32), np.empty(3 * n * min(rows_at_once, len(texts)), F32)
         for begin in range(0, len(order), rows_at_once):
             group = order[begin : begin + rows_at_once]
             lengths = np.array([len(texts[i]) for i in group])
@@ -168,7 +177,7 @@ class Network:
                 a = np.take(given, x, axis=1, out=inputs[: 3 * n * len(x)].reshape(3 * n, -1), mode="clip")
                 bounds = bounds.tolist()
                 for i, j in zip(bounds, bounds[1:]):
-                    h = self._step(a[:, i:j], h[:, : j - i], back, states[:, i:j])
+                    h = self._step(a[:, i:j], h[:, : j - i], back, u[: 3 * n * (j - i)].reshape(3 * n, -1), states[:, i:j])
                 out[group] += np.bincount(who, weights=self._log_prob(states, flat[place]), minlength=len(group))
                 h, t = h.copy(), until
         return out
@@ -202,7 +211,8 @@ class _Room:
         # what is given to both gates, nothing, and what is given to the new state; then the gradients of the gates, of
         # the new state's part from the state before, and of all of it
         self.d = _padded(4 * n, window, lanes)
-        self.sorted_out, self.sorted_d, self.d_out = (np.empty((n, size), F32) for _ in range(3))
+        # the states of all places by class, and below them a row of ones, with which the biases are multiplied
+        self.sorted_out, self.sorted_d, self.d_out = np.ones((n + 1, size), F32), np.empty((n, size), F32), np.empty((n, size), F32)
         self.logits = np.empty(max(classes, width) * min(AT_ONCE, size), F32)
         self.grads = [np.empty_like(p) for p in net.params]
 
@@ -222,11 +232,11 @@ class Adam:
         room = self._room
         x, y = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T).ravel()
         begins, flat, d, outs = x == net.start, x.ravel().astype(np.int64), room.d, room.outs
-        room.inputs[...] = net.given.T
+        room.inputs[...], to = net._columns()
         rows = d.reshape(4 * n, -1)
         for given, row in zip(room.inputs, (*rows[: 2 * n], *rows[3 * n :])):
             np.take(given, flat, out=row, mode="clip")
-        to, h = np.ascontiguousarray(net.state.T), h.T
+        h = h.T
         for t in range(window):
             before, u, gates, new = room.before[:, t], room.u[t], room.u[t, : 2 * n], room.new[t]
             before[...] = h
@@ -234,7 +244,7 @@ class Adam:
                 before[:, begins[t]] = 0
             np.matmul(to, before, out=u)
             gates += d[: 2 * n, t]
-            _sigmoid(gates)
+            _turned_sigmoid(gates)
             np.multiply(gates[n:], u[2 * n :], out=new)
             new += d[3 * n :, t]
             np.tanh(new, out=new)
@@ -288,20 +298,20 @@ def _output_gradients(net: Network, room: _Room, y: np.ndarray) -> float:
     n, classes, grads = len(y), net.class_of[y].astype(np.int16), room.grads
     order, bounds = _by_class(classes, len(net.class_bias))
     out, classes, members = room.sorted_out, classes[order], net.member_of[y][order]
-    np.take(room.outs.reshape(len(out), -1), order, axis=1, out=out, mode="clip")
+    np.take(room.outs.reshape(len(out) - 1, -1), order, axis=1, out=out[:-1], mode="clip")
     d, loss, part = room.sorted_d, 0.0, F32(1 / n)
 
     def add(to: np.ndarray, bias: np.ndarray, d_to: np.ndarray, d_bias: np.ndarray, a: int, b: int, at: np.ndarray, moderate: bool) -> np.ndarray:
         """Adds the gradients of columns a to b, whose rows ``at`` are wanted; returns the states'."""
         nonlocal loss
-        logits = np.matmul(to.T, out[:, a:b], out=room.logits[: len(bias) * (b - a)].reshape(len(bias), -1))
-        logits += bias[:, None]
+        logits = np.matmul(np.vstack([to, bias]).T, out[:, a:b], out=room.logits[: len(bias) * (b - a)].reshape(len(bias), -1))
         logs, p, total = _softmax(logits, at, moderate)
         loss -= float(logs.sum())
         p *= part / total
         p[at, np.arange(b - a)] -= part
-        d_to += out[:, a:b] @ p.T
-        d_bias += p.sum(axis=1)
+        both = out[:, a:b] @ p.T
+        d_to += both[:-1]
+        d_bias += both[-1]
         return to @ p
 
     moderate = _moderate(net.to_class, net.class_bias)

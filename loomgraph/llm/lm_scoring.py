@@ -54,9 +54,9 @@ def bucket(word: bytes) -> int:
 
 def buckets(tokens: list[bytes]) -> np.ndarray:
     """``bucket`` of each word; no word is empty."""
-    size, text = np.fromiter(map(len, tokens), np.int64, len(tokens)), np.frombuffer(b"".join(tokens), np.uint8).astype(np.int64)
-    last = np.cumsum(size) - 1
-    return (text[last] * 31 + np.where(size > 1, text[last - 1], 0) * 17 + np.minimum(size, 12) // 4 * 5) % BUCKETS
+    size, ends = np.fromiter(map(len, tokens), np.int64, len(tokens)), b"".join([x[-2:] for x in tokens])
+    text, last = np.frombuffer(ends, np.uint8), np.cumsum(np.minimum(size, 2)) - 1
+    return (text[last].astype(np.int64) * 31 + np.where(size > 1, text[last - 1], 0).astype(np.int64) * 17 + np.minimum(size, 12) // 4 * 5) % BUCKETS
 
 
 def _hashes(tokens: list[bytes]) -> np.ndarray:
